@@ -97,7 +97,8 @@ def home_rows(df: DataFrame) -> DataFrame:
 
 
 def fill_from_neighbours(
-    df: DataFrame, keys: Sequence[str], pos: str, block: int, value: str, previous: str | None, following: str | None
+    df: DataFrame, keys: Sequence[str], pos: str, block: int, value: str, previous: str | None, following: str | None,
+    tie: Sequence[Column] = (),
 ) -> DataFrame:
     """Nearest non-null ``value`` at or before (``previous``) / at or after (``following``) each row.
 
@@ -105,7 +106,7 @@ def fill_from_neighbours(
     """
     keys = list(keys)
     base = df.withColumn("_block", F.floor(F.col(pos) / F.lit(block)).cast("bigint"))
-    w = Window.partitionBy(*keys, "_block").orderBy(pos)
+    w = Window.partitionBy(*keys, "_block").orderBy(pos, *tie)
     back = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     rows = base
