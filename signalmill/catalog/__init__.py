@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import collections, measure  # noqa: F401
+    from . import collections, measure, pairing, signal  # noqa: F401

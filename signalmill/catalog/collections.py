@@ -20,10 +20,11 @@ st AS (SELECT album_id, count(*) AS track_count, min(i) AS min_lufs, max(i) AS m
 
 
 @query("d25_collection_stats", f"""WITH {STATS_CTE}
-SELECT album_id, track_count, {rd('min_lufs', 8)} AS min_lufs, {rd('max_lufs', 8)} AS max_lufs, {rd('mean_lufs', 8)} AS mean_lufs,
+SELECT album_id, track_count, {rd('min_lufs', 8)} AS min_lufs, {rd('max_lufs', 8)} AS max_lufs, {rd('mean_lufs', 11)} AS mean_lufs,
   {rd('lufs_variance', 8)} AS lufs_variance, {rd('median_lufs', 8)} AS median_lufs, {rd('span_lu', 8)} AS span_lu FROM st""")
 def d25(spark, sf):
-    return rounded(co.collection_stats(album_tracks(spark, sf)), digits=8)
+    out = co.collection_stats(album_tracks(spark, sf))
+    return rounded(out.withColumn("mean_lufs", F.round("mean_lufs", 11)), "mean_lufs", digits=8)
 
 
 @query("e13_track_transitions", f"""WITH {ALB},

@@ -283,3 +283,52 @@ def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str,
         return pd.DataFrame({out: pd.Series(col, dtype=object)})
 
     return _scan(blocks, keys, block, [target], [out], summarize, fold, apply)
+
+
+def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str, skip: int,
+                    block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Mark flags that are not within ``skip`` positions of the last marked one.
+
+    The state is the number of positions still blocked, so a block's summary is a table of ``skip + 1`` results.
+    """
+
+    def walk(hits: np.ndarray, blocked: int, n: int):
+        marks, at = [], blocked
+        for h in hits:
+            if h >= at:
+                marks.append(h)
+                at = h + skip + 1
+        return marks, max(0, at - n)
+
+    def summarize(cols):
+        out_rows = []
+        for flags in cols[0]:
+            hits = np.flatnonzero(np.asarray(flags) > 0)
+            # all starts before the first hit act alike
+            ends, first = {}, (hits[0] if len(hits) else len(flags))
+            table = []
+            for d in range(skip + 1):
+                key = 0 if d <= first else d
+                if key not in ends:
+                    ends[key] = walk(hits, key, len(flags))[1]
+                table.append(float(ends[key] if len(hits) else max(0, d - len(flags))))
+            out_rows.append(np.array(table))
+        return out_rows
+
+    def fold(summaries):
+        d, states = 0, []
+        for table in summaries:
+            d = int(table[d])
+            states.append(np.array([float(d)]))
+        return states
+
+    def apply(state, cols):
+        col = []
+        for s, flags in zip(state, cols[0]):
+            marks, _ = walk(np.flatnonzero(np.asarray(flags) > 0), 0 if s is None else int(s[0]), len(flags))
+            y = np.zeros(len(flags))
+            y[marks] = 1.0
+            col.append(y)
+        return pd.DataFrame({out: pd.Series(col, dtype=object)})
+
+    return _scan(blocks, keys, block, [flag], [out], summarize, fold, apply)
