@@ -51,4 +51,11 @@ STUDY = """study AS (
 
 def rd(expr: str, digits: int = 6) -> str:
     """Rounded output without a negative zero."""
-    return f"(round({expr}, {digits}) + 0.0)"
+    return f"CAST(round({expr}, {digits}) + 0.0 AS DOUBLE)"
+
+
+# pseudo-measurements per order: u1..u14 in 0..1 from the order's key and price, k from the customer
+PRIMES = (101, 211, 307, 401, 503, 601, 701, 809, 907, 613, 419, 331, 223, 127)
+MET = "met0 AS (SELECT o_orderkey AS track_id, o_custkey, " + ", ".join(
+    f"((o_orderkey * {p} + CAST(floor(o_totalprice) AS BIGINT)) % 1009) / 1009.0::DOUBLE AS u{i + 1}" for i, p in enumerate(PRIMES)
+) + " FROM orders)"

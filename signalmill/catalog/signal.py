@@ -167,15 +167,15 @@ def pole(expr: str, alpha: float, name: str) -> str:
             f"OVER (PARTITION BY track_id ORDER BY frame_ix) AS {name}")
 
 
-ALPHA = 0.05
+ALPHA = fl.cutoff_alpha(1.0, RATE)
 
 
 @query("e5_one_pole", f"WITH {SIG_LINE}, p AS (SELECT track_id, frame_ix, {pole('l', ALPHA, 'y')} FROM sig_line) "
-                      f"SELECT track_id, frame_ix, {rd('y', 9)} AS y FROM p")
+                      f"SELECT track_id, frame_ix, {rd('y')} AS y FROM p")
 def e5(spark, sf):
     b = sc.to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l"], BLOCK)
     f = sc.linear_scan(b, ["track_id"], {"y": ("l", fl.one_pole(ALPHA))}, BLOCK)
-    return rounded(sc.from_blocks(f, ["track_id"], "frame_ix", ["y"], BLOCK), digits=9)
+    return rounded(sc.from_blocks(f, ["track_id"], "frame_ix", ["y"], BLOCK))
 
 
 def line_blocks(spark, sf):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.levels import clamp
+from ..functions.levels import clamp, risk_from_ratio
 from .dimensions import CANDIDATES, STRENGTHS, expand
 
 
@@ -100,6 +100,20 @@ def artifact_risk(m: DataFrame) -> DataFrame:
         "evidence": evidence})
 
 
+def reconstruction_risk(m: DataFrame) -> DataFrame:
+    """Risk of a reconstruction from its measured differences, plus doubt about measurement and model."""
+    res = risk_from_ratio(F.col("residual_ratio"), 4.0)
+    phase = clamp((1.0 - clamp(F.col("correlation"), -1, 1)) * 0.5, 0, 1)
+    measured = (
+        0.46 * res + 0.20 * phase + 0.22 * risk_from_ratio(F.col("transient_ratio"), 2.5)
+        + 0.12 * risk_from_ratio(F.col("hf_ratio"), 2.0))
+    conf, model = clamp(F.col("confidence"), 0, 1), clamp(F.col("model_confidence"), 0, 1)
+    doubt = (1.0 - conf) * 0.10 + (1.0 - model) * 0.10 + 0.03
+    return m.withColumns({
+        "overall_risk": clamp(F.greatest(measured, res * 0.72) + doubt, 0, 1),
+        "risk_confidence": clamp(F.sqrt(model * conf) * 0.90, 0, 1)})
+
+
 def choose_mode(e: DataFrame) -> DataFrame:
     """Three-way processing mode from issue evidence and artifact risk, with confidence and first reason."""
     c = {k: clamp(F.col(k), 0, 1) for k in (

@@ -19,11 +19,12 @@ def band(shape: str, hz, gain_db, q) -> Column:
                     _num(q).alias("q"))
 
 
-def node(id_: str, kind: str, bands: Column | None = None, **params) -> Column:
+def node(id_: str | Column, kind: str, bands: Column | None = None, **params) -> Column:
     pairs = [x for k, v in params.items() for x in (F.lit(k), _num(v))]
     table = F.create_map(*pairs) if pairs else F.lit(None).cast("map<string,double>")
     shapes = bands if bands is not None else F.lit(None).cast(BANDS)
-    return F.struct(F.lit(id_).alias("id"), F.lit(kind).alias("type"), F.lit(False).alias("bypass"),
+    name = F.lit(id_) if isinstance(id_, str) else id_
+    return F.struct(name.alias("id"), F.lit(kind).alias("type"), F.lit(False).alias("bypass"),
                     table.alias("params"), shapes.alias("bands"))
 
 
@@ -44,14 +45,17 @@ def set_bypass(graph: Column, id_: str, when: Column) -> Column:
     return F.transform(graph, lambda n: n.withField("bypass", n["bypass"] | (when & (n["id"] == id_))))
 
 
-def insert_before(graph: Column, anchor: str, item: Column) -> Column:
-    """Insert before the first node named ``anchor``; append when there is none; null items change nothing."""
-    ids = F.transform(graph, lambda n: n["id"])
-    at = F.array_position(ids, anchor)
-    placed = F.when(at == 0, F.concat(graph, F.array(item))).otherwise(
-        F.concat(F.slice(graph, F.lit(1), (at - 1).cast("int")), F.array(item),
-                 F.slice(graph, F.greatest(at, F.lit(1)).cast("int"), F.size(graph))))
-    return F.when(item.isNull(), graph).otherwise(placed)
+def insert_before(graph: Column, anchor: str | Column, *items: Column) -> Column:
+    """Insert items in order before the node named ``anchor``, or append them when there is none.
+
+    Null items change nothing. The plan is walked once, so that repeated edits do not multiply the expression.
+    """
+    new = nodes(*items).cast(NODES)
+    name = F.lit(anchor) if isinstance(anchor, str) else anchor
+    placed = F.flatten(F.transform(
+        graph, lambda n: F.when(n["id"] == name, F.concat(new, F.array(n))).otherwise(F.array(n))))
+    missing = ~F.exists(graph, lambda n: n["id"] == name)
+    return F.concat(placed, F.when(missing, new).otherwise(F.array().cast(NODES)))
 
 
 def update_params(graph: Column, kind: str, changes: dict[str, object]) -> Column:

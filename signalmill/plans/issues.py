@@ -216,7 +216,7 @@ def issue_evidence(issues: DataFrame) -> DataFrame:
         clamp(F.avg("issue_confidence"), 0, 1).alias("guidance_confidence"))
 
 
-def admit_sources(artifacts: DataFrame, programs: DataFrame) -> DataFrame:
+def admit_sources(artifacts: DataFrame, programs: DataFrame, max_mismatch_s: float = 0.25) -> DataFrame:
     """Best artifact per role with its effective confidence, or the first reason it is not used.
 
     artifacts: track_id, role, seq, confidence, duration_s, lufs; programs: track_id, overall_confidence, program_s.
@@ -232,7 +232,7 @@ def admit_sources(artifacts: DataFrame, programs: DataFrame) -> DataFrame:
     reason = (
         F.when(declared < 0.70, "low confidence").when(F.col("duration_s") < 2.0, "too short")
         .when(F.col("lufs") < -55.0, "inactive")
-        .when((F.col("program_s") > 0) & (off > F.greatest(F.lit(0.25), F.col("program_s") * 0.002)), "not aligned"))
+        .when((F.col("program_s") > 0) & (off > F.greatest(F.lit(max_mismatch_s), F.col("program_s") * 0.002)), "not aligned"))
     return a.withColumns({
         "reason": reason, "effective_confidence": F.when(reason.isNull(), F.least(declared, measured))})
 

@@ -153,16 +153,18 @@ def apply_controls(p: DataFrame) -> DataFrame:
     tone = g.nodes(F.when(F.abs(bass) >= 0.05, g.band("low_shelf", 105, bass * s, 0.707)),
                    F.when(F.abs(pres) >= 0.05, g.band("peak", 4200, pres * s, 0.85)))
     attack = (punch - 0.5) * 3.0 * s
-    out = _c("nodes")
-    for v, dyn, peak in (("a", "a_glue", "a_clipper"), ("b", "b_glue", "b_limiter")):
-        here = _c("variant") == v
-        out = g.insert_before(out, dyn, F.when(here & (F.size(tone) > 0), g.node(f"{v}_user_tone", "eq", bands=tone)))
-        out = g.insert_before(out, peak, F.when(here & (F.abs(attack) >= 0.08), g.node(
-            f"{v}_user_punch", "transient", attack_db=attack, sustain_db=-attack * 0.12, fast_ms=3, slow_ms=34, mix=0.72)))
-        out = g.insert_before(out, peak, F.when(here & (F.abs(width - 1) >= 0.005), g.node(
-            f"{v}_user_width", "stereo", width=1.0 + (width - 1.0) * s, bass_mono_hz=105)))
-        out = g.insert_before(out, peak, F.when(here & (warm >= 0.01), g.node(
-            f"{v}_user_warmth", "saturation", drive_db=0.8 + warm * 2.8, mix=warm * 0.12 * s)))
+    def name(suffix):
+        return F.concat(_c("variant"), F.lit(suffix))
+
+    p = p.withColumn("nodes", g.insert_before(
+        _c("nodes"), name("_glue"), F.when(F.size(tone) > 0, g.node(name("_user_tone"), "eq", bands=tone))))
+    out = g.insert_before(
+        _c("nodes"), F.when(is_a, "a_clipper").otherwise("b_limiter"),
+        F.when(F.abs(attack) >= 0.08, g.node(name("_user_punch"), "transient", attack_db=attack, sustain_db=-attack * 0.12,
+                                             fast_ms=3, slow_ms=34, mix=0.72)),
+        F.when(F.abs(width - 1) >= 0.005, g.node(name("_user_width"), "stereo", width=1.0 + (width - 1.0) * s,
+                                                 bass_mono_hz=105)),
+        F.when(warm >= 0.01, g.node(name("_user_warmth"), "saturation", drive_db=0.8 + warm * 2.8, mix=warm * 0.12 * s)))
     return p.withColumns({
         "target_lufs": F.when(is_a, target).otherwise(clamp(target - 1.5, -14, -9.5)), "nodes": out})
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,7 +44,7 @@ def run_incremental(work: DataFrame, store: str, process) -> DataFrame:
     spark = work.sparkSession
     try:
         done = spark.read.parquet(store)
-    except Exception:  # the first run has no store yet
+    except AnalysisException:  # the first run has no store yet
         done = None
     todo = work if done is None else split_completed(work, done)[0]
     process(todo).write.mode("append").parquet(store)
