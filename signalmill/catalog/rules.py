@@ -19,7 +19,14 @@ from . import query
 from .common import MET, PRIMES, rd
 from .measure import rounded
 
-U = {i: F.col(f"u{i}") for i in range(1, 15)}
+class _Uniform:
+    """``U[i]`` is the column ``u<i>``; made on use, since columns need a session."""
+
+    def __getitem__(self, i: int):
+        return F.col(f"u{i}")
+
+
+U = _Uniform()
 
 
 def met(spark, sf):
@@ -30,35 +37,35 @@ def met(spark, sf):
         *[(((F.col("o_orderkey") * p + base) % 1009) / 1009.0).alias(f"u{i + 1}") for i, p in enumerate(PRIMES)])
 
 
-# name -> (Spark column, SQL); both sides read the same u values
+# expressions over the u values, valid in both engines
 FIELDS = {
-    "integrated_lufs": (U[1] * 20 - 26, "u1 * 20 - 26"), "true_peak_dbtp": (U[2] * 5 - 3.5, "u2 * 5 - 3.5"),
-    "crest_db": (U[3] * 14 + 3, "u3 * 14 + 3"), "plr_db": (U[4] * 14 + 2.5, "u4 * 14 + 2.5"),
-    "short_term_variation": (U[5] * 14, "u5 * 14"), "sub": (U[6] * 0.4, "u6 * 0.4"), "bass": (U[7] * 0.4, "u7 * 0.4"),
-    "upper_mid": (U[8] * 0.35, "u8 * 0.35"), "high": (U[9] * 0.2, "u9 * 0.2"), "centroid_hz": (U[10] * 5000, "u10 * 5000"),
-    "max_abs_dc": (U[11] * U[11] * 0.02, "u11 * u11 * 0.02"), "correlation": (U[12] * 1.4 - 0.4, "u12 * 1.4 - 0.4"),
-    "low_width": (U[13] * 0.4, "u13 * 0.4"), "mid_width": (U[14] * 0.7, "u14 * 0.7"),
-    "defect_risk": (U[3] * U[6], "u3 * u6"), "hard_clip": (U[4] * 0.95, "u4 * 0.95"), "intentional": (U[7], "u7"),
-    "harshness": (U[8], "u8"), "mud": (U[9], "u9"), "sub_buildup": (U[10], "u10"),
-    "section_contrast_db": (U[11] * 14, "u11 * 14"), "negative_fraction": (U[14] * 0.4, "u14 * 0.4"),
-    "macro_range_db": (U[1] * 22, "u1 * 22"), "mono_fold_delta_db": (U[2] * 6 - 6, "u2 * 6 - 6"),
-    "transient_fraction": (U[4] * 0.05, "u4 * 0.05"), "onset_density": (U[5], "u5"),
-    "tempo_confidence": (U[6], "u6"), "bpm": (U[7] * 120 + 60, "u7 * 120 + 60"),
-    "character_confidence": (U[12] * 0.8 + 0.2, "u12 * 0.8 + 0.2"), "tonal_imbalance": (U[13], "u13"), "health": (U[9] * 60 + 40, "u9 * 60 + 40"),
+    "integrated_lufs": "u1 * 20 - 26", "true_peak_dbtp": "u2 * 5 - 3.5",
+    "crest_db": "u3 * 14 + 3", "plr_db": "u4 * 14 + 2.5",
+    "short_term_variation": "u5 * 14", "sub": "u6 * 0.4", "bass": "u7 * 0.4",
+    "upper_mid": "u8 * 0.35", "high": "u9 * 0.2", "centroid_hz": "u10 * 5000",
+    "max_abs_dc": "u11 * u11 * 0.02", "correlation": "u12 * 1.4 - 0.4",
+    "low_width": "u13 * 0.4", "mid_width": "u14 * 0.7",
+    "defect_risk": "u3 * u6", "hard_clip": "u4 * 0.95", "intentional": "u7",
+    "harshness": "u8", "mud": "u9", "sub_buildup": "u10",
+    "section_contrast_db": "u11 * 14", "negative_fraction": "u14 * 0.4",
+    "macro_range_db": "u1 * 22", "mono_fold_delta_db": "u2 * 6 - 6",
+    "transient_fraction": "u4 * 0.05", "onset_density": "u5",
+    "tempo_confidence": "u6", "bpm": "u7 * 120 + 60",
+    "character_confidence": "u12 * 0.8 + 0.2", "tonal_imbalance": "u13", "health": "u9 * 60 + 40",
 }
 COUNTS = {
-    "channels": (F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(2), "CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 2 END"),
-    "clipped_samples": (F.when(F.col("o_custkey") % 3 == 0, 4).otherwise(0), "CASE WHEN o_custkey % 3 = 0 THEN 4 ELSE 0 END"),
-    "nan_samples": (F.when(F.col("o_custkey") % 37 == 0, 2).otherwise(0), "CASE WHEN o_custkey % 37 = 0 THEN 2 ELSE 0 END"),
-    "infinite_samples": (F.when(F.col("o_custkey") % 41 == 0, 1).otherwise(0), "CASE WHEN o_custkey % 41 = 0 THEN 1 ELSE 0 END"),
-    "section_count": ((F.col("o_custkey") % 12).cast("int"), "o_custkey % 12"),
+    "channels": "CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE 2 END",
+    "clipped_samples": "CASE WHEN o_custkey % 3 = 0 THEN 4 ELSE 0 END",
+    "nan_samples": "CASE WHEN o_custkey % 37 = 0 THEN 2 ELSE 0 END",
+    "infinite_samples": "CASE WHEN o_custkey % 41 = 0 THEN 1 ELSE 0 END",
+    "section_count": "o_custkey % 12",
 }
 REPORT = MET + ",\nm AS (SELECT track_id, o_custkey, " + ", ".join(
-    f"{sql} AS {n}" for n, (_, sql) in {**FIELDS, **COUNTS}.items()) + ",\n  u1, u2, u3, u4, u5, u6 FROM met0)"
+    f"{sql} AS {n}" for n, sql in {**FIELDS, **COUNTS}.items()) + ",\n  u1, u2, u3, u4, u5, u6 FROM met0)"
 
 
 def report(spark, sf):
-    return met(spark, sf).select("track_id", "o_custkey", *[c.alias(n) for n, (c, _) in {**FIELDS, **COUNTS}.items()],
+    return met(spark, sf).select("track_id", "o_custkey", *[F.expr(sql).alias(n) for n, sql in {**FIELDS, **COUNTS}.items()],
                                  *[f"u{i}" for i in range(1, 7)])
 
 

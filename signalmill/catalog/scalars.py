@@ -13,52 +13,44 @@ from . import query
 from .common import SIG_LINE, rd
 from .measure import rounded
 
-L, R = F.col("l"), F.col("r")
-
-
-def per_frame(name: str, cols: dict, sql: dict[str, str], digits: int = 7):
-    """Register a projection over the line series with its SQL."""
+def per_frame(name: str, cols, sql: dict[str, str], digits: int = 7):
+    """Register a projection ``cols(l, r)`` over the line series with its SQL."""
     body = ", ".join(f"{rd(e, digits)} AS {n}" for n, e in sql.items())
 
     @query(name, f"WITH {SIG_LINE} SELECT track_id, frame_ix, {body} FROM sig_line")
     def run(spark, sf):
-        return rounded(sig_line(spark, sf).select("track_id", "frame_ix", *[c.alias(n) for n, c in cols.items()]), digits=digits)
+        return rounded(sig_line(spark, sf).select("track_id", "frame_ix", *[c.alias(n) for n, c in cols(F.col("l"), F.col("r")).items()]), digits=digits)
 
 
-per_frame("b1_downmix", {"mono": fr.downmix(L, R)}, {"mono": "(l + r) / 2"})
-_m, _s = fr.mid_side(L, R, 0.5**0.5)
-_m2, _s2 = fr.mid_side(L, R, 0.5)
-per_frame("b2_mid_side", {"mid": _m, "side": _s, "mid_half": _m2, "side_half": _s2},
+per_frame("b1_downmix", lambda l, r: {"mono": fr.downmix(l, r)}, {"mono": "(l + r) / 2"})
+per_frame("b2_mid_side", lambda l, r: dict(zip(("mid", "side", "mid_half", "side_half"), (*fr.mid_side(l, r, 0.5**0.5), *fr.mid_side(l, r, 0.5)))),
           {"mid": "(l + r) * sqrt(0.5)", "side": "(l - r) * sqrt(0.5)", "mid_half": "(l + r) * 0.5", "side_half": "(l - r) * 0.5"})
-per_frame(
-    "b3_decibels",
-    {"floor200": lv.amplitude_db(F.abs(R)), "floor120": lv.amplitude_db_min(F.abs(R)), "power": lv.power_db(R * R),
-     "clamped": lv.amplitude_db_clamped(F.abs(R)), "linear": lv.to_linear(R * 6)},
+per_frame("b3_decibels", lambda l, r: {"floor200": lv.amplitude_db(F.abs(r)), "floor120": lv.amplitude_db_min(F.abs(r)), "power": lv.power_db(r * r),
+     "clamped": lv.amplitude_db_clamped(F.abs(r)), "linear": lv.to_linear(r * 6)},
     {"floor200": "CASE WHEN abs(r) > 0 THEN 20 * log10(abs(r)) ELSE -200 END",
      "floor120": "CASE WHEN abs(r) > 1e-12 THEN 20 * log10(abs(r)) ELSE -120 END",
      "power": "10 * log10(greatest(r * r, 1e-18))", "clamped": "20 * log10(greatest(abs(r), 1e-12))", "linear": "pow(10, r * 6 / 20)"})
-per_frame("b4_clamp_ramp", {"clamped": lv.clamp(R, -0.5, 0.5), "ramped": lv.ramp(L, 0.2, 0.9), "step": lv.ramp(L, 0.5, 0.5),
-                            "score": lv.score_from_ratio(L, 0.18, 0.35)},
+per_frame("b4_clamp_ramp", lambda l, r: {"clamped": lv.clamp(r, -0.5, 0.5), "ramped": lv.ramp(l, 0.2, 0.9), "step": lv.ramp(l, 0.5, 0.5),
+                            "score": lv.score_from_ratio(l, 0.18, 0.35)},
           {"clamped": "least(greatest(r, -0.5), 0.5)", "ramped": "least(greatest((l - 0.2) / 0.7, 0), 1)",
            "step": "CASE WHEN l <= 0.5 THEN 0 ELSE 1 END", "score": "least(greatest((l - 0.18) / 0.35, 0), 1)"})
-per_frame("b6_gain", {"y": lv.gain(L, -3.0)}, {"y": "l * pow(10, -3.0 / 20)"})
-per_frame("b7_saturate", {"y": lv.saturate(R, 6.0, 0.4)},
+per_frame("b6_gain", lambda l, r: {"y": lv.gain(l, -3.0)}, {"y": "l * pow(10, -3.0 / 20)"})
+per_frame("b7_saturate", lambda l, r: {"y": lv.saturate(r, 6.0, 0.4)},
           {"y": "r * 0.6 + tanh(r * pow(10, 0.3)) / tanh(pow(10, 0.3)) * 0.4"})
-per_frame("b8_clip_soft", {"y": lv.clip_soft(R, -3.0, 0.4)}, {
+per_frame("b8_clip_soft", lambda l, r: {"y": lv.clip_soft(r, -3.0, 0.4)}, {
     "y": """CASE WHEN abs(r) >= pow(10, -0.15) THEN sign(r) * pow(10, -0.15) WHEN abs(r) > pow(10, -0.15) * 0.6
       THEN sign(r) * (pow(10, -0.15) * 0.6 + pow(10, -0.15) * 0.4 * (1 - pow(1 - (abs(r) - pow(10, -0.15) * 0.6) / (pow(10, -0.15) * 0.4), 2)))
       ELSE r END"""})
-per_frame("b9_soft_knee_gain", {"g": lv.knee_gain_db(lv.amplitude_db_clamped(L), -12.0, 3.0, 6.0)}, {
+per_frame("b9_soft_knee_gain", lambda l, r: {"g": lv.knee_gain_db(lv.amplitude_db_clamped(l), -12.0, 3.0, 6.0)}, {
     "g": """CASE WHEN 20 * log10(greatest(l, 1e-12)) + 12 <= -3 THEN 0 WHEN 20 * log10(greatest(l, 1e-12)) + 12 >= 3
       THEN (1.0 / 3 - 1) * (20 * log10(greatest(l, 1e-12)) + 12)
       ELSE (1.0 / 3 - 1) * pow(20 * log10(greatest(l, 1e-12)) + 15, 2) / 12 END"""})
-_nl, _nr = lv.narrow_width(L, R, L, 0.30)
-per_frame("b10_width_scale", {"l2": _nl, "r2": _nr}, {
+per_frame("b10_width_scale", lambda l, r: dict(zip(("l2", "r2"), lv.narrow_width(l, r, l, 0.30))), {
     "l2": "(l + r) / 2 + (l - r) / 2 * (1 - least(greatest(l, 0), 0.3))",
     "r2": "(l + r) / 2 - (l - r) / 2 * (1 - least(greatest(l, 0), 0.3))"})
-per_frame("b15_loudness_power_share", {"share": lv.power_share(L * -20, R * 10)}, {"share": "least(pow(10, (l * -20 - r * 10) / 10), 2)"})
-per_frame("b17_risk_from_ratio", {"risk": lv.risk_from_ratio(L, 2.5)}, {"risk": "1 - exp(-l * 2.5)"})
-per_frame("b14_quantize", {"q8": lv.quantize(R * 0.7, 8)}, {
+per_frame("b15_loudness_power_share", lambda l, r: {"share": lv.power_share(l * -20, r * 10)}, {"share": "least(pow(10, (l * -20 - r * 10) / 10), 2)"})
+per_frame("b17_risk_from_ratio", lambda l, r: {"risk": lv.risk_from_ratio(l, 2.5)}, {"risk": "1 - exp(-l * 2.5)"})
+per_frame("b14_quantize", lambda l, r: {"q8": lv.quantize(r * 0.7, 8)}, {
     "q8": "least(greatest(sign(r) * floor(abs(r * 0.7 * 128) + 0.5) / 128, -1), 1 - 1.0 / 128)"})
 
 
@@ -68,7 +60,7 @@ SELECT track_id, count(*) FILTER (isnan(x)) AS nan_samples, count(*) FILTER (isi
   {rd('sum(x) FILTER (isfinite(x))')} AS finite_sum FROM v GROUP BY 1""")
 def b5(spark, sf):
     """Some samples are replaced by NaN and infinity to see that sums skip and counters find them."""
-    x = F.when(F.col("frame_ix") % 50 == 7, float("nan")).when(F.col("frame_ix") % 50 == 9, float("inf")).otherwise(L)
+    x = F.when(F.col("frame_ix") % 50 == 7, float("nan")).when(F.col("frame_ix") % 50 == 9, float("inf")).otherwise(F.col("l"))
     v = sig_line(spark, sf).select("track_id", x.alias("x"))
     return rounded(v.groupBy("track_id").agg(
         F.count_if(F.isnan("x")).alias("nan_samples"), F.count_if(F.abs("x") == float("inf")).alias("infinite_samples"),

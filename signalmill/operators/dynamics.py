@@ -16,7 +16,6 @@ from ..functions.levels import (
 from .scans import DEFAULT_BLOCK, follower_scan, limiter_scan, linear_scan
 
 KEYS = ["track_id"]
-L, R = F.col("l"), F.col("r")
 
 
 def _zip(a, b, fn) -> Column:

@@ -12,6 +12,7 @@ from ..functions.levels import amplitude_db, clamp, is_finite
 from .frames import block_halos
 from .ordering import runs
 from .scans import DEFAULT_BLOCK, linear_scan, to_blocks
+from .stereo import pearson
 
 SAMPLE = ["track_id", "ch"]
 
@@ -190,10 +191,9 @@ def segment_characteristics(frames: DataFrame, rate: float, segment: int, f0_ran
     """Pitch, centroid, correlation, crest and harmonicity per fixed-length segment (a bounded group)."""
     seg = F.floor(F.col("frame_ix") / F.lit(segment)).cast("bigint").alias("segment")
     mono = (F.col("l") + F.col("r")) / 2
-    c = F.corr("l", "r")
     g = frames.groupBy("track_id", seg).agg(
         F.array_sort(F.collect_list(F.struct("frame_ix", mono.alias("m")))).alias("_x"),
-        F.coalesce(F.when(F.isnan(c), 1.0).otherwise(c), F.lit(1.0)).alias("correlation"),
+        pearson("l", "r").alias("correlation"),
         F.max(F.abs(mono)).alias("_p"), F.sqrt(F.avg(mono * mono)).alias("_r"))
 
     @F.pandas_udf("struct<f0:double,centroid:double>")
@@ -206,7 +206,7 @@ def segment_characteristics(frames: DataFrame, rate: float, segment: int, f0_ran
     g = g.withColumn("crest_db", F.coalesce(crest, F.lit(0.0)))
     return g.select(
         "track_id", "segment", F.col("_u.f0").alias("f0_hz"), F.col("_u.centroid").alias("centroid_hz"),
-        clamp(F.col("correlation"), -1, 1).alias("correlation"), "crest_db",
+        "correlation", "crest_db",
         F.when(F.col("_u.f0") > 0, clamp(F.col("crest_db") / 20, 0.2, 0.95)).otherwise(0.1).alias("harmonicity"))
 
 

@@ -11,7 +11,8 @@ from ..functions.filters import cutoff_alpha, one_pole
 from ..functions.levels import clamp
 from .scans import DEFAULT_BLOCK, from_blocks, linear_scan, to_blocks
 
-L, R = F.col("l"), F.col("r")
+def _lr():
+    return F.col("l"), F.col("r")
 
 
 def _raw_correlation(ll, rr, lr):
@@ -20,9 +21,10 @@ def _raw_correlation(ll, rr, lr):
 
 def stereo_sums(frames: DataFrame) -> DataFrame:
     """Raw correlation (1 for silent input) and mono fold-down level change, from four sums."""
-    mono = (L + R) * 0.5
+    l, r = _lr()
+    mono = (l + r) * 0.5
     g = frames.groupBy("track_id").agg(
-        F.sum(L * L).alias("ll"), F.sum(R * R).alias("rr"), F.sum(L * R).alias("lr"), F.sum(mono * mono).alias("mm"))
+        F.sum(l * l).alias("ll"), F.sum(r * r).alias("rr"), F.sum(l * r).alias("lr"), F.sum(mono * mono).alias("mm"))
     ref = (F.col("ll") + F.col("rr")) * 0.5
     fold = (
         F.when(ref <= 0, 0.0).when(F.col("mm") > 0, 10 * F.log10(F.col("mm") / F.nullif(ref, F.lit(0.0)))).otherwise(-200.0)
@@ -32,17 +34,23 @@ def stereo_sums(frames: DataFrame) -> DataFrame:
         fold.alias("mono_fold_delta_db"))
 
 
+def pearson(a: str, b: str):
+    """Correlation aggregate, 1 when either side is (numerically) constant."""
+    spread = F.sqrt(F.var_pop(a) * F.var_pop(b))
+    c = F.try_divide(F.covar_pop(a, b), F.when(spread > 1e-12, spread))
+    return clamp(F.coalesce(c, F.lit(1.0)), -1, 1)
+
+
 def centered_correlation(frames: DataFrame) -> DataFrame:
-    """Pearson correlation, 1 when either side is constant."""
-    c = F.corr("l", "r")
-    return frames.groupBy("track_id").agg(
-        clamp(F.coalesce(F.when(F.isnan(c), 1.0).otherwise(c), F.lit(1.0)), -1, 1).alias("centered_correlation"))
+    """Pearson correlation per series."""
+    return frames.groupBy("track_id").agg(pearson("l", "r").alias("centered_correlation"))
 
 
 def negative_correlation_fraction(frames: DataFrame, window: int = 2048) -> DataFrame:
     """Share of tumbling windows with negative correlation; silent windows do not count."""
+    l, r = _lr()
     w = frames.groupBy("track_id", F.floor(F.col("frame_ix") / F.lit(window)).alias("win")).agg(
-        F.sum(L * L).alias("ll"), F.sum(R * R).alias("rr"), F.sum(L * R).alias("lr"))
+        F.sum(l * l).alias("ll"), F.sum(r * r).alias("rr"), F.sum(l * r).alias("lr"))
     used = F.sqrt(F.col("ll") * F.col("rr")) > 0
     return w.groupBy("track_id").agg(
         F.count_if(used).alias("correlation_windows"),
