@@ -10,6 +10,7 @@ from ..operators import integrity as it
 from ..operators import stereo as st
 from ..operators import structure as su
 from ..operators.waveform import waveform_pyramid
+from ..session import cut_lineage
 from ..sources.adapters import sig_embed, sig_line
 from . import query
 from .common import LONG_LINE, SIG_EMBED, SIG_LINE, rd
@@ -71,7 +72,7 @@ SELECT d1.track_id, frames, nan_samples, infinite_samples, clipped_samples, {rd(
   {rd('sample_peak_db - rms_db')} AS crest_db
 FROM d1 LEFT JOIN d2 USING (track_id) JOIN d4 USING (track_id) ORDER BY 1""")
 def flagship(spark, sf):
-    s = sig_line(spark, sf)
+    s = sig_line(spark, sf, reused=True)
     out = (
         it.integrity_and_levels(s, RATE)
         .join(it.full_scale_runs(s, block=BLOCK), "track_id", "left")
@@ -176,7 +177,7 @@ def e2(spark, sf):
 
 
 def character(spark, sf):
-    s = sig_line(spark, sf)
+    s = sig_line(spark, sf, reused=True)
     m = (
         it.window_character(s, 32)
         .join(it.plateau_samples(s, BLOCK), "track_id")
@@ -233,8 +234,9 @@ pk AS (SELECT track_id, count(*) FILTER (onset > lim AND onset >= po AND onset >
          count(*) FILTER (onset > lim) / count(*) AS transient_fraction FROM nb GROUP BY 1)"""
 
 
-def onsets_of(spark, sf):
-    return su.onset_strength(su.feature_frames(sig_embed(spark, sf), S_SIZE, 256))
+def onsets_of(spark, sf, reused=False):
+    o = su.onset_strength(su.feature_frames(sig_embed(spark, sf), S_SIZE, 256))
+    return cut_lineage(o) if reused else o
 
 
 @query("d16_feature_frames", f"""WITH {FEATURE_CTE}
@@ -252,7 +254,7 @@ def e3(spark, sf):
 @query("e4_pick_onsets", f"""WITH {FEATURE_CTE} SELECT track_id, onset_count, {rd('onset_density')} AS onset_density,
   {rd('mean_onset')} AS mean_onset, {rd('transient_fraction')} AS transient_fraction FROM pk""")
 def e4(spark, sf):
-    o = onsets_of(spark, sf)
+    o = onsets_of(spark, sf, True)
     return rounded(su.pick_onsets(o, su.onset_threshold(o), S_RATE))
 
 
@@ -263,7 +265,7 @@ def e4(spark, sf):
 SELECT track_id, {rd('a[1]')} AS rms_p10, {rd('a[2]')} AS rms_p50, {rd('a[3]')} AS rms_p90,
   {rd('greatest(0, a[3] - a[1])')} AS macro_range_db, {rd('greatest(0, c[2] - c[1])')} AS crest_variability_db FROM q""")
 def d17(spark, sf):
-    return rounded(su.macro_dynamics(su.feature_frames(sig_embed(spark, sf), S_SIZE, 256)))
+    return rounded(su.macro_dynamics(cut_lineage(su.feature_frames(sig_embed(spark, sf), S_SIZE, 256))))
 
 
 @query("d18_tempo_autocorr", f"""WITH {FEATURE_CTE},
@@ -277,7 +279,7 @@ SELECT pk.track_id, {rd('CASE WHEN lag IS NOT NULL AND onset_count >= 3 THEN 60
   {rd('CASE WHEN lag IS NOT NULL AND onset_count >= 3 THEN least(score, 1) * least(greatest(onset_count / 16.0, 0.25), 1) ELSE 0 END')}
   AS tempo_confidence FROM pk LEFT JOIN best USING (track_id)""")
 def d18(spark, sf):
-    o = onsets_of(spark, sf)
+    o = onsets_of(spark, sf, True)
     return rounded(su.tempo(o, su.pick_onsets(o, su.onset_threshold(o), S_RATE), S_RATE / S_SIZE))
 
 
@@ -293,7 +295,7 @@ sec AS (SELECT *, coalesce(sqrt(pow((energy_db - lag(energy_db) OVER w) / 5, 2)
 
 
 def sections_of(spark, sf):
-    o = onsets_of(spark, sf)
+    o = onsets_of(spark, sf, True)
     lim = su.onset_threshold(o)
     return o, lim, su.section_windows(o, lim, 5)
 

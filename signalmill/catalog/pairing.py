@@ -19,8 +19,8 @@ from .common import EMBED_MONO, LONG_LINE, SIG_EVENT, SIG_LINE, VECS, rd
 from .measure import BLOCK, RATE, rounded
 
 
-def long_line(spark, sf):
-    return fr.to_long(sig_line(spark, sf))
+def long_line(spark, sf, reused=False):
+    return fr.to_long(sig_line(spark, sf, reused))
 
 
 def damaged(long):
@@ -38,7 +38,7 @@ j AS (SELECT track_id, ch, frame_ix, a.x AS a, b.x AS b FROM long_line a FULL JO
 SELECT track_id, ch, count(a) AS frames_a, count(b) AS frames_b, {rd('max(abs(a - b))')} AS max_difference,
   min(frame_ix) FILTER (a IS NULL OR b IS NULL OR abs(a - b) > 0.001) AS first_bad_frame FROM j GROUP BY ALL""")
 def j1(spark, sf):
-    x = long_line(spark, sf)
+    x = long_line(spark, sf, True)
     return rounded(pa.compare_series(x, damaged(x), 0.001))
 
 
@@ -48,7 +48,7 @@ SELECT track_id, count(*) FILTER (o IS NULL OR p IS NULL) = 0 AS same_geometry,
   {rd('20 * log10(max(abs(p)) / max(abs(o)))')} AS peak_delta_db, {rd('sqrt(sum((p - o) * (p - o)) / sum(o * o))')}
   AS relative_residual FROM j GROUP BY 1""")
 def k13(spark, sf):
-    x = long_line(spark, sf)
+    x = long_line(spark, sf, True)
     return rounded(pa.repair_validation(x, damaged(x)))
 
 
@@ -59,7 +59,7 @@ m AS (SELECT track_id, ch, frame_ix, x FROM long_line UNION ALL
   SELECT track_id, ch, frame_ix, x * k * (pow(10, db / 20) - 1) FROM long_line, st JOIN g USING (role) WHERE db <> 0)
 SELECT track_id, ch, frame_ix, {rd('least(greatest(sum(x), -8), 8)')} AS x FROM m GROUP BY ALL""")
 def j2(spark, sf):
-    x = long_line(spark, sf)
+    x = long_line(spark, sf, True)
     from ..plans.dimensions import expand
 
     stems = expand(x, [("drums", 0.5), ("bass", 0.25), ("vocals", 0.15), ("other", 0.1)], ["role", "k"]).withColumn(
@@ -111,8 +111,9 @@ nx AS (SELECT *, coalesce(lead(activity) OVER (PARTITION BY track_id ORDER BY ho
 SELECT track_id, frame_ix, {rd('activity + (nxt - activity) * (frame_ix % 16) / 16.0')} AS activity
 FROM sig_line JOIN nx USING (track_id) WHERE hop_ix = frame_ix // 16""")
 def j4(spark, sf):
-    env = pa.activity_envelope(long_line(spark, sf), 16)
-    return rounded(pa.interpolate_activity(sig_line(spark, sf).select("track_id", "frame_ix"), env, 16, 32))
+    f = sig_line(spark, sf, reused=True)
+    env = pa.activity_envelope(fr.to_long(f), 16)
+    return rounded(pa.interpolate_activity(f.select("track_id", "frame_ix"), env, 16, 32))
 
 
 def interventions(spark, sf):
@@ -134,7 +135,7 @@ SELECT s.track_id, s.frame_ix, {rd('coalesce(sum(amount), 0)', 8)} AS amount
 FROM sig_line s LEFT JOIN iv2 ON s.track_id = iv2.track_id
   AND (start_s IS NULL OR (s.frame_ix / 100.0::DOUBLE >= start_s AND s.frame_ix / 100.0::DOUBLE < end_s)) GROUP BY ALL""")
 def j5(spark, sf):
-    f = sig_line(spark, sf).select("track_id", "frame_ix")
+    f = sig_line(spark, sf, reused=True).select("track_id", "frame_ix")
     return rounded(pa.interval_amounts(f, interventions(spark, sf), RATE, 0.5), digits=8)
 
 
@@ -268,7 +269,7 @@ s AS (SELECT *, sum(brk) OVER (PARTITION BY track_id ORDER BY seq) AS grp FROM m
 SELECT track_id, min(label) AS label, {rd('min(start_s)', 3)} AS start_s, {rd('max(end_s)', 3)} AS end_s,
   {rd('max(confidence)')} AS confidence, count(*) AS merged FROM s GROUP BY track_id, grp""")
 def e11(spark, sf):
-    out = co.merge_events(labelled_events(spark, sf), 20000.0, 16)
+    out = co.merge_events(labelled_events(spark, sf), 20000.0, 1024)
     return rounded(out.withColumns({"start_s": F.round("start_s", 3), "end_s": F.round("end_s", 3)}), "start_s", "end_s")
 
 

@@ -15,6 +15,7 @@ from ..operators import repair as rp
 from ..operators import scans as sc
 from ..operators import spectrum as sp
 from ..operators import stereo as st
+from ..session import cut_lineage
 from ..sources.adapters import sig_embed, sig_embed_mono, sig_line
 from . import query
 from .common import EMBED_MONO, LONG_LINE, SIG_LINE, rd
@@ -41,7 +42,8 @@ spec AS (SELECT track_id, bin, sum(re * re + im * im) AS power, count(*) AS wind
 
 
 def spectrum(spark, sf):
-    return sp.power_spectrum(mono_embed(spark, sf), FFT, 256)
+    # 33 rows per series, read more than once
+    return cut_lineage(sp.power_spectrum(mono_embed(spark, sf), FFT, 256))
 
 
 @query("d10_power_spectrum", f"""WITH {SPECTRUM_CTE}
@@ -173,13 +175,14 @@ ALPHA = fl.cutoff_alpha(1.0, RATE)
 @query("e5_one_pole", f"WITH {SIG_LINE}, p AS (SELECT track_id, frame_ix, {pole('l', ALPHA, 'y')} FROM sig_line) "
                       f"SELECT track_id, frame_ix, {rd('y')} AS y FROM p")
 def e5(spark, sf):
-    b = sc.to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l"], BLOCK)
+    b = line_blocks(spark, sf).select("track_id", "block_ix", "l")
     f = sc.linear_scan(b, ["track_id"], {"y": ("l", fl.one_pole(ALPHA))}, BLOCK)
     return rounded(sc.from_blocks(f, ["track_id"], "frame_ix", ["y"], BLOCK))
 
 
 def line_blocks(spark, sf):
-    return sc.to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l", "r"], BLOCK)
+    """The block table of the line series, written once as it would lie at rest."""
+    return cut_lineage(sc.to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l", "r"], BLOCK))
 
 
 def unblocked(b):
@@ -277,11 +280,11 @@ def k9(spark, sf):
     """Amounts from the activity envelope of each series, as a control track would give them."""
     from ..operators import pairing as pa
 
-    f = sig_line(spark, sf)
+    f = sig_line(spark, sf, reused=True)
     env = pa.interpolate_activity(f, pa.activity_envelope(fr.to_long(f), 16), 16, 64)
     a = F.col("activity")
     amounts = env.withColumns({"gain_db": a * -2.0, "cut_db": a * -4.0, "tame": a * 0.5, "narrow": a * 0.5})
-    b = sc.to_blocks(amounts, ["track_id"], "frame_ix", ["l", "r", "gain_db", "cut_db", "tame", "narrow"], BLOCK)
+    b = sc.to_blocks(cut_lineage(amounts), ["track_id"], "frame_ix", ["l", "r", "gain_db", "cut_db", "tame", "narrow"], BLOCK)
     return unblocked(dy.guided_apply(b, RATE, 10.0, 1.0, block=BLOCK))
 
 
@@ -315,7 +318,7 @@ def e12(spark, sf):
 
 # --- loudness ---------------------------------------------------------------------------------
 def loud_hops(spark, sf):
-    return lo.weighted_hops(sig_embed(spark, sf), 200.0, block=512)
+    return cut_lineage(lo.weighted_hops(sig_embed(spark, sf), 200.0, block=512))
 
 
 @query("d21_loudness_bs1770")
@@ -325,10 +328,11 @@ def d21(spark, sf):
 
 @query("d22_true_peak")
 def d22(spark, sf):
-    t = lo.true_peak(sig_line(spark, sf), block=BLOCK)
     from ..operators.integrity import peak_rms_crest
 
-    j = t.join(peak_rms_crest(sig_line(spark, sf)).select("track_id", "sample_peak_db"), "track_id")
+    f = sig_line(spark, sf, reused=True)
+    t = lo.true_peak(f, block=BLOCK)
+    j = t.join(peak_rms_crest(f).select("track_id", "sample_peak_db"), "track_id")
     return rounded(j.withColumn("peak_delta_db", F.greatest(F.lit(0.0), F.col("true_peak_dbtp") - F.col("sample_peak_db"))))
 
 
@@ -370,7 +374,7 @@ nw AS (SELECT track_id, ch, frame_ix, greatest(0.9, abs((2*t*t*t - 3*t*t + 1) *
 SELECT track_id, ch, frame_ix, {rd('CASE WHEN v IS NULL THEN x WHEN x >= 0 THEN v ELSE -v END', 7)} AS x, v IS NOT NULL AS repaired
 FROM long_line LEFT JOIN nw USING (track_id, ch, frame_ix)""")
 def e17(spark, sf):
-    return rounded(rp.declip(fr.to_long(sig_line(spark, sf)), 0.9, 31, BLOCK), digits=7)
+    return rounded(rp.declip(fr.to_long(sig_line(spark, sf, reused=True)), 0.9, 31, BLOCK), digits=7)
 
 
 @query("j16_resample")
@@ -385,7 +389,7 @@ def j9(spark, sf):
 
 @query("d24_profile_scores")
 def d24(spark, sf):
-    f = sig_line(spark, sf)
+    f = sig_line(spark, sf, reused=True)
     p = rp.profile_scores(rp.profile_fanout(f, RATE, hz_scale=0.002, block=BLOCK))
     rms = f.groupBy("track_id").agg(F.sqrt(F.avg((F.col("l") * F.col("l") + F.col("r") * F.col("r")) / 2)).alias("rms"))
     return rounded(rp.translation_summary(p, rms).withColumn("warnings", F.array_join("warnings", ",")))
@@ -404,7 +408,7 @@ def d30(spark, sf):
 @query("d39_source_presence")
 def d39(spark, sf):
     """Each channel of a series as one source of its mix."""
-    f = sig_line(spark, sf)
+    f = sig_line(spark, sf, reused=True)
     long = fr.to_long(f)
     src = long.groupBy("track_id", F.col("ch").alias("source")).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("source_rms"))
     mix = f.groupBy("track_id").agg(F.sqrt(F.avg(F.pow((F.col("l") + F.col("r")) / 2, 2.0))).alias("program_rms"))

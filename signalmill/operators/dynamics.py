@@ -13,6 +13,7 @@ from ..functions import filters as fl
 from ..functions.levels import (
     amplitude_db_clamped, clamp, clip_soft, knee_gain_db, lit, narrow_width, saturate, to_linear,
 )
+from ..session import cut_lineage
 from .scans import DEFAULT_BLOCK, follower_scan, limiter_scan, linear_scan
 
 KEYS = ["track_id"]
@@ -47,9 +48,12 @@ def apply_eq(b: DataFrame, bands: list[dict], rate: float, block: int = DEFAULT_
     return f.select("track_id", "block_ix", F.col("_l").alias("l"), F.col("_r").alias("r"))
 
 
-def _follow(b: DataFrame, targets: dict[str, Column], attack_ms, release_ms, rate, block, floor_db=-240.0) -> DataFrame:
+def _follow(b: DataFrame, targets: dict[str, Column], attack_ms, release_ms, rate, block, floor_db=-240.0, linear_first=False) -> DataFrame:
     """Smooth gain targets in dB (falling fast, rising slowly) into columns of linear gains."""
+    # a scan reads its input twice (summaries, then values): write what an earlier scan made
     t = b.withColumns({f"_t_{k}": v for k, v in targets.items()})
+    if linear_first:
+        t = cut_lineage(t)
     fast, slow = fl.time_keep(attack_ms, rate), fl.time_keep(release_ms, rate)
     t = follower_scan(t, KEYS, {f"_g_{k}": (f"_t_{k}", fast, slow) for k in targets}, floor_db, 0.0, 0.0, block)
     return t.withColumns({f"_g_{k}": F.transform(f"_g_{k}", to_linear) for k in targets})
@@ -69,7 +73,7 @@ def dynamic_eq(b: DataFrame, rate: float, frequency_hz=80.0, q=1.0, threshold_db
     f = linear_scan(b, KEYS, {"_bl": ("l", det), "_br": ("r", det)}, block)
     target = F.transform(_peaks("_bl", "_br"), lambda p: F.greatest(
         knee_gain_db(amplitude_db_clamped(p), threshold_db, ratio, 3.0), lit(-abs(max_reduction_db))))
-    g = _follow(f, {"d": target}, attack_ms, release_ms, rate, block)
+    g = _follow(f, {"d": target}, attack_ms, release_ms, rate, block, linear_first=True)
     add = {c: _zip(c, _zip(f"_b{c}", "_g_d", lambda x, k: x * (k - 1.0)), lambda x, y: x + y) for c in ("l", "r")}
     return _keep(g.withColumns(add))
 
@@ -88,7 +92,7 @@ def multiband(b: DataFrame, rate: float, low_crossover_hz=120.0, high_crossover_
     def curve(band, thr, rat):
         return F.transform(_peaks(f"_{band}l", f"_{band}r"), lambda p: knee_gain_db(amplitude_db_clamped(p), thr, rat, 4.0))
 
-    g = _follow(f, {k: curve(k, *v) for k, v in setup.items()}, attack_ms, release_ms, rate, block)
+    g = _follow(f, {k: curve(k, *v) for k, v in setup.items()}, attack_ms, release_ms, rate, block, linear_first=True)
 
     def total(c):
         parts = [_zip(f"_{k}{c}", f"_g_{k}", lambda x, y: x * y) for k in setup]
@@ -184,7 +188,7 @@ def guided_apply(b: DataFrame, rate: float, center_hz: float = 1000.0, octaves:
         cut = _zip(f"_b{c}", "cut_db", lambda x, a: x * (to_linear(clamp(a, -max_cut, 0)) - 1.0))
         b = b.withColumn(c, _zip(c, cut, lambda x, y: x + y))
     keep = {k: fl.time_keep(ms, rate) for k, ms in TRANSIENT_MS.items()}
-    b = follower_scan(b.withColumn("_p", _peaks()), KEYS, {
+    b = follower_scan(cut_lineage(b.withColumn("_p", _peaks())), KEYS, {
         "_f": ("_p", keep["fast_release"], keep["fast_attack"]),
         "_s": ("_p", keep["reference_release"], keep["reference_attack"])}, 0.0, 64.0, 0.0, block)
     excess = _zip("_f", "_s", lambda f, s: clamp((f - s) / F.greatest(f, lit(1e-12)), 0, 1))
@@ -214,6 +218,9 @@ PROCESSORS = {
 }
 
 
+MEMORYLESS = {"gain", "saturation", "clipper"}
+
+
 def register_processor(name: str, fn) -> None:
     """Add a processor type: ``fn(blocks, rate, params, block_size) -> blocks``."""
     PROCESSORS[name] = fn
@@ -234,6 +241,9 @@ def run_graph(b: DataFrame, nodes: list[dict], rate: float, block: int = DEFAULT
             active[-1] = {**n, "params": {"gain_db": active[-1]["params"]["gain_db"] + n["params"]["gain_db"]}}
         else:
             active.append(n)
-    for n in active:
+    for i, n in enumerate(active):
         b = PROCESSORS[n["type"]](b, rate, n["params"], block)
+        # the next scan would run this one twice: keep its result in files; memoryless nodes just join the next stage
+        if n["type"] not in MEMORYLESS and any(m["type"] not in MEMORYLESS for m in active[i + 1 :]):
+            b = cut_lineage(b)
     return b

@@ -57,10 +57,24 @@ def _bucket_offsets(totals: DataFrame, keys: list[str], names: list[str]) -> Dat
     )
 
 
+# a series up to this many rows is sorted whole; beyond it, bucket by bucket
+SORT_WHOLE_ROWS = 1_000_000
+
+
 def position(
-    df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], out: str
+    df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], out: str,
+    sort_whole_rows: int | None = None,
 ) -> DataFrame:
-    """Zero-based position of each row in its series."""
+    """Zero-based position of each row in its series.
+
+    The size of the largest series is counted first (a scan of the key columns, added up before the shuffle).
+    Only if it is small is every series sorted in one piece, which saves the second pass over the data.
+    """
+    limit = SORT_WHOLE_ROWS if sort_whole_rows is None else sort_whole_rows
+    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+    if largest <= limit:
+        w = Window.partitionBy(*keys).orderBy(*order)
+        return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
     return running_total(df, keys, buckets, order, F.lit(1).cast("bigint"), out).withColumn(out, F.col(out) - 1)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import clamp, is_finite, to_linear
+from ..session import cut_lineage
 from .ordering import fill_from_neighbours, home_rows, with_halo
 from .quantiles import ranked_value
 
@@ -90,8 +91,9 @@ def activity_overlap(a: DataFrame, b: DataFrame, keys: Sequence[str], tolerance:
 
 def activity_envelope(samples: DataFrame, hop: int, floor_db: float = -60.0, quantile: float = 0.95) -> DataFrame:
     """Hop rms over all channels, normalised against a nearest-rank reference to 0..1."""
-    hops = samples.groupBy("track_id", F.floor(F.col("frame_ix") / F.lit(hop)).cast("bigint").alias("hop_ix")).agg(
-        F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms"))
+    # one row per hop, used twice: written once instead of reading the samples twice
+    hops = cut_lineage(samples.groupBy("track_id", F.floor(F.col("frame_ix") / F.lit(hop)).cast("bigint").alias("hop_ix")).agg(
+        F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("rms")))
     ref = ranked_value(
         hops.filter(F.col("rms") > SILENT), ["track_id"], "rms",
         lambda n: F.floor(F.lit(quantile) * (n - 1) + 0.5), "_ref", width=0.0005)

@@ -2,8 +2,8 @@
 
 A block table has one row per (keys, block_ix) with equally long double arrays. Every scan runs
 in three steps: each full block is reduced to a short summary of what it does to the incoming
-state, the summaries (one small row per block) are folded per series into each block's incoming
-state, and every block is then computed on its own from that state. Summaries are
+state, the summaries (one small row per block) stream in order through a running state that gives each
+block's incoming state, and every block is then computed on its own from that state. Summaries are
 
 * linear systems: the end state for a zero start (the transition over a full block is fixed);
 * limiter gain ``g -> min(t, r g + c)``: cap, slope and intercept, closed under composition;
@@ -14,7 +14,7 @@ Only full blocks can have a successor, so series of one block skip the first two
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -139,30 +139,37 @@ def limiter_map(t: np.ndarray, release: float):
 
 
 def _scan(blocks: DataFrame, keys: Sequence[str], block: int, inputs: list[str], outputs: list[str],
-          summarize, fold, apply) -> DataFrame:
-    """``summarize(inputs) -> array`` per full block, ``fold(list of arrays) -> incoming states``,
-    ``apply(inputs, state or None) -> outputs``; states travel as flat double arrays."""
+          summarize, step, apply) -> DataFrame:
+    """``summarize(inputs) -> array`` per full block, ``step(state or None, summary) -> state`` along a series,
+    ``apply(states, inputs) -> outputs``; states travel as flat double arrays."""
     keys = list(keys)
 
     @F.pandas_udf(DOUBLES)
     def summary(*cols: pd.Series) -> pd.Series:
-        return pd.Series(summarize([c for c in cols]))
+        return pd.Series(summarize(list(cols)))
 
     key_fields = [blocks.schema[k] for k in keys]
     carry_schema = T.StructType([*key_fields, T.StructField("block_ix", T.LongType()), T.StructField("_state", DOUBLES)])
 
-    def carry(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("block_ix")
-        states = fold(list(pdf["_summary"]))
-        res = pdf[keys].copy()
-        res["block_ix"] = pdf["block_ix"] + 1
-        res["_state"] = states
-        return res
+    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # summaries arrive sorted by series and block; only the running state is held
+        current, state = None, None
+        for pdf in batches:
+            states = []
+            for key, item in zip(zip(*[pdf[k] for k in keys]), pdf["_summary"]):
+                if key != current:
+                    current, state = key, None
+                state = step(state, item)
+                states.append(state)
+            out = pdf[keys].copy()
+            out["block_ix"] = pdf["block_ix"] + 1
+            out["_state"] = pd.Series(states, index=pdf.index, dtype=object)
+            yield out
 
     full = blocks.filter(F.size(inputs[0]) == block).select(
         *keys, "block_ix", summary(*[F.col(c) for c in inputs]).alias("_summary")
     )
-    states = full.groupBy(*keys).applyInPandas(carry, carry_schema)
+    states = full.repartition(*keys).sortWithinPartitions(*keys, "block_ix").mapInPandas(carry, carry_schema)
 
     @F.pandas_udf(T.StructType([T.StructField(o, DOUBLES) for o in outputs]))
     def compute(state: pd.Series, *cols: pd.Series) -> pd.DataFrame:
@@ -191,12 +198,10 @@ def linear_scan(blocks: DataFrame, keys: Sequence[str], filters: dict[str, tuple
                 ends[rows, edges[k] : edges[k + 1]] = run_linear(sys, x, np.zeros((len(x), sys.order)))[1]
         return list(ends)
 
-    def fold(summaries):
-        state, out = np.zeros(edges[-1]), []
-        for end in summaries:
-            state = np.concatenate([steps[k] @ state[edges[k] : edges[k + 1]] for k in range(len(plan))]) + end
-            out.append(state)
-        return out
+    def step(state, end):
+        if state is None:
+            return end
+        return np.concatenate([steps[k] @ state[edges[k] : edges[k + 1]] for k in range(len(plan))]) + end
 
     def apply(state, cols):
         start = np.stack([np.zeros(edges[-1]) if s is None else np.asarray(s, float) for s in state])
@@ -210,7 +215,7 @@ def linear_scan(blocks: DataFrame, keys: Sequence[str], filters: dict[str, tuple
             res[names[k]] = pd.Series(col, dtype=object)
         return pd.DataFrame(res)
 
-    return _scan(blocks, keys, block, inputs, names, summarize, fold, apply)
+    return _scan(blocks, keys, block, inputs, names, summarize, step, apply)
 
 
 def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, tuple[str, float, float]],
@@ -230,16 +235,14 @@ def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, t
             out.append(np.array(flat))
         return out
 
-    def fold(summaries):
-        state, out = [start] * len(plan), []
-        for flat in summaries:
-            at = 0
-            for k in range(len(plan)):
-                n = int(flat[at])
-                state[k] = float(np.interp(state[k], flat[at + 1 : at + 1 + n], flat[at + 1 + n : at + 1 + 2 * n]))
-                at += 1 + 2 * n
-            out.append(np.array(state))
-        return out
+    def step(state, flat):
+        at, out = 0, []
+        for k in range(len(plan)):
+            n = int(flat[at])
+            g = start if state is None else state[k]
+            out.append(np.interp(g, flat[at + 1 : at + 1 + n], flat[at + 1 + n : at + 1 + 2 * n]))
+            at += 1 + 2 * n
+        return np.array(out)
 
     def apply(state, cols):
         begin = np.stack([np.full(len(plan), start) if s is None else np.asarray(s, float) for s in state])
@@ -253,7 +256,7 @@ def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, t
             res[names[k]] = pd.Series(col, dtype=object)
         return pd.DataFrame(res)
 
-    return _scan(blocks, keys, block, inputs, names, summarize, fold, apply)
+    return _scan(blocks, keys, block, inputs, names, summarize, step, apply)
 
 
 def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str, release: float,
@@ -266,12 +269,9 @@ def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str,
             res[rows] = np.stack(limiter_map(t, release), axis=1)
         return list(res)
 
-    def fold(summaries):
-        g, states = 1.0, []
-        for cap, slope, icpt in summaries:
-            g = min(cap, slope * g + icpt)
-            states.append(np.array([g]))
-        return states
+    def step(state, item):
+        cap, slope, icpt = item
+        return np.array([min(cap, slope * (1.0 if state is None else state[0]) + icpt)])
 
     def apply(state, cols):
         begin = np.array([1.0 if s is None else float(s[0]) for s in state])
@@ -282,7 +282,7 @@ def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str,
                 col[row] = y[i]
         return pd.DataFrame({out: pd.Series(col, dtype=object)})
 
-    return _scan(blocks, keys, block, [target], [out], summarize, fold, apply)
+    return _scan(blocks, keys, block, [target], [out], summarize, step, apply)
 
 
 def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str, skip: int,
@@ -315,12 +315,8 @@ def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str,
             out_rows.append(np.array(table))
         return out_rows
 
-    def fold(summaries):
-        d, states = 0, []
-        for table in summaries:
-            d = int(table[d])
-            states.append(np.array([float(d)]))
-        return states
+    def step(state, table):
+        return np.array([table[0 if state is None else int(state[0])]])
 
     def apply(state, cols):
         col = []
@@ -331,4 +327,4 @@ def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str,
             col.append(y)
         return pd.DataFrame({out: pd.Series(col, dtype=object)})
 
-    return _scan(blocks, keys, block, [flag], [out], summarize, fold, apply)
+    return _scan(blocks, keys, block, [flag], [out], summarize, step, apply)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,13 @@ def waveform_pyramid(samples: DataFrame, base: int = 256, factor: int = 4) -> Da
         "track_id", "ch", F.floor(F.col("frame_ix") / F.lit(base)).cast("bigint").alias("bin0")
     ).agg(F.min("x").alias("mn"), F.max("x").alias("mx"), F.sum(F.col("x") * F.col("x")).alias("sq"),
           F.count("x").alias("n"))
-    size = fine.groupBy("track_id", "ch").agg((F.max("bin0") + 1).alias("bins"))
     f = float(factor)
-    # a level exists while the one below it still has more than one bin
-    levels = F.filter(F.sequence(F.lit(0), F.lit(40)), lambda k: (k == 0) | (F.pow(F.lit(f), k - 1) < F.col("bins")))
-    return (
-        fine.join(size, ["track_id", "ch"])
-        .withColumn("level", F.explode(levels))
-        .groupBy("track_id", "ch", "level",
-                 F.floor(F.col("bin0") / F.pow(F.lit(f), F.col("level"))).cast("bigint").alias("bin_ix"))
-        .agg(F.min("mn").alias("min"), F.max("mx").alias("max"),
-             F.sqrt(F.sum("sq") / F.sum("n")).alias("rms"), F.sum("n").alias("frames"))
-    )
+    top = int(40 / math.log2(factor)) + 1  # levels for 2^40 fine bins; higher ones are never needed
+    rows = fine.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(top)))).groupBy(
+        "track_id", "ch", "level",
+        F.floor(F.col("bin0") / F.pow(F.lit(f), F.col("level"))).cast("bigint").alias("bin_ix")
+    ).agg(F.min("mn").alias("min"), F.max("mx").alias("max"), F.sqrt(F.sum("sq") / F.sum("n")).alias("rms"),
+          F.sum("n").alias("frames"), F.max("bin0").alias("_last"))
+    # a level exists while the one below has more than one bin; its bin 0 then holds a bin 1 from below
+    exists = (F.col("bin_ix") > 0) | (F.col("level") == 0) | (F.col("_last") >= F.pow(F.lit(f), F.col("level") - 1))
+    return rows.filter(exists).drop("_last")

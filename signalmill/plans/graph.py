@@ -114,14 +114,19 @@ def to_json(graph: Column) -> Column:
     return F.to_json(graph)
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """Number as text with fixed digits (a decimal cast is far cheaper than printf formatting)."""
+    return v.cast(f"decimal(18,{digits})").cast("string")
+
+
 def describe(graph: Column) -> Column:
     """One line of text per node: id, type, state and parameters in name order."""
     def pair(k: Column, v: Column) -> Column:
-        return F.concat(k, F.lit("="), F.format_string("%.4f", v))
+        return F.concat(k, F.lit("="), fixed(v, 4))
 
     def bands(n: Column) -> Column:
-        return F.array_join(F.transform(n["bands"], lambda b: F.format_string(
-            "%s@%.1f:%.3f:%.3f", b["shape"], b["frequency_hz"], b["gain_db"], b["q"])), "|")
+        return F.array_join(F.transform(n["bands"], lambda b: F.concat(
+            b["shape"], F.lit("@"), fixed(b["frequency_hz"], 1), F.lit(":"), fixed(b["gain_db"], 3), F.lit(":"), fixed(b["q"], 3))), "|")
 
     def line(n: Column) -> Column:
         keys = F.array_sort(F.map_keys(n["params"]))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,12 +25,23 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
     return spark
 
 
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where it is unset."""
+    global _scratch
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if _scratch is None:
+            _scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+        root = _scratch
+    return root.rstrip("/")
+
+
+_scratch: str | None = None
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
-
-    Only where the setting is absent (tests, laptops) is a scratch folder chosen.
-    """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))
-    return df.checkpoint()
+    """The rows as a table written once to the shared folder: what is read twice is computed once, columns stay
+    prunable, and lost executors read it again instead of recomputing it."""
+    path = f"{checkpoint_root(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -6,12 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import position
+from ..session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores where the files give fewer tasks than that (a few small files); otherwise as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 # lineitem rows are only unique as a whole, so the series order uses every informative column
 LINE_ORDER = [
     "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",
@@ -19,18 +26,22 @@ LINE_ORDER = [
 ]
 
 
-def sig_line(spark: SparkSession, folder: str) -> DataFrame:
-    """One stereo series per supplier: ``track_id, frame_ix, l, r``."""
+def sig_line(spark: SparkSession, folder: str, reused: bool = False) -> DataFrame:
+    """One stereo series per supplier: ``track_id, frame_ix, l, r``.
+
+    ``reused`` writes the frames to the checkpoint folder, for queries that read them more than once.
+    """
     li = table(spark, folder, "lineitem").select("l_suppkey", *LINE_ORDER)
     day = F.col("l_shipdate").cast("date")
     key_range = F.shiftright("l_orderkey", 24)
     placed = position(li, ["l_suppkey"], [day, key_range], [F.col(c) for c in LINE_ORDER], "frame_ix")
-    return placed.select(
+    frames = placed.select(
         F.col("l_suppkey").alias("track_id"),
         "frame_ix",
         (F.col("l_quantity") / 50.0).alias("l"),
         (F.col("l_discount") * 20.0 - 1.0).alias("r"),
     )
+    return cut_lineage(frames) if reused else frames
 
 
 def sig_embed_vectors(spark: SparkSession, folder: str) -> DataFrame:

@@ -216,3 +216,12 @@ def test_hard_clipping_is_recognised(spark):
          .join(integrity.full_scale_runs(f, block=1000), "track_id"))
     got = integrity.character_likelihoods(m, 8000).first()
     assert got.hard_clip > 0.5 and got.clipping_window_fraction > 0.5
+
+
+def test_positions_agree_whether_sorted_whole_or_by_bucket(spark):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame(pd.DataFrame({"k": rng.integers(0, 4, 400), "o": rng.permutation(400)}))
+    bucket = [F.floor(F.col("o") / 50), F.floor(F.col("o") / 5)]
+    whole = ordering.position(df, ["k"], bucket, [F.col("o")], "p").orderBy("o").collect()
+    split = ordering.position(df, ["k"], bucket, [F.col("o")], "p", sort_whole_rows=0).orderBy("o").collect()
+    assert [r.p for r in whole] == [r.p for r in split]
