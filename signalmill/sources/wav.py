@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -15,6 +16,9 @@ BLOCKS_SCHEMA = "track_id string, block_ix bigint, start_frame bigint, n int, ch
 HEADER_SCHEMA = (
     "track_id string, sample_rate int, channels int, frames bigint, bit_depth int, sample_format string, "
     "data_offset bigint, status string, error string")
+HEADER_ARROW = pa.schema([
+    ("track_id", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("bit_depth", pa.int32()),
+    ("sample_format", pa.string()), ("data_offset", pa.int64()), ("status", pa.string()), ("error", pa.string())])
 BLOCK = 65536
 HEADER_BYTES = 1 << 16
 
@@ -78,23 +82,17 @@ def read_tracks(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFram
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
     heads = files.select("path", "length", F.substring("content", 1, HEADER_BYTES).alias("head"))
 
-    def facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in HEADER_SCHEMA.split(", ")]
-        for pdf in batches:
+    def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
             rows = []
-            for p, size, head in zip(pdf["path"], pdf["length"], pdf["head"]):
+            for p, size, head in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "head")]):
                 try:
-                    rows.append({"track_id": p, **parse_header(bytes(head), int(size)), "status": "ok", "error": None})
+                    rows.append({"track_id": p, **parse_header(head, size), "status": "ok"})
                 except (ValueError, struct.error) as e:
                     rows.append({"track_id": p, "status": "error", "error": str(e)})
-            out = pd.DataFrame(rows, columns=names)
-            for c in ("sample_rate", "channels", "bit_depth"):
-                out[c] = out[c].astype("Int32")
-            for c in ("frames", "data_offset"):
-                out[c] = out[c].astype("Int64")
-            yield out
-
-    return heads.mapInPandas(facts, HEADER_SCHEMA)
+            yield pa.RecordBatch.from_pylist(rows, schema=HEADER_ARROW)
+
+    return heads.mapInArrow(facts, HEADER_SCHEMA)
 
 
 def read_wav_corpus(spark: SparkSession, path: str, glob: str = "*.wav", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
