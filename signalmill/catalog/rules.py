@@ -226,17 +226,17 @@ def r4(spark, sf):
     return rounded(single_issues(spark, sf).drop("rule_ix"))
 
 
-OVERLAP = "ov AS (SELECT o_custkey AS track_id, avg(u14) + 0.1 AS overlap FROM met0 GROUP BY 1)"
+OVERLAP = "ov AS (SELECT o_custkey AS track_id, round(avg(u14) + 0.1, 9) AS overlap FROM met0 GROUP BY 1)"
 
 
 def overlaps(spark, sf):
-    return met(spark, sf).groupBy(F.col("o_custkey").alias("track_id")).agg((F.avg("u14") + 0.1).alias("overlap"))
+    return met(spark, sf).groupBy(F.col("o_custkey").alias("track_id")).agg(F.round(F.avg("u14") + 0.1, 9).alias("overlap"))
 
 
 MASK = f"""{ISSUES},{OVERLAP},
-ba AS (SELECT * FROM src WHERE role = 'bass' QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY confidence DESC) = 1),
+ba AS (SELECT * FROM src WHERE role = 'bass' QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY confidence DESC, seq) = 1),
 pe AS (SELECT *, low * confidence * CASE WHEN role = 'kick' THEN 1.1 ELSE 1 END AS sc FROM src WHERE role IN ('kick', 'drums')
-       QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY sc DESC) = 1),
+       QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY sc DESC, seq) = 1),
 mk0 AS (SELECT ba.track_id, least(ba.confidence, pe.confidence) AS conf, pe.role AS prole,
     0.35 * {ramp('ba.low', '0.55', '0.9')} + 0.25 * {ramp('pe.low', '0.18', '0.52')} + 0.4 * {ramp('overlap', '0.4', '0.9')} AS severity
   FROM ba JOIN pe USING (track_id) JOIN ov USING (track_id) WHERE ba.low > 0.55 AND pe.low > 0.18 AND overlap > 0.4),
@@ -280,7 +280,7 @@ def d37(spark, sf):
 
 
 @query("r5_admit_sources", f"""WITH {SRC},
-pg AS (SELECT o_custkey AS track_id, 0.7 + 0.3 * max(u14) AS overall, avg(u13) * 14 AS program_s FROM met0 GROUP BY 1),
+pg AS (SELECT o_custkey AS track_id, 0.7 + 0.3 * max(u14) AS overall, round(avg(u13) * 14, 9) AS program_s FROM met0 GROUP BY 1),
 b AS (SELECT * FROM src WHERE role <> 'unknown' QUALIFY row_number() OVER (PARTITION BY track_id, role ORDER BY confidence DESC, seq) = 1),
 a AS (SELECT *, least(overall, confidence) AS decl, least(0.82 + 0.1 * {ramp('duration_s', '2', '12')} + 0.08 * {ramp('lufs', '(-55)', '(-30)')}, 1) AS meas
       FROM b JOIN pg USING (track_id))
@@ -290,7 +290,7 @@ SELECT track_id, role, CASE WHEN decl < 0.7 THEN 'low confidence' WHEN duration_
   AS effective_confidence FROM a""")
 def r5(spark, sf):
     pg = met(spark, sf).groupBy(F.col("o_custkey").alias("track_id")).agg(
-        (F.max("u14") * 0.3 + 0.7).alias("overall_confidence"), (F.avg("u13") * 14).alias("program_s"))
+        (F.max("u14") * 0.3 + 0.7).alias("overall_confidence"), F.round(F.avg("u13") * 14, 9).alias("program_s"))
     return rounded(iss.admit_sources(sources(spark, sf), pg, 4.0).select("track_id", "role", "reason", "effective_confidence"))
 
 

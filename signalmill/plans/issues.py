@@ -174,7 +174,8 @@ def infer_source_issues(s: DataFrame) -> DataFrame:
 def low_band_masking(s: DataFrame, overlap: DataFrame) -> DataFrame:
     """Masking issue between the most trusted bass and the best kick or drums estimate of each track.
 
-    ``overlap`` holds ``track_id, overlap`` (share of active time together); ``low`` is the 20..250 Hz energy.
+    ``overlap`` holds ``track_id, overlap`` (share of active time together); ``low`` is the 20..250 Hz energy and
+    ``seq`` the order of the estimates.
     """
     c, role = F.col, F.col("role")
     low = c("low")
@@ -182,8 +183,9 @@ def low_band_masking(s: DataFrame, overlap: DataFrame) -> DataFrame:
     score = low * c("confidence") * F.when(role == "kick", 1.10).otherwise(1.0)
     info = F.struct("role", "confidence", low.alias("low"))
     best = s.groupBy("track_id").agg(
-        F.max_by(info, F.when(role == "bass", c("confidence"))).alias("b"),
-        F.max_by(info, F.when(beat & (score > 0), score)).alias("p"))
+        # the earlier estimate wins on ties
+        F.max_by(info, F.when(role == "bass", F.struct(c("confidence"), -c("seq")))).alias("b"),
+        F.max_by(info, F.when(beat & (score > 0), F.struct(score, -c("seq")))).alias("p"))
     j = best.join(overlap, "track_id").filter(
         F.col("b.role").eqNullSafe("bass") & F.col("p.role").isin("kick", "drums")
         & (F.col("b.low") > 0.55) & (F.col("p.low") > 0.18) & (F.col("overlap") > 0.40))
