@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import filters as fl
 from ..operators.collections import preference_vector
 from ..operators.scans import from_blocks, to_blocks
-from ..sources.adapters import sig_embed
+from ..sources.adapters import sig_embed, table
 from ..streaming import stateful as stt
 from ..streaming import windows as win
 from ..streaming.runner import run_available, scratch_folder, table_stream
@@ -47,7 +47,7 @@ SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::B
 FROM g GROUP BY user_id, s""")
 def s4(spark, sf):
     # sessions are emitted when the watermark passes them; on a table all are complete
-    batch = spark.read.parquet(f"{sf}/events.parquet").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
+    batch = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
     return seconds(win.sessions(batch, "6 hours"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.levels import clamp
+from ..session import cut_lineage
 from .ordering import fill_from_neighbours, home_rows, position, running_total, with_halo
 from .quantiles import ranked_value
 
@@ -165,13 +166,14 @@ def merge_events(events: DataFrame, max_gap: float, block: int = 4096, root: str
     change = F.coalesce(F.lag("label").over(w) != F.col("label"), F.lit(True)) | (F.col("label") == root)
     # label runs first (each bounded by a change of label), then gaps inside a label run
     runs_ = home_rows(rows.withColumn("_start", F.when(change, F.col("_p"))))
-    runs_ = fill_from_neighbours(runs_, keys, "_p", block, "_start", "_run", None)
+    # every step reads its input more than once: keep the (event-sized) intermediate tables
+    runs_ = cut_lineage(fill_from_neighbours(cut_lineage(runs_), keys, "_p", block, "_start", "_run", None))
     reach = _running_max(runs_, ["track_id", "_run"], "_p", block, "end_s", "_reach")
     rows, w = with_halo(reach, keys, "_p", block, before=1)
     same = F.coalesce(F.lag("_run").over(w) == F.col("_run"), F.lit(False))
     joined = same & (F.col("start_s") <= F.lag("_reach").over(w) + max_gap)
     marked = home_rows(rows.withColumn("_head", F.when(~F.coalesce(joined, F.lit(False)), F.col("_p"))))
-    marked = fill_from_neighbours(marked, keys, "_p", block, "_head", "_group", None)
+    marked = fill_from_neighbours(cut_lineage(marked), keys, "_p", block, "_head", "_group", None)
     return marked.groupBy("track_id", "_group").agg(
         F.first("label").alias("label"), F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"),
         F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("merged")).drop("_group")

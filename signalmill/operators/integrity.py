@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.levels import amplitude_db, amplitude_db_clamped, clamp, is_finite
+from ..session import cut_lineage
 from .frames import to_long
 from .ordering import home_rows, runs, with_halo
 from .quantiles import linear_quantiles
@@ -120,7 +121,7 @@ def window_character(frames: DataFrame, window: int = 2048, channels: Sequence[s
     mags = [F.abs(F.col(c)) for c in channels]
     top = F.greatest(*mags) if len(mags) > 1 else mags[0]
     power = sum((F.col(c) * F.col(c) for c in channels), F.lit(0.0)) / float(len(channels))
-    w = (
+    w = cut_lineage(
         frames.groupBy("track_id", F.floor(F.col("frame_ix") / F.lit(window)).alias("win"))
         .agg(F.sqrt(F.avg(power)).alias("rms"), F.max(top).alias("peak"))
         .filter(F.col("rms") > ACTIVE_RMS)

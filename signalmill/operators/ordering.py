@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 
 def running_total(
     df: DataFrame,
@@ -36,6 +38,8 @@ def running_total(
     if not names:
         return rows
     totals = base.groupBy(*keys, *names).agg(F.sum(value).alias("_total"))
+    if len(names) > 1:  # each level reads the totals again; the rows are summed up once
+        totals = cut_lineage(totals)
     offsets = _bucket_offsets(totals, keys, names)
     return (
         rows.join(offsets, [*keys, *names], "left")
@@ -128,10 +132,8 @@ def fill_from_neighbours(
         rows = rows.withColumn(previous, F.last(value, ignorenulls=True).over(back))
     if following:
         rows = rows.withColumn(following, F.first(value, ignorenulls=True).over(ahead))
-    edges = base.filter(F.col(value).isNotNull()).groupBy(*keys, "_block").agg(
-        F.min_by(value, pos).alias("_first"), F.max_by(value, pos).alias("_last")
-    )
-    blocks = base.select(*keys, "_block").distinct().join(edges, [*keys, "_block"], "left")
+    at = F.when(F.col(value).isNotNull(), F.col(pos))
+    blocks = base.groupBy(*keys, "_block").agg(F.min_by(value, at).alias("_first"), F.max_by(value, at).alias("_last"))
     wb = Window.partitionBy(*keys).orderBy("_block")
     carry = blocks.select(
         *keys,
@@ -163,6 +165,8 @@ def runs(
         .groupBy(*keys, "_block", "_island")
         .agg(F.min(pos).alias("start_ix"), F.max(pos).alias("end_ix"))
     )
+    # read twice below; the samples behind it are read once
+    partial = cut_lineage(partial)
     touches_start = F.pmod(F.col("start_ix"), F.lit(block)) == 0
     touches_end = F.pmod(F.col("end_ix"), F.lit(block)) == block - 1
     inner = partial.filter(~touches_start & ~touches_end).select(*keys, "start_ix", "end_ix")

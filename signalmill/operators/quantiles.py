@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from .ordering import running_total
 
 
 def _ranked_values(df: DataFrame, keys: Sequence[str], value: str, width: float) -> DataFrame:
     """Distinct values with their rank range ``[_lo, _hi)`` and the group size ``_n``."""
     keys = list(keys)
-    counts = (
+    # the input may be costly and is read once; the counted values are read for ranks, totals and sizes
+    counts = cut_lineage(
         df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
     )
     # two levels of value ranges keep both the sort and the list of ranges short

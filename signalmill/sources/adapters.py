@@ -10,6 +10,9 @@ from ..session import cut_lineage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. Its timestamps have no zone and are read as UTC."""
+    if spark.conf.get("spark.sql.session.timeZone") != "UTC":
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_root
+from ..sources.adapters import table
 
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
@@ -20,7 +21,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int | None = None) -> DataFrame:
     """A table's files as a stream; the schema comes from the files' footers, not from the data."""
     path = f"{folder}/{name}.parquet"
-    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    reader = spark.readStream.schema(table(spark, folder, name).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path + "*")
