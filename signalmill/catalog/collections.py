@@ -323,3 +323,56 @@ def u4(spark, sf):
 SELECT corpus_id, item_id, count(*) AS copies FROM mf GROUP BY 1, 2 HAVING count(*) > 1""")
 def u5(spark, sf):
     return sy.duplicate_identity(manifest(spark, sf), "corpus_id", "item_id")
+
+
+def event_log(spark, sf):
+    """The events appended to a log folder in two steps."""
+    from ..sources import logs
+    from ..streaming.runner import scratch_folder
+
+    folder = scratch_folder(spark, "event-log")
+    e = table(spark, sf, "events").select(
+        F.col("event_type").alias("profile_name"), F.col("event_id").cast("string").alias("event_id"),
+        F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp_ms"), F.lit(1).alias("event_type"),
+        ((F.col("value") - 50.0) / 25).alias("delta_lufs"))
+    logs.append_events(e.filter("event_id % 2 = 0"), folder)
+    logs.append_events(e.filter("event_id % 2 = 1"), folder)
+    return folder
+
+
+@query("a5_read_event_log", f"""SELECT CAST(event_id AS VARCHAR) AS event_id, event_type AS profile_name, epoch_us(ts) // 1000 AS timestamp_ms,
+  {rd('(value - 50.0) / 25')} AS delta_lufs, 0.0::DOUBLE AS delta_punch FROM events""")
+def a5(spark, sf):
+    from ..sources import logs
+
+    log = logs.read_event_log(spark, event_log(spark, sf))
+    return rounded(log.select("event_id", "profile_name", "timestamp_ms", "delta_lufs", "delta_punch"))
+
+
+@query("a6_export_import_reset", """SELECT event_type AS profile_name, count(*) AS events FROM events WHERE event_type <> 'error' GROUP BY 1""")
+def a6(spark, sf):
+    """Export all logs, import them elsewhere, reset one profile there."""
+    from ..sources import logs
+    from ..streaming.runner import scratch_folder
+
+    out, other = scratch_folder(spark, "export"), scratch_folder(spark, "import")
+    logs.export_all(spark, event_log(spark, sf), out)
+    logs.import_all(spark, out, other)
+    logs.reset_profile(spark, other, "error")
+    return logs.read_live_events(spark, other).groupBy("profile_name").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("a1_decode_wav", """WITH d AS (SELECT doc_id, octet_length(encode(text)) // 2 AS frames FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS track_id, b AS block_ix, CAST(least(500, frames - b * 500) AS INTEGER) AS n, b = (frames - 1) // 500 AS is_last
+FROM d, unnest(range((frames + 499) // 500)) AS u(b)""")
+def a1(spark, sf):
+    """Each text's bytes as the 16-bit samples of a mono WAV file of open length."""
+    import struct
+
+    from ..sources.adapters import spread
+    from ..sources.wav import decode_files
+
+    head = b"RIFF" + struct.pack("<I", 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
+    d = spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+    files = d.select("path", F.concat(F.lit(head), F.encode("text", "UTF-8")).alias("content"))
+    return decode_files(files, 500).select("track_id", "block_ix", "n", "is_last")

@@ -413,3 +413,20 @@ def d39(spark, sf):
     src = long.groupBy("track_id", F.col("ch").alias("source")).agg(F.sqrt(F.avg(F.col("x") * F.col("x"))).alias("source_rms"))
     mix = f.groupBy("track_id").agg(F.sqrt(F.avg(F.pow((F.col("l") + F.col("r")) / 2, 2.0))).alias("program_rms"))
     return rounded(evn.source_presence(src, mix))
+
+
+@query("d29_estimate_f0")
+def d29(spark, sf):
+    return rounded(rp.segment_characteristics(sig_line(spark, sf), 4000.0, 300).select("track_id", "segment", "f0_hz"))
+
+
+@query("x4_chunk_function", f"""WITH {LONG_LINE} SELECT track_id, ch, frame_ix, {rd('x * 0.5 + 0.1')} AS x FROM long_line""")
+def x4(spark, sf):
+    """A user function per chunk; one that maps each sample alone must come back unchanged by the stitching."""
+    return rounded(fr.map_chunks(fr.to_long(sig_line(spark, sf)), 64, 16, lambda v: v * 0.5 + 0.1))
+
+
+@query("e9_cumulative_share", f"""WITH {SPECTRUM_CTE} SELECT track_id, CAST(bin AS INTEGER) AS bin,
+  {rd('sum(power) OVER (PARTITION BY track_id ORDER BY bin) / sum(power) OVER (PARTITION BY track_id)')} AS share FROM spec""")
+def e9(spark, sf):
+    return rounded(sp.cumulative_share(spectrum(spark, sf)))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,3 +117,22 @@ def overlap_add(
         .groupBy(*keys, "frame_ix")
         .agg(F.sum("_y").alias(value))
     )
+
+
+def map_chunks(
+    samples: DataFrame, chunk: int, overlap: int, fn: Callable[[np.ndarray], np.ndarray], keys: Sequence[str] = ("track_id", "ch")
+) -> DataFrame:
+    """Run a function (for example a model) over overlapping chunks and stitch the results by cross-fade.
+
+    ``fn`` gets and returns one array of equal length; chunks of all series are spread over the tasks.
+    """
+    keys = list(keys)
+
+    @F.pandas_udf("array<double>")
+    def run(x: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(fn(np.asarray(v, float)), float) for v in x])
+
+    packed = cut_chunks(samples, chunk, overlap, keys).groupBy(*keys, "chunk_ix").agg(
+        F.array_sort(F.collect_list(F.struct("pos", "x"))).alias("_r"))
+    done = packed.select(*keys, "chunk_ix", run(F.transform("_r", lambda s: s["x"])).alias("_y"))
+    return overlap_add(done.select(*keys, "chunk_ix", F.posexplode("_y").alias("pos", "x")), chunk, overlap, keys)

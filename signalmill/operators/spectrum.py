@@ -68,6 +68,13 @@ def spectral_shape(spectrum: DataFrame, rate: float, fft: int, share: float = 0.
         F.coalesce(F.min(F.when(F.col("_cum") >= F.col("_total") * share, F.col("_hz"))), F.lit(0.0)).alias("rolloff_hz"))
 
 
+def cumulative_share(spectrum: DataFrame) -> DataFrame:
+    """Share of power up to each bin (a spectrum has fft/2+1 rows per series)."""
+    w = Window.partitionBy("track_id").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    total = F.sum("power").over(Window.partitionBy("track_id"))
+    return spectrum.select("track_id", "bin", (F.sum("power").over(w) / F.nullif(total, F.lit(0.0))).alias("share"))
+
+
 def band_ratios(spectrum: DataFrame, rate: float, fft: int, edges=BAND_EDGES) -> DataFrame:
     """Share of power in six half-open bands (the last ends at Nyquist if that is lower)."""
     hz = F.col("bin") * float(rate) / float(fft)

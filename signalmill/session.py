@@ -26,10 +26,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a scratch folder only where it is unset."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir`` (or the context's checkpoint folder).
+
+    A scratch folder is used only in local mode; on a cluster a folder of one machine would not be seen by the rest.
+    """
     global _scratch
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if _scratch is None:
             _scratch = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         root = _scratch

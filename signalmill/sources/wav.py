@@ -95,12 +95,8 @@ def read_tracks(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFram
     return heads.mapInArrow(facts, HEADER_SCHEMA)
 
 
-def read_wav_corpus(spark: SparkSession, path: str, glob: str = "*.wav", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``tracks`` and ``blocks`` of all readable files below ``path``, files spread over tasks.
-
-    For files larger than a Spark binary value (2 GB) use the :class:`WavDataSource`, which reads block ranges.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+def decode_files(files: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Blocks of all readable files in a table of ``path, content``; files are decoded where they lie."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in BLOCKS_SCHEMA.split(", ")]
@@ -113,7 +109,16 @@ def read_wav_corpus(spark: SparkSession, path: str, glob: str = "*.wav", block:
                 except (ValueError, struct.error):
                     continue  # reported in the tracks table
 
-    return read_tracks(spark, path, glob), files.select("path", "content").mapInPandas(cut, BLOCKS_SCHEMA)
+    return files.select("path", "content").mapInPandas(cut, BLOCKS_SCHEMA)
+
+
+def read_wav_corpus(spark: SparkSession, path: str, glob: str = "*.wav", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``tracks`` and ``blocks`` of all readable files below ``path``, files spread over tasks.
+
+    For files larger than a Spark binary value (2 GB) use the :class:`WavDataSource`, which reads block ranges.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return read_tracks(spark, path, glob), decode_files(files, block)
 
 
 def blocks_to_frames(blocks: DataFrame) -> DataFrame:

@@ -224,3 +224,11 @@ def test_profiles_against_a_plain_loop(spark):
         chans.append(np.where(y > top, top + (y - top) * 0.2, np.where(y < -top, -top + (y + top) * 0.2, y)))
     m = (chans[0] + chans[1]) / 2
     assert got[name].peak == pytest.approx(np.abs(m).max()) and got[name].rms == pytest.approx(np.sqrt(np.mean(m**2)))
+
+
+def test_chunked_function_is_stitched_back(spark):
+    from signalmill.operators import frames as fr
+
+    x = noise(150)
+    y = values(fr.map_chunks(long(spark, x), 32, 8, lambda v: v * 2), "frame_ix", "x")[0]
+    assert np.allclose(y, x * 2)
