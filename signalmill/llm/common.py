@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import zstandard
@@ -146,3 +148,60 @@ def grouped(order_key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     ordered = order_key[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(order) else np.zeros(0, np.int64)
     return order, starts
+
+
+BLOCKED = {"block": pa.int32(), "found": pa.binary()}
+
+
+def block_rows(doc: np.ndarray, blocks: int, *columns: np.ndarray, extra: dict | None = None):
+    """Findings on many documents as one row for each block of documents: a bucket's result has few rows, however many
+    documents it touches. ``extra``: further columns, with one value for all rows."""
+    if not len(doc):
+        return
+    block = (mix(doc.view(np.uint64), 59) % np.uint64(blocks)).astype(np.int64)
+    order = np.lexsort((*columns[::-1], doc, block))
+    block, doc, columns = block[order], doc[order], [c[order] for c in columns]
+    cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
+    ends = np.append(cuts[1:], len(block))
+    blobs = [pack(np.diff(doc[a:b], prepend=0), np.diff(columns[0][a:b], prepend=0), *(c[a:b] for c in columns[1:]))
+             for a, b in zip(cuts, ends, strict=True)]
+    more = {k: [v] * len(cuts) for k, v in (extra or {}).items()}
+    schema = BLOCKED | {k: pa.int32() for k in more}
+    yield record(schema, block=block[cuts], found=blobs, **more)
+
+
+def block_columns(batches) -> list[np.ndarray]:
+    """All findings of a block: documents and columns, ordered by document, then by the columns."""
+    parts = []
+    for batch in batches:
+        for blob in batch.column("found").to_pylist():
+            doc, first, *rest = unpack(blob)
+            parts.append((np.cumsum(doc), np.cumsum(first), *rest))
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    order = np.lexsort((*columns[:0:-1], columns[0]))
+    return [c[order] for c in columns]
+
+
+def document_slices(doc: np.ndarray):
+    """Ids and ranges of rows of each document in an ordered column."""
+    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    return doc[at], list(zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True))
+
+
+def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of a union of ranges."""
+    if not len(start):
+        return start, stop
+    order = np.argsort(start, kind="stable")
+    start, stop = start[order], np.maximum.accumulate(stop[order])
+    at = np.flatnonzero(np.concatenate([[True], start[1:] > stop[:-1]]))
+    return start[at], stop[np.append(at[1:], len(start)) - 1]
+
+
+def document_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a block with findings ``start, length``: one row per document with its maximal runs, packed."""
+    doc, start, length = block_columns(batches)
+    ids, slices = document_slices(doc)
+    blobs = [pack(*merged(start[a:b], start[a:b] + length[a:b])) for a, b in slices]
+    for lo in range(0, len(ids), 10_000):
+        yield record({"doc_id": pa.int64(), "ranges": pa.binary()}, doc_id=ids[lo: lo + 10_000], ranges=blobs[lo: lo + 10_000])

@@ -11,12 +11,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, byte_values, given_id, grouped, id_and_text, mix, pack, partitions, record, unpack, word_hashes
+from .common import (
+    Rolling,
+    block_rows,
+    buffers,
+    byte_values,
+    document_ranges,
+    given_id,
+    grouped,
+    id_and_text,
+    mix,
+    pack,
+    partitions,
+    record,
+    unpack,
+    word_hashes,
+)
 
 PACKED = {"bucket": pa.int32(), "hashes": pa.binary(), "places": pa.binary(), "known": pa.binary()}
-FOUND = {"doc_id": pa.int64(), "starts": pa.binary()}
 #: windows that a task combines before the shuffle
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 
 def window_chunks(batches, size: int):
@@ -101,46 +115,22 @@ def packer(size: int, buckets: int):
     return run
 
 
-def by_document(doc: np.ndarray, pos: np.ndarray):
-    """One row per document with the positions as a packed value, in batches."""
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    for lo in range(0, len(at), 10_000):
-        cut = np.append(at[lo: lo + 10_001], len(doc))[:10_001]
-        yield record(FOUND, doc_id=doc[cut[:-1]],
-                     starts=[pos[a:b].astype(np.int64).tobytes() for a, b in zip(cut[:-1], cut[1:], strict=True)])
-
-
-def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of one bucket: all windows that start later than the first equal one."""
-    hs, docs, poss = [], [], []
-    for batch in batches:
-        for h, where, known in zip(*(batch.column(k).to_pylist() for k in ("hashes", "places", "known")), strict=True):
-            doc, pos = placed(where)
-            hs.append(np.frombuffer(h, np.uint64))
-            docs.append(doc)
-            poss.append(pos)
-            yield from by_document(*placed(known))
-    h, doc, pos = np.concatenate(hs), np.concatenate(docs), np.concatenate(poss)
-    del hs, docs, poss
-    later, _ = later_in_group(*grouped(h), doc, pos)
-    yield from by_document(doc[later], pos[later])
-
-
-def covered(n: int, starts: np.ndarray, size: int) -> np.ndarray:
-    """Which of n places lie in a window of ``size`` that begins at one of ``starts``."""
-    step = np.zeros(n + 1, np.int64)
-    starts = starts[starts < n]
-    np.add.at(step, starts, 1)
-    np.add.at(step, np.minimum(starts + size, n), -1)
-    return np.cumsum(step[:-1]) > 0
-
+def finder(size: int, blocks: int):
+    def repeated_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of one bucket: all windows that start later than the first equal one."""
+        parts, known = [], []
+        for batch in batches:
+            for h, where, more in zip(*(batch.column(k).to_pylist() for k in ("hashes", "places", "known")), strict=True):
+                parts.append((np.frombuffer(h, np.uint64), *placed(where)))
+                known.append(placed(more))
+        h, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
+        later, _ = later_in_group(*grouped(h), doc, pos)
+        doc = np.concatenate([doc[later], *(x[0] for x in known)])
+        pos = np.concatenate([pos[later], *(x[1] for x in known)])
+        yield from block_rows(doc, blocks, pos, np.full(len(pos), size))
 
-def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """``doc_id, text, found``: each text with the list of packed positions found for its document."""
-    lists = found.groupBy("doc_id").agg(F.collect_list("starts").alias("found"))
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "found")
+    return repeated_windows
 
 
 def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
@@ -155,24 +145,25 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     docs = id_and_text(docs)
     buckets = partitions(docs)
     packed = docs.mapInArrow(packer(size, buckets), "bucket int, hashes binary, places binary, known binary")
-    found = packed.groupBy("bucket").applyInArrow(repeated_windows, "doc_id long, starts binary")
+    found = packed.groupBy("bucket").applyInArrow(finder(size, buckets), "block int, found binary")
+    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, ranges binary")
 
     def cut(batches):
         schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
         for batch in batches:
             out = {k: [] for k in schema}
-            for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+            for doc, text, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 words = text.as_buffer().to_pybytes().split()
-                lists = lists.as_py()
                 kept = words
-                if lists:
-                    starts = np.concatenate([np.frombuffer(x, np.int64) for x in lists])
-                    kept = list(compress(words, ~covered(len(words), starts, size)))
+                if blob:
+                    start, stop = unpack(blob)
+                    stop = np.minimum(stop, len(words))
+                    kept = [w for a, b in zip([0, *stop.tolist()], [*start.tolist(), len(words)], strict=True) for w in words[a:b]]
                 for k, v in zip(schema, (doc, len(words), len(words) - len(kept), b" ".join(kept).decode()), strict=True):
                     out[k].append(v)
             yield record(schema, **out)
 
-    return with_found(docs, found).mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string").withColumn(
+    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string").withColumn(
         "doc_id", given_id())
 
 
