@@ -13,15 +13,30 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import SLICE, Rolling, buffers, byte_values, given_id, grouped, id_and_text, mix, pack, partitions, record, unpack
+from .common import (
+    SLICE,
+    Rolling,
+    block_columns,
+    block_rows,
+    buffers,
+    byte_values,
+    document_ranges,
+    document_slices,
+    given_id,
+    grouped,
+    id_and_text,
+    mix,
+    pack,
+    partitions,
+    record,
+    unpack,
+)
 from .substrings import placed, places
 
 PACKED = {"bucket": pa.int32(), "seeds": pa.binary(), "digests": pa.binary(), "places": pa.binary(), "counts": pa.binary(),
           "known": pa.binary(), "known_counts": pa.binary()}
-FOUND = {"doc_id": pa.int64(), "removed": pa.binary(), "contested": pa.binary()}
 CONTEXT = {"bucket": pa.int32(), "seed": pa.int64(), "doc_id": pa.int64(), "start": pa.int64(), "bytes": pa.binary()}
 #: stretches that a task combines before the shuffle
 CHUNK = 400_000
@@ -137,54 +152,38 @@ def packer(length: int, seed: int, buckets: int):
     return run
 
 
-def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Maximal runs of a union of ranges."""
-    order = np.argsort(start, kind="stable")
-    start, stop = start[order], np.maximum.accumulate(stop[order]) if len(stop) else stop
-    new = np.concatenate([[True], start[1:] > stop[:-1]]) if len(start) else np.zeros(0, bool)
-    at = np.flatnonzero(new)
-    return start[at], stop[np.append(at[1:], len(start)) - 1] if len(at) else stop
-
-
-def rows_by_document(doc, columns, make):
-    """A sorting order by document and batches of ``(ids, [make(rows) ...])``."""
-    order = np.argsort(doc, kind="stable")
-    doc = doc[order]
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    for lo in range(0, len(at), 5000):
-        cut = np.append(at[lo: lo + 5001], len(doc))[:5001]
-        yield doc[cut[:-1]], [make(*(c[order[a:b]] for c in columns)) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-
-
-def removed_rows(doc, start, stop):
-    for ids, blobs in rows_by_document(doc, (start, stop), lambda a, b: pack(*merged(a, b))):
-        yield record(FOUND, doc_id=ids, removed=blobs, contested=[None] * len(ids))
-
-
-def settler(length: int):
+def settler(length: int, blocks: int):
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one bucket: what repeats a whole stretch, and the stretches that meet others under their seed."""
-        held = []
+        parts, known = [], []
         for batch in batches:
             for row in batch.to_pylist():
-                doc, pos = placed(row["known"])
-                yield from removed_rows(doc, pos, pos + unpack(row["known_counts"])[0] + length - 1)
-                doc, pos = placed(row["places"])
-                held.append((np.frombuffer(row["seeds"], np.uint64), np.frombuffer(row["digests"], np.uint64), doc, pos,
-                             unpack(row["counts"])[0]))
-        seeds, digests, doc, pos, count = (np.concatenate(x) for x in zip(*held, strict=True))
-        del held
+                known.append((*placed(row["known"]), unpack(row["known_counts"])[0]))
+                parts.append((np.frombuffer(row["seeds"], np.uint64), np.frombuffer(row["digests"], np.uint64), *placed(row["places"]),
+                              unpack(row["counts"])[0]))
+        seeds, digests, doc, pos, count = (np.concatenate(x) for x in zip(*parts, strict=True))
+        del parts
         later, kept, different = settled(seeds, digests, doc, pos)
-        yield from removed_rows(doc[later], pos[later], pos[later] + count[later] % ITSELF + length - 1)
-        open_ = (different > 1) | (count[kept] >= ITSELF)
+        count, itself = count % ITSELF, count >= ITSELF
+        gone = [np.concatenate([x[later], *more]) for x, more in zip((doc, pos, count), zip(*known, strict=True), strict=True)]
+        yield from block_rows(gone[0], blocks, gone[1], gone[2] + length - 1, extra={"contested": 0})
+        open_ = (different > 1) | itself[kept]
         kept, different = kept[open_], different[open_]
-        columns = (seeds[kept].view(np.int64), pos[kept], count[kept] % ITSELF, (different > MANY).astype(np.int64))
-        for ids, blobs in rows_by_document(doc[kept], columns, pack):
-            yield record(FOUND, doc_id=ids, removed=[None] * len(ids), contested=blobs)
+        yield from block_rows(doc[kept], blocks, pos[kept], count[kept], seeds[kept].view(np.int64), (different > MANY).astype(np.int64),
+                              extra={"contested": 1})
 
     return settle
 
 
+def document_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of a block: one row per document with its contested stretches, packed."""
+    doc, *columns = block_columns(batches)
+    ids, slices = document_slices(doc)
+    blobs = [pack(*(c[a:b] for c in columns)) for a, b in slices]
+    for lo in range(0, len(ids), 5000):
+        yield record({"doc_id": pa.int64(), "stretches": pa.binary()}, doc_id=ids[lo: lo + 5000], stretches=blobs[lo: lo + 5000])
+
+
 def fetcher(length: int, buckets: int):
     def fetch(batches):
         """The bytes of contested stretches; of a group of very many, each window by itself, dealt out by its content."""
@@ -196,10 +195,10 @@ def fetcher(length: int, buckets: int):
                     out[k].append(v)
 
             held = 0
-            for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_buffer().to_pybytes()
-                for blob in lists:
-                    seeds, starts, counts, hot = unpack(blob)
+                if blob:
+                    starts, counts, seeds, hot = unpack(blob)
                     where = (mix(seeds.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
                     for b, s, a, n, h in zip(where.tolist(), seeds.tolist(), starts.tolist(), counts.tolist(), hot.tolist(), strict=True):
                         if not h:
@@ -336,7 +335,7 @@ def later_windows(contents: list[bytes], seeds: np.ndarray, doc: np.ndarray, sta
     return d[later], p[later]
 
 
-def sorter(length: int, seed: int):
+def sorter(length: int, seed: int, blocks: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of one bucket: the windows of contested stretches that start later than an equal one."""
         table = pa.Table.from_batches(list(batches))
@@ -346,7 +345,7 @@ def sorter(length: int, seed: int):
         order = np.argsort(seeds, kind="stable")
         windows = np.cumsum(np.asarray([len(x.as_buffer()) - length + 1 for x in contents], np.int64)[order])
         new = np.flatnonzero(np.concatenate([[True], seeds[order][1:] != seeds[order][:-1]]))
-        a = 0
+        a, found = 0, []
         while a < len(order):  # whole groups, about AT_ONCE windows at a time
             done = windows[a - 1] if a else 0
             b = int(np.searchsorted(windows, done + AT_ONCE, "right"))
@@ -355,9 +354,10 @@ def sorter(length: int, seed: int):
             if windows[-1] <= done + AT_ONCE:
                 b = len(order)
             own = order[a:b]
-            d, p = later_windows([contents[int(i)].as_buffer().to_pybytes() for i in own], seeds[own], doc[own], start[own], length, seed)
-            yield from removed_rows(d, p, p + length)
+            found.append(later_windows([contents[int(i)].as_buffer().to_pybytes() for i in own], seeds[own], doc[own], start[own], length, seed))
             a = b
+        d, p = (np.concatenate(x) for x in zip(*found, strict=True))
+        yield from block_rows(d, blocks, p, np.full(len(p), length))
 
     return sort
 
@@ -375,24 +375,24 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 40) -> DataFram
     buckets = partitions(docs)
     packed = docs.mapInArrow(packer(length, seed, buckets), "bucket int, seeds binary, digests binary, places binary, "
                              "counts binary, known binary, known_counts binary")
-    kind = "doc_id long, removed binary, contested binary"
-    first = cut_lineage(packed.groupBy("bucket").applyInArrow(settler(length), kind))
-    lists = first.where("contested IS NOT NULL").groupBy("doc_id").agg(F.collect_list("contested").alias("found"))
-    contexts = docs.join(lists, "doc_id").select("doc_id", "text", "found").mapInArrow(
+    first = cut_lineage(packed.groupBy("bucket").applyInArrow(settler(length, buckets), "block int, found binary, contested int"))
+    stretches_of = first.where("contested = 1").groupBy("block").applyInArrow(document_stretches, "doc_id long, stretches binary")
+    contexts = docs.join(stretches_of, "doc_id").select("doc_id", "text", "stretches").mapInArrow(
         fetcher(length, buckets), "bucket int, seed long, doc_id long, start long, bytes binary")
-    second = contexts.groupBy("bucket").applyInArrow(sorter(length, seed), kind)
-    found = first.where("removed IS NOT NULL").select("doc_id", "removed").unionByName(second.select("doc_id", "removed"))
+    second = contexts.groupBy("bucket").applyInArrow(sorter(length, seed, buckets), "block int, found binary")
+    found = first.where("contested = 0").select("block", "found").unionByName(second)
+    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, ranges binary")
 
     def cut(batches):
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
         for batch in batches:
             out = {k: [] for k in schema}
-            for doc, text, lists in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            for doc, text, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 text = text.as_buffer().to_pybytes()
                 kept, gone, spans = text, 0, 0
-                if lists:
-                    parts = [unpack(x) for x in lists]
-                    a, b = merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+                if blob:
+                    a, b = unpack(blob)
+                    b = np.minimum(b, len(text))
                     gone, spans = int((b - a).sum()), len(a)
                     ends = [0, *b.tolist()]
                     kept = b"".join(text[x:y] for x, y in zip(ends, [*a.tolist(), len(text)], strict=True))
@@ -400,8 +400,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 40) -> DataFram
                     out[k].append(v)
             yield record(schema, **out)
 
-    lists = found.groupBy("doc_id").agg(F.collect_list("removed").alias("found"))
-    return docs.join(lists, "doc_id", "left").select("doc_id", "text", "found").mapInArrow(
+    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", given_id())
 
 
