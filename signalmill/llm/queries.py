@@ -59,3 +59,11 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     from .jaccard import jaccard_join
 
     return jaccard_join(table(spark, folder, "documents"), words=4, percent=85)
+
+
+@query("op2_weighted_fingerprints")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    """Fingerprints of ``documents`` and of their edited texts."""
+    from .fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, folder, "documents"), samples=64)
