@@ -14,15 +14,18 @@ from pyspark.sql import functions as F
 from .common import given_id, id_and_text, mix, partitions, record
 
 #: parameters of words that a task keeps between texts
-KNOWN = 30_000
+KNOWN = 120_000
 
 
 def uniforms(keys: np.ndarray, samples: int, stream: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two numbers in (0, 1) for each key and sample, from the halves of one hash."""
-    k = np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    bits = mix(mix(keys, 71 + stream)[:, None] + k[None, :], 73)
-    low, high = (bits & np.uint64(0xFFFFFFFF)).astype(np.float32), (bits >> np.uint64(32)).astype(np.float32)
-    return np.clip((low + 0.5) * np.float32(2.0**-32), 1e-10, 1 - 1e-7), np.clip((high + 0.5) * np.float32(2.0**-32), 1e-10, 1 - 1e-7)
+    """Two numbers in (0, 1) of 24 bits for each key and sample, from one hash."""
+    factors = mix(np.arange(samples, dtype=np.uint64), 83 + stream) | np.uint64(1)
+    bits = mix(keys, 71 + stream)[:, None] * factors[None, :]
+    bits ^= bits >> np.uint64(31)
+    bits *= np.uint64(0xBF58476D1CE4E5B9)
+    high = (bits >> np.uint64(40)).astype(np.float32)
+    low = ((bits >> np.uint64(16)) & np.uint64(0xFFFFFF)).astype(np.float32)
+    return (low + np.float32(0.5)) * np.float32(2.0**-24), (high + np.float32(0.5)) * np.float32(2.0**-24)
 
 
 class Sampler:
@@ -66,8 +69,8 @@ class Sampler:
     def of_weights(self, words: list[str], weights: np.ndarray) -> np.ndarray:
         best = np.full(self.samples, np.inf, np.float32)
         out, k = np.zeros(self.samples, np.uint64), np.arange(self.samples)
-        for lo in range(0, len(words), KNOWN // 4):
-            row, weight = self.rows(words[lo: lo + KNOWN // 4]), weights[lo: lo + KNOWN // 4]
+        for lo in range(0, len(words), 4096):
+            row, weight = self.rows(words[lo: lo + 4096]), weights[lo: lo + 4096]
             once = row[weight == 1]
             more = row[weight != 1]
             found = []
