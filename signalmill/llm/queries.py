@@ -67,3 +67,11 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     from .fingerprints import edited_fingerprints
 
     return edited_fingerprints(table(spark, folder, "documents"), samples=64)
+
+
+@query("op5_quality_classifier")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    """Quality of ``documents`` as learned from ``labels`` outside the held-out fold."""
+    from .quality import score_quality
+
+    return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3, most_rows=20_000)
