@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from .common import Rolling, buffers, byte_values, given_id, id_and_text, record, word_hashes
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "bars", "digits", "stops", "repeats", "distinct", "line_breaks", "letters")
@@ -25,31 +25,32 @@ def byte_classes() -> np.ndarray:
     return out
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """``doc_id`` and the features of every whole text, in one pass; a null text is empty."""
-    schema = {"doc_id": pa.int64()} | {f: pa.float64() for f in FEATURES}
-
-    def run(batches):
-        rolling, values, classes = Rolling(), byte_values(), byte_classes()
-        for batch in batches:
-            for ids, data, bounds in buffers(batch):
-                n = len(ids)
-                words, before = word_hashes(data, bounds, rolling, values)
-                owner = np.repeat(np.arange(n) * 9, np.diff(bounds))
-                count = np.bincount(owner + classes[data], minlength=9 * n).reshape(n, 9).astype(float)
-                total = np.diff(before).astype(float)
-                again = np.concatenate([[0], np.cumsum(np.concatenate([[False], words[1:] == words[:-1]]))]) if len(words) else np.zeros(1, np.int64)
-                distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(before[:-1], before[1:], strict=True)], float)
-                full, many = np.maximum(count[:, :7].sum(1), 1), np.maximum(total, 1)
-                inner = np.minimum(before[:-1] + 1, before[1:])
-                letters = count[:, :3].sum(1)
-                yield record(
-                    schema, doc_id=ids, log_words=np.log1p(total), word_length=full / many, upper=count[:, 0] / np.maximum(letters, 1),
-                    symbols=count[:, 4] / full, bars=count[:, 5] / many, digits=count[:, 3] / full, stops=count[:, 6] / many,
-                    repeats=(again[before[1:]] - again[inner]) / many, distinct=distinct / many, line_breaks=count[:, 7] / many,
-                    letters=letters / full)
-
-    return id_and_text(docs).mapInArrow(run, "doc_id long, " + ", ".join(f"{f} double" for f in FEATURES))
+class Features:
+    """The features of every text of a batch, in a table with one row per text."""
+
+    def __init__(self):
+        self.rolling, self.values, self.classes = Rolling(), byte_values(), byte_classes()
+
+    def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
+        """``batch``: any first column, then the texts (null: empty)."""
+        out = [np.zeros((0, len(FEATURES)))]
+        for ids, data, bounds in buffers(batch):
+            n = len(ids)
+            words, before = word_hashes(data, bounds, self.rolling, self.values)
+            owner = np.repeat(np.arange(n) * 9, np.diff(bounds))
+            count = np.bincount(owner + self.classes[data], minlength=9 * n).reshape(n, 9).astype(float)
+            total = np.diff(before).astype(float)
+            same = np.concatenate([[False], words[1:] == words[:-1]]) if len(words) else np.zeros(0, bool)
+            again = np.concatenate([[0], np.cumsum(same)])
+            distinct = np.array([len(np.unique(words[a:b])) for a, b in zip(before[:-1], before[1:], strict=True)], float)
+            full, many = np.maximum(count[:, :7].sum(1), 1), np.maximum(total, 1)
+            inner = np.minimum(before[:-1] + 1, before[1:])
+            letters = count[:, :3].sum(1)
+            out.append(np.stack([
+                np.log1p(total), full / many, count[:, 0] / np.maximum(letters, 1), count[:, 4] / full, count[:, 5] / many,
+                count[:, 3] / full, count[:, 6] / many, (again[before[1:]] - again[inner]) / many, distinct / many,
+                count[:, 7] / many, letters / full], 1))
+        return np.concatenate(out)
 
 
 class AdditiveModel:
@@ -148,36 +149,60 @@ class AdditiveModel:
         return 1 / (1 + np.exp(-f))
 
 
-def fit_quality(rows: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5) -> AdditiveModel:
+def fold(folds: int = 5):
+    return F.crc32(F.col("doc_id").cast("string")) % folds
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, folds: int = 5) -> AdditiveModel:
     """Learn ``quality`` from at most ``most_rows`` labelled rows (those with the least hashes) outside the held-out fold.
 
-    ``rows``: the features. Labels that are null are left out, as are labels without a document.
+    Labels that are null are left out, as are labels without a document. That bound is what makes the sample small
+    enough to be sent to every task and its features to be learned from on the driver.
     """
     known = labels.where("quality IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("quality") > 0).alias("good"))
     known = known.where(fold(folds) != 0).dropDuplicates().orderBy(F.xxhash64("doc_id"), "doc_id", "good").limit(most_rows)
-    found = sorted(known.join(rows, "doc_id").select("doc_id", "good", *FEATURES).collect())
-    x = np.array([r[2:] for r in found], float).reshape(-1, len(FEATURES))
-    return AdditiveModel().fit(x, np.array([r.good for r in found], float))
+    rows = id_and_text(docs).join(F.broadcast(known), "doc_id").select("doc_id", "text", "good")
+    names = [f"f{i}" for i in range(len(FEATURES))]
+    schema = {"doc_id": pa.int64(), "good": pa.bool_()} | {n: pa.float64() for n in names}
 
+    def run(batches):
+        make = Features()
+        for batch in batches:
+            x = make(batch)
+            yield record(schema, doc_id=batch.column(0), good=batch.column(2), **{n: x[:, i] for i, n in enumerate(names)})
 
-def fold(folds: int = 5):
-    return F.crc32(F.col("doc_id").cast("string")) % folds
+    found = sorted(rows.mapInArrow(run, "doc_id long, good boolean, " + ", ".join(f"{n} double" for n in names)).collect())
+    x = np.array([r[2:] for r in found], float).reshape(-1, len(FEATURES))
+    return AdditiveModel().fit(x, np.array([r.good for r in found], float))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` for every document, empty texts too; without labels of both kinds the score is the base rate.
 
-    Labels, language, source and id never enter a score. Rows that repeat an id are scored each by its own text.
+    Labels, language, source and id never enter a score. Rows that repeat an id are scored each by its own text; a null
+    text is empty and a null id is not held out.
     """
-    rows = cut_lineage(features(docs))
-    model = fit_quality(rows, labels, most_rows)
+    model = fit_quality(docs, labels, most_rows)
 
     def run(batches):
-        schema = {"doc_id": pa.int64(), "score": pa.float64()}
+        make, schema = Features(), {"doc_id": pa.int64(), "score": pa.float64()}
         for batch in batches:
-            x = np.stack([batch.column(f).to_numpy() for f in FEATURES], 1) if batch.num_rows else np.zeros((0, len(FEATURES)))
-            yield record(schema, doc_id=batch.column("doc_id"), score=model.score(x))
+            yield record(schema, doc_id=batch.column(0), score=model.score(make(batch)))
 
-    scored = rows.mapInArrow(run, "doc_id long, score double").select(given_id(), "score")
+    scored = id_and_text(docs).mapInArrow(run, "doc_id long, score double").select(given_id(), "score")
     return scored.select("doc_id", F.coalesce(fold() == 0, F.lit(False)).alias("held_out"), "score",
                          (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, most_rows: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose texts score ``threshold`` or more."""
+    model, at = fit_quality(docs, labels, most_rows), docs.columns.index("text")
+
+    def run(batches):
+        make = Features()
+        for batch in batches:
+            texts = pc.fill_null(batch.column(at), "")
+            good = model.score(make(pa.RecordBatch.from_arrays([texts, texts], ["id", "text"]))) >= threshold
+            yield batch.filter(pa.array(good))
+
+    return docs.mapInArrow(run, docs.schema)

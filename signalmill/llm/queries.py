@@ -75,3 +75,127 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
     from .quality import score_quality
 
     return score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"), threshold=0.3, most_rows=20_000)
+
+
+@query("op9_template_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    """Items of ``benchmark`` in ``documents``."""
+    from .templates import find_leaks
+
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+#: the tree of the mixture: sources with one-digit numbers are one domain, all others the other
+DOMAIN = "CASE WHEN length(source) <= 4 THEN 'primary' ELSE 'secondary' END"
+WEIGHTS = {"domain": {"primary": 1, "secondary": 3}, "lang": {"en": 4, "de": 2, "fr": 2}, "source": {"src0": 2, "src12": 3}}
+
+
+def _levels_sql(percent: int, epochs: int) -> str:
+    out, parent = [], "root"
+    for i, level in enumerate(("domain", "lang", "source")):
+        names = ", ".join(("domain", "lang", "source")[: i + 1])
+        weight = "CASE " + level + "".join(f" WHEN '{k}' THEN {v}" for k, v in WEIGHTS[level].items()) + " ELSE 1 END"
+        up = f"q{i - 1}" if i else "root"
+        using = parent
+        out.append(f"""c{i} AS (SELECT 0 AS root, {names}, CAST(sum(cap) AS BIGINT) AS cap FROM leaves GROUP BY ALL),
+w{i} AS (SELECT *, {weight} AS weight FROM c{i} JOIN {up} USING ({using})),
+s{i} AS (SELECT *, quota - coalesce(sum(cap) OVER below, 0) AS remaining,
+    sum(weight) OVER (PARTITION BY {using}) - coalesce(sum(weight) OVER below, 0) AS rest FROM w{i}
+  WINDOW below AS (PARTITION BY {using} ORDER BY cap / weight, {level} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f{i} AS (SELECT *, cap * rest <= weight * remaining AS is_full FROM s{i}),
+q{i} AS (SELECT root, {names}, CAST(CASE WHEN is_full THEN cap ELSE
+    (weight * (quota - sum(CASE WHEN is_full THEN cap ELSE 0 END) OVER (PARTITION BY {using})))
+    // sum(CASE WHEN is_full THEN 0 ELSE weight END) OVER (PARTITION BY {using}) END AS BIGINT) AS quota FROM f{i})""")
+        parent = f"root, {names}"
+    return ",\n".join(out)
+
+
+OP1_SQL = f"""WITH docs AS (
+  SELECT doc_id, {DOMAIN} AS domain, lang, source, len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents),
+leaves AS (SELECT domain, lang, source, CAST(sum(n_tokens) AS BIGINT) AS tokens, CAST(sum(n_tokens) AS BIGINT) * 4 AS cap FROM docs GROUP BY ALL),
+root AS (SELECT 0 AS root, CAST(least(sum(tokens) * 60 // 100, sum(cap)) AS BIGINT) AS quota FROM leaves),
+{_levels_sql(60, 4)},
+plan AS (SELECT domain, lang, source, quota, CASE WHEN tokens > 0 THEN quota // tokens ELSE 0 END AS full_epochs,
+    CASE WHEN tokens > 0 THEN quota % tokens ELSE quota END AS open FROM leaves JOIN q2 USING (domain, lang, source)),
+ordered AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5('7|' || full_epochs || '|' || doc_id), doc_id
+    ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n_tokens AS start FROM docs JOIN plan USING (domain, lang, source))
+SELECT doc_id, domain, lang, source, epoch, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(CASE WHEN epoch < full_epochs THEN n_tokens
+    ELSE least(n_tokens, open - start) END AS BIGINT) AS taken_tokens
+FROM (SELECT *, unnest(range(full_epochs + CASE WHEN start < open THEN 1 ELSE 0 END)) AS epoch FROM ordered)"""
+
+
+@query("op1_mix_sources", OP1_SQL)
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    """Six tenths of the words of ``documents``, mixed by domain, language and source."""
+    from .mixing import mix_sources
+
+    return mix_sources(table(spark, folder, "documents"), F.expr(DOMAIN), WEIGHTS, percent=60, epochs=4, seed=7)
+
+
+OP10_SQL = """WITH l AS (
+  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS start, array_to_string(list_slice(lines, i + 1, i + 3), chr(10)) AS run
+  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)
+  WHERE trim(array_to_string(list_slice(lines, i + 1, i + 3), ''), ' ') <> ''),
+later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 3)) AS i FROM later),
+runs AS (SELECT doc_id, count(*) AS size FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gone)
+  GROUP BY doc_id, k),
+per AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_removed, count(*) AS n_runs, max(size) AS longest_run FROM runs GROUP BY doc_id),
+kept AS (SELECT u.doc_id, string_agg(line, chr(10) ORDER BY u.i) AS text
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(len(lines))) AS i FROM l) u ANTI JOIN gone USING (doc_id, i) GROUP BY u.doc_id)
+SELECT l.doc_id, CAST(len(lines) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(n_runs, 0) AS n_runs,
+  coalesce(longest_run, 0) AS longest_run, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM l LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
+
+
+@query("op10_line_runs", OP10_SQL)
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    """Later copies of runs of three lines or more of ``documents`` are deleted."""
+    from .lines import line_dedup
+
+    found = line_dedup(table(spark, folder, "documents"), length=3)
+    return found.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
+
+
+def _op4_sql(rounds: int = 10) -> str:
+    """Rules, links and the rounds of both propagations written out; the constants are those of ``hosts``."""
+    from .hosts import GRAIN, LINK, LOWER, RULES, UNIT, UPPER
+
+    cases = " ".join(
+        f"WHEN (host = '{h}' OR host LIKE '%.{h}') AND starts_with(path, '{p}') THEN '{h + p}|{v}'"
+        for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2])))
+    link = LINK.replace("'", "''")
+    text = f"""WITH rest AS (SELECT page_id, html, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts0 AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM rest),
+named AS (SELECT page_id, html, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts0),
+ruled AS (SELECT page_id, host, path, CASE {cases} END AS hit FROM named),
+links AS (SELECT row_number() OVER () AS page, host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS u FROM named WHERE host <> ''),
+edges AS MATERIALIZED (SELECT host AS source, target, count(*) AS links FROM (SELECT DISTINCT page, host,
+    CASE WHEN strpos(u, '//') > 0 THEN translate(split_part(u, '//', -1), '{UPPER}', '{LOWER}') ELSE host END AS target FROM links)
+  WHERE target <> '' GROUP BY ALL),
+counts AS (SELECT host, count(*) AS pages, count(*) FILTER (hit LIKE '%|allow') AS allowed, count(*) FILTER (hit LIKE '%|block') AS blocked
+  FROM ruled WHERE host <> '' GROUP BY host),
+seeds AS MATERIALIZED (SELECT host, coalesce(allowed * {UNIT} // pages, 0) AS allow, coalesce(blocked * {UNIT} // pages, 0) AS block
+  FROM (SELECT host FROM counts UNION SELECT target FROM edges) LEFT JOIN counts USING (host)),
+forth AS MATERIALIZED (SELECT source, target, CAST(links * {GRAIN} // sum(links) OVER (PARTITION BY source) AS BIGINT) AS share FROM edges),
+back AS MATERIALIZED (SELECT target AS source, source AS target, CAST(links * {GRAIN} // sum(links) OVER (PARTITION BY target) AS BIGINT) AS share FROM edges),
+t0 AS (SELECT host, allow AS mass FROM seeds), d0 AS (SELECT host, block AS mass FROM seeds)"""
+    for k in range(1, rounds + 1):
+        for name, seed, edges in (("t", "allow", "forth"), ("d", "block", "back")):
+            text += f""",
+{name}{k} AS MATERIALIZED (SELECT host, CAST({seed} * 15 // 100 + coalesce(flow, 0) AS BIGINT) AS mass FROM seeds LEFT JOIN (
+  SELECT e.target AS host, sum(mass * share // {GRAIN} * 85 // 100) AS flow FROM {edges} e JOIN {name}{k - 1} m ON e.source = m.host GROUP BY ALL) USING (host))"""
+    return text + f"""
+SELECT page_id, r.host, path, CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 1) END AS rule,
+  CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN d.mass > t.mass AND d.mass >= {UNIT // 2} THEN 'block' ELSE 'allow' END AS verdict,
+  coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
+FROM ruled r LEFT JOIN t{rounds} t ON r.host = t.host LEFT JOIN d{rounds} d ON r.host = d.host"""
+
+
+@query("op4_link_trust", _op4_sql())
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules and host trust for ``pages``."""
+    from .hosts import judge_urls
+
+    return judge_urls(table(spark, folder, "pages"))
