@@ -39,7 +39,8 @@ class Canonical:
         self.marks = np.array([number_seed(k) for k in range(4)], np.uint64)
 
     def clear(self):
-        self.known, self.values, self.kinds, self.ends = {}, [], [], []
+        self.known, self.new, self.taken = {}, [], 0
+        self.values, self.kinds, self.ends = np.zeros(1024, np.uint64), np.zeros(1024, np.int8), np.zeros(1024, bool)
 
     def learn(self, word: str) -> int:
         bare = word.strip(EDGE) or word
@@ -52,10 +53,20 @@ class Canonical:
             kind = UNIT
         elif bare[:1].isupper() and bare[1:].islower():
             kind = NAME
-        self.values.append(xxhash.xxh64_intdigest(low))
-        self.kinds.append(kind)
-        self.ends.append(word.rstrip("\"')]}*_")[-1:] in ".!?:")
-        return len(self.values) - 1
+        end = word.rstrip("\"')]}*_")[-1:]
+        self.new.append((xxhash.xxh64_intdigest(low), kind, end != "" and end in ".!?:"))
+        return self.taken + len(self.new) - 1
+
+    def settle(self) -> None:
+        """Put newly learned words behind the others; the arrays double as they fill."""
+        end = self.taken + len(self.new)
+        for name, column in zip(("values", "kinds", "ends"), zip(*self.new, strict=True), strict=True):
+            held = getattr(self, name)
+            if end > len(held):
+                held = np.concatenate([held, np.zeros(max(len(held), end - len(held)), held.dtype)])
+                setattr(self, name, held)
+            held[self.taken: end] = column
+        self.new, self.taken = [], end
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Hash of each word, its template hash and its kind. A unit needs a number before it; a name needs a word before
@@ -65,18 +76,15 @@ class Canonical:
             self.clear()
         known = self.known
         at = [known[w] if w in known else known.setdefault(w, self.learn(w)) for w in words]
-        if self.taken != len(self.values):
-            self.arrays = np.array(self.values, np.uint64), np.array(self.kinds, np.int8), np.array(self.ends, bool)
-            self.taken = len(self.values)
+        if self.new:
+            self.settle()
         at = np.array(at, np.int64)
-        values, kinds, ends = (x[at] for x in self.arrays)
+        values, kinds, ends = self.values[at], self.kinds[at], self.ends[at]
         before = np.concatenate([[LITERAL], kinds[:-1]]) if len(at) else kinds
         opens = np.concatenate([[True], ends[:-1]]) if len(at) else ends
         kinds = np.where((kinds == UNIT) & (before != NUM) | (kinds == NAME) & opens, LITERAL, kinds)
         return values, np.where(kinds == LITERAL, values, self.marks[kinds]), kinds
 
-    taken = -1
-
 
 def windows(values: np.ndarray, template: np.ndarray, kinds: np.ndarray, size: int, literals: int) -> np.ndarray:
     """Hash of each window: of its template, or, where fewer than ``literals`` words are literal, of the words themselves."""
