@@ -12,7 +12,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: whole-number arithmetic: the mass of a fully trusted host, the grain of link shares
 UNIT, GRAIN = 1_000_000_000, 1 << 20
-LINK = r"""(?i)(?:href|src)\s*=\s*["']?((?:[a-z][a-z0-9+.-]*:)?//[^/?#"'\s>]+|/[^"'\s>]*|[^:"'\s>#?/]+["'\s>])"""
+LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
 def url_parts(url: Column) -> tuple[Column, Column]:
@@ -35,12 +35,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def host_links(pages: DataFrame) -> DataFrame:
-    """``source, target, links``: pages of a host that link to another, each page once; a link within a host is one to itself."""
+    """``source, target, links``: pages of a host that link to another host, each page once."""
     links = F.array_distinct(F.transform(
-        F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)),
-        lambda u: F.when(F.instr(u, "//") > 0, F.translate(F.substring_index(u, "//", -1), UPPER, LOWER)).otherwise(F.col("host"))))
-    return pages.where("host <> ''").select("host", F.explode(links).alias("target")).where("target <> ''").groupBy(
-        F.col("host").alias("source"), "target").agg(F.count("*").alias("links"))
+        F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(LINK), F.lit(1)), lambda u: F.translate(u, UPPER, LOWER)))
+    return pages.where("host <> ''").select(F.col("host").alias("source"), F.explode(links).alias("target")).where(
+        "target <> source").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
 def propagate(seeds: DataFrame, edges: DataFrame, keep: int, rounds: int) -> DataFrame:
@@ -64,7 +63,7 @@ def judge_urls(pages: DataFrame, rules=RULES, keep: int = 15, rounds: int = 10,
     A rule decides where one fits. Elsewhere the host does: trust starts from hosts by the share of their pages that a
     rule allows and flows along links; distrust starts from the share that a rule blocks and flows against them (a host
     that links to blocked ones is suspect). A host is blocked if its distrust is greater than its trust and at least
-    ``threshold`` hundredths of that of a host blocked as a whole. Pages without a host are allowed; null html has no
+    ``threshold`` hundredths of what a wholly blocked host has without any links. Pages without a host are allowed; null html has no
     links; repeated rows count as pages of their own.
     """
     host, path = url_parts(F.col("url"))
@@ -83,7 +82,7 @@ def judge_urls(pages: DataFrame, rules=RULES, keep: int = 15, rounds: int = 10,
     trust = propagate(seeds.select("host", F.col("allow").alias("seed")), edges, keep, rounds)
     distrust = propagate(seeds.select("host", F.col("block").alias("seed")), reverse, keep, rounds)
     scores = cut_lineage(trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host"))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= UNIT // 100 * threshold)
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= UNIT * keep * threshold // 10_000)
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))

@@ -171,9 +171,8 @@ hosts0 AS (SELECT page_id, html, rest, regexp_extract(rest, '^[^/?#]*') AS raw F
 named AS (SELECT page_id, html, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts0),
 ruled AS (SELECT page_id, host, path, CASE {cases} END AS hit FROM named),
 links AS (SELECT row_number() OVER () AS page, host, unnest(regexp_extract_all(coalesce(html, ''), '{link}', 1)) AS u FROM named WHERE host <> ''),
-edges AS MATERIALIZED (SELECT host AS source, target, count(*) AS links FROM (SELECT DISTINCT page, host,
-    CASE WHEN strpos(u, '//') > 0 THEN translate(split_part(u, '//', -1), '{UPPER}', '{LOWER}') ELSE host END AS target FROM links)
-  WHERE target <> '' GROUP BY ALL),
+edges AS MATERIALIZED (SELECT host AS source, target, count(*) AS links FROM (
+    SELECT DISTINCT page, host, translate(u, '{UPPER}', '{LOWER}') AS target FROM links) WHERE target <> host GROUP BY ALL),
 counts AS (SELECT host, count(*) AS pages, count(*) FILTER (hit LIKE '%|allow') AS allowed, count(*) FILTER (hit LIKE '%|block') AS blocked
   FROM ruled WHERE host <> '' GROUP BY host),
 seeds AS MATERIALIZED (SELECT host, coalesce(allowed * {UNIT} // pages, 0) AS allow, coalesce(blocked * {UNIT} // pages, 0) AS block
@@ -188,7 +187,7 @@ t0 AS (SELECT host, allow AS mass FROM seeds), d0 AS (SELECT host, block AS mass
   SELECT e.target AS host, sum(mass * share // {GRAIN} * 85 // 100) AS flow FROM {edges} e JOIN {name}{k - 1} m ON e.source = m.host GROUP BY ALL) USING (host))"""
     return text + f"""
 SELECT page_id, r.host, path, CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 1) END AS rule,
-  CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN d.mass > t.mass AND d.mass >= {UNIT // 2} THEN 'block' ELSE 'allow' END AS verdict,
+  CASE WHEN hit IS NOT NULL THEN split_part(hit, '|', 2) WHEN d.mass > t.mass AND d.mass >= {UNIT * 15 * 50 // 10_000} THEN 'block' ELSE 'allow' END AS verdict,
   coalesce(t.mass, 0) AS trust, coalesce(d.mass, 0) AS distrust
 FROM ruled r LEFT JOIN t{rounds} t ON r.host = t.host LEFT JOIN d{rounds} d ON r.host = d.host"""
 
