@@ -369,10 +369,9 @@ def a1(spark, sf):
     """Each text's bytes as the 16-bit samples of a mono WAV file of open length."""
     import struct
 
-    from ..sources.adapters import spread
     from ..sources.wav import decode_files
 
     head = b"RIFF" + struct.pack("<I", 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
-    d = spread(table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     files = d.select("path", F.concat(F.lit(head), F.encode("text", "UTF-8")).alias("content"))
     return decode_files(files, 500).select("track_id", "block_ix", "n", "is_last")

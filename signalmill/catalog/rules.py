@@ -1,6 +1,6 @@
 """Rule, plan and decision queries over one row of measurements per track.
 
-The measurements are derived from every order (key and price), spread over the ranges in which the rules act.
+The measurements are derived from every order (key and price) over the ranges in which the rules act.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from ..plans import issues as iss
 from ..plans import planner as pl
 from ..plans import revisions as rv
 from ..sources import reports as rep
-from ..sources.adapters import spread, table
+from ..sources.adapters import table
 from . import query
 from .common import MET, PRIMES, rd
 from .measure import rounded
@@ -30,7 +30,7 @@ U = _Uniform()
 
 
 def met(spark, sf):
-    o = spread(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     base = F.floor("o_totalprice").cast("bigint")
     return o.select(
         F.col("o_orderkey").alias("track_id"), "o_custkey",

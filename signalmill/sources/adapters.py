@@ -16,12 +16,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Over all cores where the files give fewer tasks than that (a few small files); otherwise as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 # lineitem rows are only unique as a whole, so the series order uses every informative column
 LINE_ORDER = [
     "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice",

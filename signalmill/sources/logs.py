@@ -31,7 +31,8 @@ def read_event_log(spark: SparkSession, folder: str, profile: str | None = None)
     log = spark.read.schema(T.StructType([*EVENT_SCHEMA.fields, T.StructField("profile_name", T.StringType())])).json(folder)
     if profile is not None:
         log = log.filter(F.col("profile_name") == profile)  # partition pruning
-    return log.fillna(0.0, list(NUMBERS))
+    # the marker of an emptied profile is not an event; an event without an id is one
+    return log.filter(~F.col("event_id").eqNullSafe("__reset__")).fillna(0.0, list(NUMBERS))
 
 
 def export_all(spark: SparkSession, folder: str, target: str) -> None:
@@ -51,14 +52,15 @@ def reset_profile(spark: SparkSession, folder: str, profile: str) -> None:
     """Empty one profile's partition; the others are untouched (dynamic partition overwrite).
 
     Overwriting a partition needs a row in it, so a marker row without numbers replaces the log and
-    :func:`read_live_events` hides it.
+    :func:`read_event_log` hides it.
     """
     marker = spark.createDataFrame([("__reset__", profile)], "event_id string, profile_name string")
     marker.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("profile_name").json(folder)
 
 
 def read_live_events(spark: SparkSession, folder: str, profile: str | None = None) -> DataFrame:
-    return read_event_log(spark, folder, profile).filter(F.col("event_id") != "__reset__")
+    """The same as :func:`read_event_log`, under its older name."""
+    return read_event_log(spark, folder, profile)
 
 
 STUDY_FIELDS = {

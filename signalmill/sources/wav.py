@@ -20,20 +20,28 @@ HEADER_ARROW = pa.schema([
     ("track_id", pa.string()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("frames", pa.int64()), ("bit_depth", pa.int32()),
     ("sample_format", pa.string()), ("data_offset", pa.int64()), ("status", pa.string()), ("error", pa.string())])
 BLOCK = 65536
-HEADER_BYTES = 1 << 16
 
 
-def parse_header(head: bytes, size: int) -> dict:
-    """Format and data position from the first bytes of a RIFF/WAVE file of ``size`` bytes."""
+def parse_header(source, size: int) -> dict:
+    """Format and data position of a RIFF/WAVE file of ``size`` bytes.
+
+    ``source`` is the file's bytes or ``read(at, n)``. Chunks are stepped over by their lengths, however long they are; in
+    an RF64 file the ``ds64`` chunk gives the length of the data.
+    """
+    read = source if callable(source) else lambda at, n: bytes(source[at: at + n])
+    head = read(0, 12)
     if len(head) < 12 or head[:4] not in (b"RIFF", b"RF64") or head[8:12] != b"WAVE":
         raise ValueError("not a WAVE file")
-    at, fmt = 12, None
-    while at + 8 <= len(head):
-        name, length = head[at : at + 4], struct.unpack("<I", head[at + 4 : at + 8])[0]
-        if name == b"fmt ":
-            code, channels, rate, _, align, bits = struct.unpack("<HHIIHH", head[at + 8 : at + 24])
+    at, fmt, long_data = 12, None, None
+    while at + 8 <= size:
+        head = read(at, 48)
+        name, length = head[:4], struct.unpack("<I", head[4:8])[0]
+        if name == b"ds64":
+            long_data = struct.unpack("<Q", head[16:24])[0]
+        elif name == b"fmt ":
+            code, channels, rate, _, align, bits = struct.unpack("<HHIIHH", head[8:24])
             if code == 0xFFFE and length >= 40:
-                code = struct.unpack("<H", head[at + 32 : at + 34])[0]
+                code = struct.unpack("<H", head[32:34])[0]
             fmt = (code, channels, rate, align, bits)
         elif name == b"data":
             if fmt is None:
@@ -44,7 +52,9 @@ def parse_header(head: bytes, size: int) -> dict:
                 raise ValueError(f"unsupported encoding {code}/{bits} bit")
             if align != channels * bits // 8 or channels < 1 or rate < 1:
                 raise ValueError("inconsistent header")
-            usable = min(length, size - at - 8) if length != 0xFFFFFFFF else size - at - 8
+            if length == 0xFFFFFFFF:
+                length = size if long_data is None else long_data
+            usable = min(length, size - at - 8)
             return dict(sample_rate=rate, channels=channels, frames=usable // align, bit_depth=bits, sample_format=kind,
                         data_offset=at + 8)
         at += 8 + length + (length & 1)
@@ -68,7 +78,7 @@ def decode(raw: bytes, kind: str, channels: int) -> np.ndarray:
 
 
 def _blocks(path: str, read, size: int, block: int, first: int = 0, last: int | None = None) -> Iterator[tuple]:
-    info = parse_header(read(0, min(size, HEADER_BYTES)), size)
+    info = parse_header(read, size)
     width = info["channels"] * info["bit_depth"] // 8
     count = -(-info["frames"] // block)
     for ix in range(first, count if last is None else min(count, last)):
@@ -80,7 +90,7 @@ def _blocks(path: str, read, size: int, block: int, first: int = 0, last: int |
 def read_tracks(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     """Header facts per file; unreadable files stay in the table with ``status`` error and the reason."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    heads = files.select("path", "length", F.substring("content", 1, HEADER_BYTES).alias("head"))
+    heads = files.select("path", "length", F.col("content").alias("head"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

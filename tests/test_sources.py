@@ -148,3 +148,31 @@ def test_failures_stay_with_their_row(spark):
 
     got = {r.v: r for r in stateful.isolate_failures(df, root, "v", "y").collect()}
     assert got[4.0].y == 2.0 and got[-1.0].status == "failed" and got[-1.0].error == "negative"
+
+
+def wave(chunks, kind=b"RIFF"):
+    return kind + (0xFFFFFFFF).to_bytes(4, "little") + b"WAVE" + b"".join(n + k.to_bytes(4, "little") + b for n, k, b in chunks)
+
+
+def test_header_behind_long_chunks_and_rf64():
+    import struct
+
+    from signalmill.sources.wav import parse_header
+
+    fmt = (b"fmt ", 16, struct.pack("<HHIIHH", 1, 2, 48000, 192000, 4, 16))
+    late = wave([fmt, (b"LIST", 70_000, bytes(70_000)), (b"data", 40, bytes(40))])
+    assert parse_header(late, len(late))["frames"] == 10
+    sizes = struct.pack("<QQQI", 0, 40, 10, 0)
+    long = wave([(b"ds64", 28, sizes), fmt, (b"data", 0xFFFFFFFF, bytes(40)), (b"LIST", 24, bytes(24))], b"RF64")
+    assert parse_header(long, len(long))["frames"] == 10
+
+
+def test_events_without_id_stay_and_markers_do_not(spark, tmp_path):
+    from signalmill.sources import logs
+
+    folder = str(tmp_path / "log")
+    rows = spark.createDataFrame([(None, "p"), ("a", "p"), ("b", "q")], "event_id string, profile_name string")
+    rows.write.partitionBy("profile_name").json(folder)
+    assert logs.read_live_events(spark, folder, "p").count() == 2
+    logs.reset_profile(spark, folder, "p")
+    assert logs.read_event_log(spark, folder).count() == 1
