@@ -115,6 +115,16 @@ def segment(docs: list[int], counts: list[int], ids: np.ndarray) -> bytes:
     return b"".join(x.tobytes() for x in parts)
 
 
+def ids_in_file(content: bytes) -> int:
+    """Number of ids in a file, from the heads of its segments."""
+    at = total = 0
+    while at < len(content):
+        _, n, ids, words = np.frombuffer(content, np.int64, 4, at).tolist()
+        total += ids
+        at += 32 + 8 * (2 * n - (-ids // BLOCK) + words) + 1
+    return total
+
+
 def segments(content: bytes):
     """``documents, counts, first words, words`` of each segment of a file."""
     at = 0
@@ -134,11 +144,24 @@ def segments(content: bytes):
         yield out
 
 
+class Pieces(dict):
+    """Numbers of pieces; a piece asked for the first time gets the next number and waits to be encoded."""
+
+    def __init__(self):
+        super().__init__()
+        self.waiting: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.waiting.append(piece)
+        return n
+
+
 class Encoder:
     """Ids of texts. Pieces between spaces and line feeds are encoded once each: the tokenizer drops white space and
-    never looks beyond it."""
+    never looks beyond it. A text's new pieces are encoded as one string and told apart by the places of their ids."""
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,23 +172,39 @@ class Encoder:
         self.clear()
 
     def clear(self):
-        self.known: dict[str, int] = {}
-        self.ids: list[list[int]] = []
+        self.known, self.taken = Pieces(), 0
+        self.ids, self.start = np.zeros(4096, np.uint32), np.zeros(1024, np.int64)
+
+    def room(self, name: str, n: int) -> np.ndarray:
+        """The named array with at least ``n`` places; it doubles as it fills."""
+        held = getattr(self, name)
+        if n > len(held):
+            held = np.concatenate([held, np.zeros(max(len(held), n - len(held)), held.dtype)])
+            setattr(self, name, held)
+        return held
+
+    def settle(self) -> None:
+        """Encode the waiting pieces and put their ids behind those of the others."""
+        new, self.known.waiting = self.known.waiting, []
+        found = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+        ids = np.array(found.ids, np.uint32)
+        place = np.array(found.offsets, np.int64).reshape(-1, 2)[:, 0]
+        begin = np.cumsum([0] + [len(p) + 1 for p in new[:-1]])
+        first, end = len(self.known) - len(new), self.taken + len(ids)
+        self.room("ids", end)[self.taken: end] = ids
+        self.room("start", len(self.known) + 1)[first: len(self.known)] = np.searchsorted(place, begin) + self.taken
+        self.start[len(self.known)] = self.taken = end
 
     def __call__(self, text: str) -> np.ndarray:
-        pieces = text.replace("\n", " ").split(" ")
-        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
-        if len(self.known) + len(new) > self.most and self.known:
+        if len(self.known) > self.most:
             self.clear()
-            new = list(dict.fromkeys(pieces))
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            self.known[p] = len(self.ids)
-            self.ids.append(e.ids)
-        get, ids = self.known.__getitem__, self.ids
-        out: list[int] = []
-        for p in map(get, pieces):
-            out += ids[p]
-        return np.array(out, np.uint32)
+        pieces = text.replace("\n", " ").split(" ")
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        if self.known.waiting:
+            self.settle()
+        start = self.start[at]
+        count = self.start[at + 1] - start
+        return self.ids[np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int = 1, folder: str | None = None) -> str:
@@ -226,9 +265,14 @@ def read_token_files(spark, folder: str, with_ids: bool = False) -> DataFrame:
                     before += int(ends[-1]) if len(ends) else 0
                     yield record(schema, **out)
 
+    def measure(batches):
+        for batch in batches:
+            sizes = [ids_in_file(content.as_buffer()) for content in batch.column(1)]
+            yield record({"file": pa.string(), "size": pa.int64()}, file=batch.column(0), size=sizes)
+
     rows = files.mapInArrow(read, kind)
     # where each file starts: one row per file is summed along their order
-    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("size"))
+    sizes = files.mapInArrow(measure, "file string, size long")
     begins = sizes.select("file", (F.sum("size").over(Window.orderBy("file")) - F.col("size")).alias("begin"))
     rest = ["n_tokens", "ids_crc32"] + (["ids"] if with_ids else [])
     return rows.join(begins, "file").select(given_id(), (F.col("begin") + F.col("inner")).alias("start"), *rest)
