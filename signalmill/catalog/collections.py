@@ -66,7 +66,7 @@ def preference_events(spark, sf):
     e = table(spark, sf, "events").select("event_id", "ts", "event_type", "value", "props")
     k = F.coalesce(F.get_json_object("props", "$.k").cast("double"), F.lit(0.0))
     d = (F.col("value") - 50.0) / 25.0
-    e = position(e, ["event_type"], [F.to_date("ts")], [F.col("ts"), F.col("event_id")], "seq")
+    e = position(e, ["event_type"], [F.to_date("ts"), F.hour("ts"), F.minute("ts")], [F.col("ts"), F.col("event_id")], "seq")
     return e.select(
         F.col("event_type").alias("profile_name"), "event_id", "seq", d.alias("delta_lufs"),
         (k / 25 - 2).alias("delta_brightness"), (d * 1.5).alias("delta_bass"), (k / 100 - 0.5).alias("delta_width"),
@@ -121,7 +121,7 @@ c AS (SELECT *, sum(size_bytes) OVER (ORDER BY modified_ms, item_id) AS cum FROM
 SELECT item_id, size_bytes, modified_ms, total - (cum - size_bytes) > 400000 AS remove,
   CAST(CASE WHEN total - (cum - size_bytes) > 400000 THEN total - cum END AS BIGINT) AS bytes_after FROM c, t""")
 def e15(spark, sf):
-    return co.retention_plan(inventory(spark, sf), 400_000, F.shiftright("modified_ms", 7))
+    return co.retention_plan(inventory(spark, sf), 400_000, *[F.shiftright("modified_ms", k) for k in (28, 18, 7)])
 
 
 def order_revisions(spark, sf):

@@ -117,15 +117,16 @@ def j4(spark, sf):
 
 
 def interventions(spark, sf):
+    """Fifteen customers for each series: as many as there are per supplier, at any size of the tables."""
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     k = F.col("c_custkey")
     start = F.when(k % 11 != 0, (k % 7) * 0.4 + 0.003)
     return c.select(
-        "c_custkey", (k % 100).alias("track_id"), F.col("c_mktsegment").alias("source"), start.alias("start_s"),
+        "c_custkey", F.expr("(c_custkey + 14) div 15").alias("track_id"), F.col("c_mktsegment").alias("source"), start.alias("start_s"),
         (start + 0.25 + (k % 3) * 0.5).alias("end_s"), (F.col("c_acctbal") / 10000).alias("amount"))
 
 
-INTERVENTIONS = """iv AS (SELECT c_custkey, c_custkey % 100 AS track_id, c_mktsegment AS source,
+INTERVENTIONS = """iv AS (SELECT c_custkey, (c_custkey + 14) // 15 AS track_id, c_mktsegment AS source,
   CASE WHEN c_custkey % 11 <> 0 THEN (c_custkey % 7) * 0.4::DOUBLE + 0.003::DOUBLE END AS start_s, c_acctbal / 10000 AS amount FROM customer),
 iv2 AS (SELECT *, start_s + 0.25::DOUBLE + (c_custkey % 3) * 0.5::DOUBLE AS end_s FROM iv)"""
 
@@ -143,12 +144,12 @@ def envelope_list(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_retailprice", "p_size")
     seg = F.array(*[F.lit(s) for s in ("AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "none")])
     return p.select(
-        (F.col("p_partkey") % 100).alias("track_id"), F.get(seg, (F.col("p_size") % 6).cast("int")).alias("source"),
+        F.expr("(p_partkey + 19) div 20").alias("track_id"), F.get(seg, (F.col("p_size") % 6).cast("int")).alias("source"),
         (F.col("p_retailprice") / 5000).alias("confidence"), F.col("p_partkey").alias("seq"))
 
 
 @query("j6_bind_best", f"""WITH {INTERVENTIONS},
-en AS (SELECT p_partkey % 100 AS track_id, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'none'][p_size % 6 + 1]
+en AS (SELECT (p_partkey + 19) // 20 AS track_id, ['AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY', 'none'][p_size % 6 + 1]
          AS source, p_retailprice / 5000 AS confidence, p_partkey AS seq FROM part),
 be AS (SELECT * FROM en QUALIFY row_number() OVER (PARTITION BY track_id, source ORDER BY confidence DESC, seq) = 1)
 SELECT c_custkey, {rd('confidence')} AS envelope_confidence, seq AS envelope_seq,

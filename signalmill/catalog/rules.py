@@ -603,7 +603,7 @@ def j13(spark, sf):
 
 @query("j14_resolve_targets", f"""WITH {MET},
 a AS (SELECT track_id, o_custkey, ['global', 'instrument_808', 'instrument_kick', 'instrument_snare', 'stem_vocal'][track_id % 5 + 1] AS target FROM met0),
-e AS (SELECT p_partkey % 1500 AS o_custkey, ['sub_808', 'kick', 'snare', 'lead_vocal', 'organ'][p_size % 5 + 1] AS label, p_retailprice / 5000 AS confidence FROM part WHERE p_partkey % 1500 <= 1400),
+e AS (SELECT p_partkey // 4 AS o_custkey, ['sub_808', 'kick', 'snare', 'lead_vocal', 'organ'][p_size % 5 + 1] AS label, p_retailprice / 5000 AS confidence FROM part),
 b AS (SELECT a.track_id, a.target, count(e.label) AS any_, max(confidence) FILTER (
     (target = 'instrument_808' AND label = 'sub_808') OR (target = 'instrument_kick' AND label = 'kick') OR (target = 'instrument_snare' AND label = 'snare')
     OR (target = 'stem_vocal' AND label = 'lead_vocal')) AS f FROM a LEFT JOIN e USING (o_custkey) GROUP BY ALL)
@@ -615,15 +615,15 @@ def j14(spark, sf):
                               F.get(kinds, (F.col("track_id") % 5).cast("int")).alias("target")).withColumn("target_name", F.col("target"))
     names = F.array(*[F.lit(x) for x in ("sub_808", "kick", "snare", "lead_vocal", "organ")])
     p = table(spark, sf, "part").select(
-        (F.col("p_partkey") % 1500).alias("track_id"), F.get(names, (F.col("p_size") % 5).cast("int")).alias("label"),
-        (F.col("p_retailprice") / 5000).alias("confidence")).filter("track_id <= 1400").withColumn(
+        F.expr("p_partkey div 4").alias("track_id"), F.get(names, (F.col("p_size") % 5).cast("int")).alias("label"),
+        (F.col("p_retailprice") / 5000).alias("confidence")).withColumn(
         "role", F.when(F.col("label") == "lead_vocal", "vocals").otherwise("other"))
     out = rv.resolve_targets(a, p)
     return rounded(out.select(F.col("request").alias("track_id"), "target", "present", "target_confidence"))
 
 
 def revised(spark, sf):
-    """Plan of a customer's first order revised by the customer's conversation."""
+    """The plan of each order revised by the conversation of the same number."""
     c = rv.constraint_conflicts(parsed(spark, sf)).select(
         F.col("conv_id"), "turn", "actions", "constraints", "violations")
     p = plans(spark, sf).withColumn("conv_id", F.col("track_id"))

@@ -196,7 +196,26 @@ def e6(spark, sf):
     return unblocked(dy.apply_eq(line_blocks(spark, sf), bands, RATE, BLOCK))
 
 
-@query("e7_envelope_follow")
+def follower_sql(target: str, falling: float, rising: float, name: str, last: str = "0.0::DOUBLE") -> str:
+    """One step of a two-speed follower of ``target``, from the state before."""
+    keep = f"CASE WHEN {target} < {last} THEN {falling!r}::DOUBLE ELSE {rising!r}::DOUBLE END"
+    return f"({keep}) * {last} + (1 - ({keep})) * ({target}) AS {name}"
+
+
+def stepped(steps: dict[str, tuple[str, float, float]]) -> str:
+    """Table ``st``: followers ``name -> (target, falling, rising)`` of ``sig_line``, frame by frame for all series at once."""
+    first = ", ".join(follower_sql(t, f, r, n) for n, (t, f, r) in steps.items())
+    after = ", ".join(follower_sql(t, f, r, n, f"st.{n}") for n, (t, f, r) in steps.items())
+    return f"""st AS (SELECT s.track_id, s.frame_ix, s.l, s.r, {first} FROM sig_line s WHERE frame_ix = 0
+  UNION ALL SELECT s.track_id, s.frame_ix, s.l, s.r, {after} FROM st JOIN sig_line s ON s.track_id = st.track_id AND s.frame_ix = st.frame_ix + 1)"""
+
+
+MATERIALIZED_LINE = SIG_LINE.replace("sig_line AS (", "sig_line AS MATERIALIZED (")
+
+
+@query("e7_envelope_follow", f"""WITH RECURSIVE {MATERIALIZED_LINE},
+{stepped({'y': ('greatest(abs(s.l), abs(s.r))', 0.98, 0.7)})}
+SELECT track_id, frame_ix, {rd('y')} AS y FROM st""")
 def e7(spark, sf):
     b = line_blocks(spark, sf).withColumn("p", F.zip_with("l", "r", lambda x, y: F.greatest(F.abs(x), F.abs(y))))
     f = sc.follower_scan(b, ["track_id"], {"y": ("p", 0.98, 0.7)}, 0.0, 4.0, 0.0, BLOCK)
@@ -246,7 +265,17 @@ def k6(spark, sf):
     return unblocked(dy.limit(line_blocks(spark, sf), RATE, -4.0, 150.0, BLOCK))
 
 
-@query("k7_denoise_gate")
+_FLOOR, _RISE, _FALL = 2 * 10 ** (-10 / 20), 1 - 1 / RATE / (0.005 + 1 / RATE), 1 - 1 / RATE / (0.080 + 1 / RATE)
+_LEAST = max(10 ** (-6 / 20), 0.1)
+
+
+def _gate_sql(c: str) -> str:
+    return rd(f"CASE WHEN e{c} < {_FLOOR!r} THEN {c} * least(greatest(e{c} / {_FLOOR!r}, {_LEAST!r}), 1) ELSE {c} END") + f" AS {c}"
+
+
+@query("k7_denoise_gate", f"""WITH RECURSIVE {MATERIALIZED_LINE},
+{stepped({f'e{c}': (f'abs(s.{c})', _FALL, _RISE) for c in 'lr'})}
+SELECT track_id, frame_ix, {_gate_sql('l')}, {_gate_sql('r')} FROM st""")
 def k7(spark, sf):
     return unblocked(dy.denoise_gate(line_blocks(spark, sf), RATE, -10.0, 6.0, 0.1, BLOCK))
 

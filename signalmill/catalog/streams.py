@@ -10,7 +10,7 @@ from ..operators.scans import from_blocks, to_blocks
 from ..sources.adapters import sig_embed, table
 from ..streaming import stateful as stt
 from ..streaming import windows as win
-from ..streaming.runner import run_available, scratch_folder, table_stream
+from ..streaming.runner import run_available, scratch_folder, table_stream, with_end
 from . import query
 from .common import SIG_EMBED, rd
 from .measure import rounded
@@ -40,20 +40,25 @@ def s3(spark, sf):
     return seconds(run_available(win.level_windows(event_stream(spark, sf), "3 days", "1 day"), "update", ["source", "start"], "sliding"))
 
 
-@query("s4_session_windows", f"""WITH {EVENTS},
+SESSIONS_SQL = f"""WITH {EVENTS},
 c AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS b FROM ev),
 g AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM c)
 SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 6 * 3600 AS "end", count(*) AS n, {rd('max(x)')} AS peak
-FROM g GROUP BY user_id, s""")
+FROM g GROUP BY user_id, s"""
+
+
+@query("s4_session_windows", SESSIONS_SQL)
 def s4(spark, sf):
     # sessions are emitted when the watermark passes them; on a table all are complete
     batch = table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("value") / 500).alias("x"))
     return seconds(win.sessions(batch, "6 hours"))
 
 
-@query("s4_session_stream")
+@query("s4_session_stream", SESSIONS_SQL)
 def s4_stream(spark, sf):
-    return seconds(run_available(win.sessions(event_stream(spark, sf), "6 hours"), "append", (), "session"))
+    """Sessions that are open when the input ends are closed by its end."""
+    rows, finish = with_end(table_stream(spark, sf, "events").select("user_id", "ts", (F.col("value") / 500.0).alias("x")), "ts")
+    return seconds(run_available(win.sessions(win.with_event_time(rows), "6 hours"), "append", (), "session", finish))
 
 
 @query("s8_watermark", f"SELECT event_type AS source, count(*) AS n, {rd('max(value)')} AS peak FROM events GROUP BY 1")

@@ -107,14 +107,14 @@ def aggregate_profiles(profiles: DataFrame, key: str) -> DataFrame:
         F.count(F.lit(1)).alias("reference_count"), *[F.avg(c).alias(c) for c in cols])
 
 
-def retention_plan(items: DataFrame, budget: int, bucket: Column) -> DataFrame:
+def retention_plan(items: DataFrame, budget: int, *buckets: Column) -> DataFrame:
     """Which disposable items go, oldest first, until the total fits the budget. A report: nothing is deleted.
 
-    ``bucket`` must not decrease with (modified_ms, item_id); totals run over buckets, not over one sorted list.
+    ``buckets``, coarse ones first, must not decrease with (modified_ms, item_id); totals run over buckets, level by level.
     """
     total = items.agg(F.sum("size_bytes").alias("_all"))
     free = running_total(
-        items.filter(~F.col("owned")), [], [bucket], [F.col("modified_ms"), F.col("item_id")], F.col("size_bytes"), "_cum")
+        items.filter(~F.col("owned")), [], buckets, [F.col("modified_ms"), F.col("item_id")], F.col("size_bytes"), "_cum")
     freed_before = F.col("_cum") - F.col("size_bytes")
     remove = F.col("_all") - freed_before > F.lit(budget)
     return free.crossJoin(F.broadcast(total)).select(  # one-row side

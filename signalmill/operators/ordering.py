@@ -42,12 +42,19 @@ def running_total(
         totals = cut_lineage(totals)
     offsets = _bucket_offsets(totals, keys, names)
     return (
-        rows.join(offsets, [*keys, *names], "left")
+        _same_join(rows, offsets, [*keys, *names], "left")
         .withColumn(out, F.col(out) + F.coalesce(F.col("_before"), F.lit(0)))
         .drop("_before", *names)
     )
 
 
+def _same_join(left: DataFrame, right: DataFrame, on: Sequence[str], how: str) -> DataFrame:
+    """Join on equal values where null equals null: rows without a key are a series too."""
+    other = right.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return left.join(other, same, how).drop(*[f"_on_{c}" for c in on])
+
+
 def _bucket_offsets(totals: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """Total of all earlier buckets (``_before``) per bucket combination."""
     outer, last = names[:-1], names[-1]
@@ -56,29 +63,13 @@ def _bucket_offsets(totals: DataFrame, keys: list[str], names: list[str]) -> Dat
     if not outer:
         return here.select(*keys, *names, "_before")
     upper = _bucket_offsets(totals.groupBy(*keys, *outer).agg(F.sum("_total").alias("_total")), keys, outer)
-    return here.join(upper.withColumnRenamed("_before", "_outer_before"), [*keys, *outer]).select(
+    return _same_join(here, upper.withColumnRenamed("_before", "_outer_before"), [*keys, *outer], "inner").select(
         *keys, *names, (F.col("_before") + F.col("_outer_before")).alias("_before")
     )
 
 
-# a series up to this many rows is sorted whole; beyond it, bucket by bucket
-SORT_WHOLE_ROWS = 1_000_000
-
-
-def position(
-    df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], out: str,
-    sort_whole_rows: int | None = None,
-) -> DataFrame:
-    """Zero-based position of each row in its series.
-
-    The size of the largest series is counted first (a scan of the key columns, added up before the shuffle).
-    Only if it is small is every series sorted in one piece, which saves the second pass over the data.
-    """
-    limit = SORT_WHOLE_ROWS if sort_whole_rows is None else sort_whole_rows
-    largest = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    if largest <= limit:
-        w = Window.partitionBy(*keys).orderBy(*order)
-        return df.withColumn(out, F.row_number().over(w).cast("bigint") - 1)
+def position(df: DataFrame, keys: Sequence[str], buckets: Sequence[Column], order: Sequence[Column], out: str) -> DataFrame:
+    """Zero-based position of each row in its series; rows are sorted inside buckets, whatever the size of the series."""
     return running_total(df, keys, buckets, order, F.lit(1).cast("bigint"), out).withColumn(out, F.col(out) - 1)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,9 +27,28 @@ def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger:
     return reader.parquet(path + "*")
 
 
-def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name: str = "stream") -> DataFrame:
+def with_end(stream: DataFrame, time: str, name: str = "end") -> tuple[DataFrame, Callable[[], None]]:
+    """The stream, to be used before its watermark is set, and the ``finish`` of :func:`run_available` that ends it.
+
+    ``finish`` adds one row that is empty but for a time far ahead, so the watermark passes everything that is still open.
+    """
+    spark, folder = stream.sparkSession, scratch_folder(stream.sparkSession, name)
+    empty = spark.createDataFrame([], stream.schema)
+    empty.write.parquet(folder)
+
+    def finish() -> None:
+        far = F.lit("9000-01-01").cast(stream.schema[time].dataType).alias(time)
+        spark.range(1).select(*[far if f.name == time else F.lit(None).cast(f.dataType).alias(f.name) for f in stream.schema]).write.mode(
+            "append").parquet(folder)
+
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder)), finish
+
+
+def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name: str = "stream",
+                  finish: Callable[[], None] | None = None) -> DataFrame:
     """Process all available input. Every micro-batch is written as files; with ``keys`` the newest row of each
-    key is returned (update mode), else all rows (append mode)."""
+    key is returned (update mode), else all rows (append mode). ``finish`` is called when the input has been read; the
+    stream then goes on from its checkpoint with whatever ``finish`` added."""
     spark = stream.sparkSession
     out, ckpt = scratch_folder(spark, name), scratch_folder(spark, f"{name}-checkpoint")
 
@@ -37,9 +56,14 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name:
         # the batch id is part of the path, so a repeated batch replaces itself
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    q = stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", ckpt).trigger(
-        availableNow=True).start()
-    q.awaitTermination()
+    def run() -> None:
+        stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", ckpt).trigger(
+            availableNow=True).start().awaitTermination()
+
+    run()
+    if finish:
+        finish()
+        run()
     rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
     if keys:
         newest = Window.partitionBy(*keys).orderBy(F.col("batch").desc())
