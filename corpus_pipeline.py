@@ -22,11 +22,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by a similarity of 0.85 or more in 4-word shingles, the document with the least id.
+    """Of each group linked by a similarity of 0.8 or more in 5-word shingles, the document with the least id.
 
     Texts without words link with nothing and stay. Of rows that repeat an id with equal texts one stays.
     """
-    groups = jaccard_join(docs, words=4, percent=85)
+    groups = jaccard_join(docs, words=5, percent=80)
     first = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():

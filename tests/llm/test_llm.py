@@ -248,3 +248,32 @@ def test_pipeline(spark):
     mixed = corpus_pipeline.mixing(spark, clean, folder)
     assert mixed.columns == docs.columns and {r.doc_id for r in mixed.collect()} <= kept
     assert corpus_pipeline.run(spark, folder).count() == mixed.count()
+
+
+def test_pipeline_near_duplicates(spark):
+    """The stage against all pairs at 5 words and 0.8: two changed places keep 5-word similarity above it, not 4-word above 0.85."""
+    import corpus_pipeline
+
+    r = random.Random(11)
+    texts = []
+    for n in (60, 80, 100, 120):
+        base = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+        texts.append(base)
+        for changes in (1, 2, 3, 4):
+            other = list(base)
+            for i in range(changes):
+                other[i if i < 3 else n // 2] = f"changed{changes}x{i}"
+            texts.append(other)
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+    def kept(k, percent):
+        sets, label = {d: shingles(t, k) for d, t in docs}, {d: d for d, _ in docs}
+        links = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b])]
+        while any(label[a] != label[b] for a, b in links):
+            for a, b in links:
+                label[a] = label[b] = min(label[a], label[b])
+        return sorted(d for d, least in label.items() if d == least)
+
+    assert kept(5, 80) != kept(4, 85)
+    got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "")
+    assert sorted(x.doc_id for x in got.collect()) == kept(5, 80)
