@@ -36,7 +36,7 @@ class Canonical:
 
     def __init__(self):
         self.clear()
-        self.marks = np.array([number_seed(k) for k in range(4)], np.uint64)
+        self.marks = MARKS
 
     def clear(self):
         self.known, self.new, self.taken = {}, [], 0
@@ -68,9 +68,9 @@ class Canonical:
             held[self.taken: end] = column
         self.new, self.taken = [], end
 
-    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash of each word, its template hash and its kind. A unit needs a number before it; a name needs a word before
-        it that does not end a sentence."""
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Hash of each word, its template hash, its kind and its kind whatever stands before it. A unit needs a number
+        before it; a name needs a word before it that does not end a sentence."""
         words = text.split()
         if len(self.known) > KNOWN:
             self.clear()
@@ -82,23 +82,40 @@ class Canonical:
         values, kinds, ends = self.values[at], self.kinds[at], self.ends[at]
         before = np.concatenate([[LITERAL], kinds[:-1]]) if len(at) else kinds
         opens = np.concatenate([[True], ends[:-1]]) if len(at) else ends
+        alone = kinds
         kinds = np.where((kinds == UNIT) & (before != NUM) | (kinds == NAME) & opens, LITERAL, kinds)
-        return values, np.where(kinds == LITERAL, values, self.marks[kinds]), kinds
+        return values, np.where(kinds == LITERAL, values, self.marks[kinds]), kinds, alone
 
 
-def windows(values: np.ndarray, template: np.ndarray, kinds: np.ndarray, size: int, literals: int) -> np.ndarray:
-    """Hash of each window: of its template, or, where fewer than ``literals`` words are literal, of the words themselves."""
+MARKS = np.array([number_seed(k) for k in range(4)], np.uint64)
+
+
+def windows(values: np.ndarray, template: np.ndarray, kinds: np.ndarray, alone: np.ndarray, size: int, literals: int):
+    """Hash of each window: of its template, or, where fewer than ``literals`` words are literal, of the words themselves.
+
+    A window's first word may be literal or not by the word before the window, which is not part of it. ``places, hashes``
+    after the first result are the windows whose first word can be taken the other way.
+    """
     n = len(values) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
     shown, plain = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
     for k in range(size):
         odd = np.uint64(((2 * k + 3) * 0x9E3779B97F4A7C15 | 1) & ((1 << 64) - 1))
         shown += template[k: k + n] * odd
         plain += values[k: k + n] * odd
     count = np.concatenate([[0], np.cumsum(kinds == LITERAL)])
-    few = count[size:] - count[:-size] < min(literals, size)
-    return np.where(few, mix(plain, 103), mix(shown, 107)) + np.uint64(size)
+    literal = count[size:] - count[:-size]
+
+    def hashes(shown, plain, literal):
+        return np.where(literal < literals, mix(plain, 103), mix(shown, 107)) + np.uint64(size)
+
+    at = np.flatnonzero((alone[:n] == UNIT) | (alone[:n] == NAME))
+    was = kinds[at] == LITERAL
+    first = np.where(was, MARKS[alone[at]], values[at])
+    odd = np.uint64((3 * 0x9E3779B97F4A7C15 | 1) & ((1 << 64) - 1))
+    other = hashes(shown[at] + (first - template[at]) * odd, plain[at], literal[at] + np.where(was, -1, 1))
+    return hashes(shown, plain, literal), at, other
 
 
 class Items:
@@ -106,14 +123,14 @@ class Items:
 
     def __init__(self, rows: list[tuple], size: int, literals: int, least: int):
         make = Canonical()
-        self.size, self.literals, self.items = size, literals, []
+        self.size, self.literals, self.least, self.items = size, literals, least, []
         parts = []
         for item, text in rows:
-            values, template, kinds = make(text or "")
-            if len(values) < least:
+            values, template, kinds, alone = make(text or "")
+            if not len(values):
                 continue
             own = min(size, len(values))
-            found = windows(values, template, kinds, own, literals)
+            found, _, _ = windows(values, template, kinds, alone, own, self.needed(own))
             parts.append((found, np.full(len(found), len(self.items)), np.arange(len(found)), np.full(len(found), own)))
             self.items.append((item, values, kinds))
         columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.uint64)] + [np.zeros(0, np.int64)] * 3
@@ -123,13 +140,19 @@ class Items:
         self.bits = np.zeros(1 << 20, bool)
         self.bits[self.hashes & np.uint64((1 << 20) - 1)] = True
 
-    def leaks(self, values, template, kinds, share: float) -> list[tuple]:
+    def needed(self, size: int) -> int:
+        """Literal words without which a window is looked for word by word; short items always are."""
+        return size + 1 if size < self.least else min(self.literals, size)
+
+    def leaks(self, values, template, kinds, alone, share: float) -> list[tuple]:
         """``item, words covered, words of the item`` for each item that the document holds ``share`` of or more."""
         hits = []
         for size in self.lengths:
-            own = windows(values, template, kinds, size, self.literals)
+            own, places, other = windows(values, template, kinds, alone, size, self.needed(size))
             at = np.flatnonzero(self.bits[own & np.uint64((1 << 20) - 1)])
-            low, high = np.searchsorted(self.hashes, own[at], "left"), np.searchsorted(self.hashes, own[at], "right")
+            more = np.flatnonzero(self.bits[other & np.uint64((1 << 20) - 1)])
+            sought, at = np.concatenate([own[at], other[more]]), np.concatenate([at, places[more]])
+            low, high = np.searchsorted(self.hashes, sought, "left"), np.searchsorted(self.hashes, sought, "right")
             count = high - low
             if count.any():
                 entry = np.repeat(low - (np.cumsum(count) - count), count) + np.arange(count.sum())
@@ -147,19 +170,20 @@ class Items:
             k, move = int(item[own[0]]), int(shift[own[0]])
             _, there, there_kinds = self.items[k]
             mask = covered.setdefault(k, np.zeros(len(there), bool))
-            mask |= self.consistent(self.place[entry[own]], self.length[entry[own]], there, there_kinds, values, kinds, move)
+            mask |= self.consistent(self.place[entry[own]], self.length[entry[own]], there, there_kinds, values, move)
         return [(self.items[k][0], int(m.sum()), len(m)) for k, m in sorted(covered.items()) if m.sum() >= share * len(m)]
 
     @staticmethod
-    def consistent(places, lengths, there, there_kinds, values, kinds, move) -> np.ndarray:
-        """Item words in matched windows without a slot whose value stands for another one elsewhere."""
+    def consistent(places, lengths, there, there_kinds, values, move) -> np.ndarray:
+        """Item words in matched windows without a slot whose value stands for another one elsewhere. A matched window's
+        words have the kinds of the item's."""
         mask = np.zeros(len(there), bool)
         for p, n in zip(places.tolist(), lengths.tolist(), strict=True):
             mask[p: p + n] = True
         slots = np.flatnonzero(mask & (there_kinds != LITERAL))
         forward, backward, wrong = {}, {}, []
         for i in slots.tolist():
-            a, b = (int(there_kinds[i]), int(there[i])), (int(kinds[i + move]), int(values[i + move]))
+            a, b = (int(there_kinds[i]), int(there[i])), (int(there_kinds[i]), int(values[i + move]))
             if forward.setdefault(a, b) != b or backward.setdefault(b, a) != a:
                 wrong.append(i)
         if wrong:
@@ -187,8 +211,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
     """Benchmark items in every whole text: ``doc_id, contaminated, item_ids, covered_words`` (of the fullest item).
 
     A document is contaminated by an item if matched windows of ``size`` template words (an item with fewer is one
-    window) cover ``share`` of the item's words. Items of fewer than ``least`` words and null items are not looked for. A
-    null text is empty; each row is judged by its own text.
+    window) cover ``share`` of the item's words. Items of fewer than ``least`` words are looked for as whole exact phrases;
+    null items and items without words are not. A null text is empty; each row is judged by its own text.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
                        F.lit(None).cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("covered_words"))

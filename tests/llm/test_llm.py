@@ -277,3 +277,16 @@ def test_pipeline_near_duplicates(spark):
     assert kept(5, 80) != kept(4, 85)
     got = corpus_pipeline.near_duplicates(spark, frame(spark, docs), "")
     assert sorted(x.doc_id for x in got.collect()) == kept(5, 80)
+
+
+def test_short_items(spark):
+    items = ["What is the capital of France today", "hours Alice spent in Rome", "Blue Whale", "What costs 12 apples and 3 kg flour", "", "yes",
+             "one two three four five six seven eight of Alice has 3 apples for Alice and 4 for all"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = ["quiz What is the capital of France today", "and 12 hours Alice spent in Rome", "a blue whale, swimming", "a whale blue",
+            "quiz What costs 15 apples and 4 kg flour", "quiz How costs 15 apples and 4 kg flour", "Yes.", "yesterday",
+            "Alice has 3 apples for Alice and 4 for all", "What is the capitol of Spain today"]
+    got = {r.doc_id: r.item_ids for r in templates.find_leaks(frame(spark, list(enumerate(docs))), benchmark, share=0.5).collect()}
+    assert got == {0: [0], 1: [1], 2: [2], 3: [], 4: [3], 5: [], 6: [5], 7: [], 8: [6], 9: []}
+    kept = templates.drop_leaks(frame(spark, list(enumerate(docs))), benchmark)
+    assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 9]
