@@ -12,6 +12,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: whole-number arithmetic: the mass of a fully trusted host, the grain of link shares
 UNIT, GRAIN = 1_000_000_000, 1 << 20
+#: mass that may still reach any host when the rounds end, as parts of the block threshold
+FINE = 1000
 LINK = r"""(?i)(?:href|src)\s*=\s*["']?(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'\s>]+)"""
 
 
@@ -42,28 +44,35 @@ def host_links(pages: DataFrame) -> DataFrame:
         "target <> source").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
-def propagate(seeds: DataFrame, edges: DataFrame, keep: int, rounds: int) -> DataFrame:
+def propagate(seeds: DataFrame, edges: DataFrame, keep: int, open_mass: int) -> DataFrame:
     """Personalised PageRank in whole numbers: ``host, mass``. Each round a host gets ``keep`` hundredths of its seed and
-    the rest of what flows in. ``edges``: ``source, target, links``; ``seeds``: ``host, seed``, all hosts."""
+    the rest of what flows in. ``edges``: ``source, target, links``; ``seeds``: ``host, seed``, all hosts.
+
+    Mass only grows from the kept seed on, and what all hosts gain in a round is at most 1 - ``keep`` hundredths of what
+    they gained in the round before: rounds end when all that is still to come is ``open_mass`` or less for all hosts together.
+    """
     out = edges.groupBy("source").agg(F.sum("links").alias("all_links"))
     shares = cut_lineage(edges.join(out, "source").select("source", "target", F.expr(f"links * {GRAIN} div all_links").alias("share")))
-    mass = seeds.select("host", F.col("seed").alias("mass"))
-    for k in range(rounds):
+    mass = seeds.select("host", F.expr(f"seed * {keep} div 100").alias("mass"))
+    while True:
         flow = shares.join(mass, shares["source"] == mass["host"]).groupBy(F.col("target").alias("host")).agg(
             F.sum(F.expr(f"mass * share div {GRAIN} * {100 - keep} div 100")).alias("flow"))
-        mass = seeds.join(flow, "host", "left").select("host", (F.expr(f"seed * {keep} div 100") + F.coalesce("flow", F.lit(0))).alias("mass"))
-        if k % 4 == 3 and k + 1 < rounds:
-            mass = cut_lineage(mass)
-    return mass
+        mass = cut_lineage(seeds.join(flow, "host", "left").join(mass.withColumnRenamed("mass", "was"), "host").select(
+            "host", "was", (F.expr(f"seed * {keep} div 100") + F.coalesce("flow", F.lit(0))).alias("mass")))
+        gain = mass.agg(F.sum((F.col("mass") - F.col("was")).cast("decimal(38,0)"))).first()[0] or 0
+        mass = mass.select("host", "mass")
+        if gain * (100 - keep) <= open_mass * keep:
+            return mass
 
 
-def judge_urls(pages: DataFrame, rules=RULES, keep: int = 15, rounds: int = 10, threshold: int = 50) -> DataFrame:
+def judge_urls(pages: DataFrame, rules=RULES, keep: int = 15, threshold: int = 50) -> DataFrame:
     """``page_id, host, path, rule, verdict, trust, distrust`` of every page.
 
     A rule decides where one fits. Elsewhere the host does: trust starts from hosts by the share of their pages that a
     rule allows and flows along links; distrust starts from the share that a rule blocks and flows against them (a host
     that links to blocked ones is suspect). A host is blocked if its distrust is greater than its trust and at least
-    ``threshold`` hundredths of what a wholly blocked host has without any links. Pages without a host are allowed; null html has no
+    ``threshold`` hundredths of what a wholly blocked host has without any links. Both flow until what is still to come is
+    less than a thousandth of that, however long the paths. Pages without a host are allowed; null html has no
     links; repeated rows count as pages of their own.
     """
     host, path = url_parts(F.col("url"))
@@ -79,10 +88,11 @@ def judge_urls(pages: DataFrame, rules=RULES, keep: int = 15, rounds: int = 10,
         "host", F.coalesce(F.expr(f"allowed * {UNIT} div pages"), F.lit(0)).alias("allow"),
         F.coalesce(F.expr(f"blocked * {UNIT} div pages"), F.lit(0)).alias("block")))
     reverse = edges.select(F.col("target").alias("source"), F.col("source").alias("target"), "links")
-    trust = propagate(seeds.select("host", F.col("allow").alias("seed")), edges, keep, rounds)
-    distrust = propagate(seeds.select("host", F.col("block").alias("seed")), reverse, keep, rounds)
+    limit = UNIT * keep * threshold // 10_000
+    trust = propagate(seeds.select("host", F.col("allow").alias("seed")), edges, keep, limit // FINE)
+    distrust = propagate(seeds.select("host", F.col("block").alias("seed")), reverse, keep, limit // FINE)
     scores = cut_lineage(trust.withColumnRenamed("mass", "trust").join(distrust.withColumnRenamed("mass", "distrust"), "host"))
-    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= UNIT * keep * threshold // 10_000)
+    bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= limit)
     return ruled.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule", F.coalesce("verdict", F.when(bad, "block").otherwise("allow")).alias("verdict"),
         F.coalesce("trust", F.lit(0)).alias("trust"), F.coalesce("distrust", F.lit(0)).alias("distrust"))

@@ -290,3 +290,18 @@ def test_short_items(spark):
     assert got == {0: [0], 1: [1], 2: [2], 3: [], 4: [3], 5: [], 6: [5], 7: [], 8: [6], 9: []}
     kept = templates.drop_leaks(frame(spark, list(enumerate(docs))), benchmark)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 5, 7, 9]
+
+
+def test_hosts_far_apart(spark):
+    """Distrust along a chain falls with each hop and does not come back where the rounds end; in a ring it is summed up."""
+    link = '<a href="http://{}/">x</a>'
+    pages = [(0, "http://spam.net/", "")] + [(k, f"http://h{k}.com/", link.format(f"h{k - 1}.com" if k > 1 else "spam.net")) for k in range(1, 15)]
+    pages += [(20, "http://other.net/", ""), (21, "http://r1.com/", link.format("other.net") + link.format("r2.com")),
+              (22, "http://r2.com/", link.format("r3.com")), (23, "http://r3.com/", link.format("r1.com"))]
+    got = {r.page_id: r for r in hosts.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    limit, unit = hosts.UNIT * 15 * 50 // 10_000, 0.15 * hosts.UNIT
+    for k in range(15):
+        assert abs(got[k].distrust - unit * 0.85**k) <= limit / hosts.FINE
+        assert got[k].verdict == ("block" if k <= 4 else "allow")
+    for k, hops in ((21, 1), (23, 2), (22, 3)):  # distrust runs against the links
+        assert abs(got[k].distrust - unit * 0.85**hops / (1 - 0.85**3)) <= limit / hosts.FINE
