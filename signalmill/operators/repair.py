@@ -17,16 +17,18 @@ from .stereo import pearson
 SAMPLE = ["track_id", "ch"]
 
 
-def declip(samples: DataFrame, threshold: float = 0.98, longest: int = 31, block: int = 65536) -> DataFrame:
+def declip(samples: DataFrame, threshold: float = 0.98, longest: int | None = None, block: int = 65536) -> DataFrame:
     """Replace clipped runs by a cubic through the two good samples on each side (never below the threshold).
 
-    Only run rows and their four anchors take part in joins; other samples pass through. Anchors are the original
+    Runs longer than ``longest`` (default: none is too long) stay as they are. Only run rows and their four anchors take part in joins; other samples pass through. Anchors are the original
     samples, also where two runs are one sample apart.
     """
     x = F.col("x")
     found = runs(samples, SAMPLE, "frame_ix", is_finite(x) & (F.abs(x) >= threshold), block)
     # a run needs two samples before it; the two after it are checked by the anchor count
-    found = found.filter((F.col("length") <= longest) & (F.col("start_ix") >= 2))
+    found = found.filter(F.col("start_ix") >= 2)
+    if longest is not None:
+        found = found.filter(F.col("length") <= longest)
     need = found.select(
         *SAMPLE, "start_ix", "end_ix",
         F.explode(F.array(*[F.struct(F.lit(i).alias("a"), p.alias("frame_ix")) for i, p in enumerate((
@@ -227,10 +229,10 @@ def _f0(x: np.ndarray, rate: float, low: float, high: float, shortest: int = 256
     return float(rate / lags[best]) if score[best] > 0.4 else 0.0
 
 
-def _centroid(x: np.ndarray, rate: float, longest: int = 1024, shortest: int = 64) -> float:
+def _centroid(x: np.ndarray, rate: float, longest: int | None = None, shortest: int = 64) -> float:
     if len(x) < shortest:
         return 0.0
-    n = min(len(x), longest)
+    n = min(len(x), longest or len(x))
     taper = 0.5 * (1 - np.cos(2 * np.pi * np.arange(n) / n))
     mag = np.abs(np.fft.rfft(x[:n] * taper))[1 : n // 2]
     total = mag.sum()
@@ -243,35 +245,47 @@ REFERENCE_BANDS = [
     ("high_mid_db", 2000.0, 6000.0), ("presence_db", 6000.0, 12000.0), ("air_db", 12000.0, 20000.0)]
 
 
-def reference_profile(frames: DataFrame, rate: float, bands=REFERENCE_BANDS, head: int = 512, max_bins: int = 256) -> DataFrame:
-    """Level summary of the whole series and band levels from its defined first ``head`` samples.
+def reference_profile(frames: DataFrame, rate: float, bands=REFERENCE_BANDS, head: int | None = None, max_bins: int | None = None,
+                      window: int = 4096) -> DataFrame:
+    """Level summary and band levels of the whole series: power averaged over windows of ``window`` samples, each weighted
+    by its samples (the last one is filled up with zeros; a shorter series is one window of its own length).
 
-    Only those samples (fixed by the method) meet in one row per series.
+    ``head`` takes band levels from the first so many samples only, with the bins of the whole length; ``max_bins`` leaves
+    out higher bins. Windows with values that are not finite are left out. Only the samples of one window meet in one row.
     """
     mono = (F.col("l") + F.col("r")) / 2
     levels = frames.groupBy("track_id").agg(
         (F.max("frame_ix") + 1).alias("frames"), F.sqrt(F.avg(mono * mono)).alias("_r"), F.max(F.abs(mono)).alias("_p"))
-    first = frames.filter(F.col("frame_ix") < head).groupBy("track_id").agg(
-        F.array_sort(F.collect_list(F.struct("frame_ix", mono.alias("m")))).alias("_x"))
+    used = frames if head is None else frames.filter(F.col("frame_ix") < head)
+    place = F.floor(F.col("frame_ix") / F.lit(window)) if head is None else F.lit(0)
+    parts = used.groupBy("track_id", place.cast("bigint").alias("_w")).agg(
+        F.array_sort(F.collect_list(F.struct("frame_ix", mono.alias("m")))).alias("_x")).join(levels.select("track_id", "frames"), "track_id")
+    length = F.least("frames", F.lit(window)) if head is None else F.col("frames")
     names = [b[0] for b in bands]
+    fields = [f for n in names for f in (n, f"{n}_bins")]
 
-    @F.pandas_udf("struct<" + ",".join(f"{n}:double" for n in names) + ">")
+    @F.pandas_udf("struct<" + ",".join(f"{f}:double" for f in fields) + ">")
     def spectrum(x: pd.Series, count: pd.Series) -> pd.DataFrame:
         rows = []
         for v, n in zip(x, count):
-            v, k = np.asarray(v, float), np.arange(1, max(min(int(n) // 2, max_bins), 1))
-            p = np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(len(v))) / n) @ v) ** 2 / len(v) ** 2
-            hz, row = k * rate / n, []
-            for _, lo, hi in bands:
-                part = p[(hz >= lo) & (hz < hi)]
-                row.append(10 * np.log10(part.sum() / len(part)) if len(part) and part.sum() > 1e-12 else -70.0)
-            rows.append(row)
-        return pd.DataFrame(rows, columns=names)
-
-    j = levels.join(first, "track_id").withColumn("_s", spectrum(F.transform("_x", lambda s: s["m"]), F.col("frames")))
+            v, k = np.asarray(v, float), np.arange(1, max(min(int(n) // 2, max_bins or int(n)), 1))
+            if head is None:
+                p = np.abs(np.fft.rfft(v, int(n))[k]) ** 2 / len(v) ** 2
+            else:
+                p = np.abs(np.exp(-2j * np.pi * np.outer(k, np.arange(len(v))) / n) @ v) ** 2 / len(v) ** 2
+            hz = k * rate / n
+            inside = [(hz >= lo) & (hz < hi) for _, lo, hi in bands]
+            rows.append([t for i in inside for t in (p[i].sum(), i.sum())] if np.isfinite(p).all() else [None] * (2 * len(bands)))
+        return pd.DataFrame(rows, columns=fields)
+
+    size = F.size("_x")
+    powers = parts.withColumn("_s", spectrum(F.transform("_x", lambda s: s["m"]), length)).groupBy("track_id").agg(
+        *[F.try_divide(F.sum(F.col(f"_s.{n}") * size), F.sum(F.when(F.col(f"_s.{n}").isNotNull(), size))).alias(n) for n in names],
+        *[F.max(f"_s.{n}_bins").alias(f"{n}_bins") for n in names])
+    j = levels.join(powers, "track_id")
     rms, peak = F.col("_r"), F.col("_p")
     return j.select(
         "track_id", "frames", F.when(rms > 1e-9, 20 * F.log10(rms) - 0.691).otherwise(-70.0).alias("integrated_lufs"),
         F.when(peak > 1e-9, 20 * F.log10(peak)).otherwise(-70.0).alias("true_peak_dbtp"),
         F.when((rms > 1e-9) & (peak > 1e-9), 20 * F.log10(peak / F.nullif(rms, F.lit(0.0)))).otherwise(10.0).alias("crest_db"),
-        *[F.col(f"_s.{n}").alias(n) for n in names])
+        *[F.when(F.col(n) > 1e-12, 10 * F.log10(F.col(n) / F.nullif(F.col(f"{n}_bins"), F.lit(0.0)))).otherwise(-70.0).alias(n) for n in names])

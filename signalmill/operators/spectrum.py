@@ -95,13 +95,15 @@ def band_frequencies(rate: float, count: int = 40, low: float = 40.0) -> np.ndar
 
 def window_band_powers(mono: DataFrame, rate: float, window: int = 2048, count: int = 40, low: float = 40.0,
                        shortest: int = 32, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """``track_id, win, band, power, end_s``: Hann-weighted power at log-spaced frequencies per window."""
+    """``track_id, win, band, power, end_s``: Hann-weighted power at log-spaced frequencies per window.
+
+    A last window of fewer than ``shortest`` samples is left out (1: none is); one of under three samples has no taper."""
     if block % window:
         raise ValueError("the block must hold whole windows")
     hz = band_frequencies(rate, count, low)
 
     def basis(n: int) -> np.ndarray:
-        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1))
+        taper = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n) / (n - 1)) if n > 2 else np.ones(n)
         return np.exp(-2j * np.pi * np.outer(np.arange(n), hz) / rate) * taper[:, None] / n
 
     @F.pandas_udf("array<struct<w:int,n:int,p:array<double>>>")

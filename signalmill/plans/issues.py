@@ -55,10 +55,11 @@ def mix_health(m: DataFrame) -> DataFrame:
     return out.withColumn("health_assessment", assessment(F.col("health")))
 
 
-def build_findings(m: DataFrame) -> DataFrame:
+def build_findings(m: DataFrame, most_resonances: int | None = None) -> DataFrame:
     """One row per finding, ordered by severity within the track (``rank`` from 0).
 
-    ``resonances`` is an array of at most three structs (frequency_hz, persistence, severity, first_s, last_s).
+    ``resonances`` is an array of structs (frequency_hz, persistence, severity, first_s, last_s); all of them count, or the
+    first ``most_resonances``.
     """
     c = F.col
 
@@ -90,14 +91,18 @@ def build_findings(m: DataFrame) -> DataFrame:
         finding(c("harshness") >= 0.62, "harshness", "tonal", F.when(c("harshness") >= 0.82, "high").otherwise("moderate"),
                 0.80, True, c("harshness")),
     ]
-    for i in range(3):
-        x = F.get("resonances", F.lit(i))
+
+    def resonance(x, i):
         timed = x["last_s"] > x["first_s"]
-        items.append(finding(
-            x.isNotNull() & (x["severity"] >= 0.50), f"resonance_{i}", "tonal",
+        return finding(
+            x.isNotNull() & (x["severity"] >= 0.50), F.concat(F.lit("resonance_"), i.cast("string")), "tonal",
             F.when(x["severity"] >= 0.78, "high").otherwise("moderate"), clamp(0.55 + x["persistence"] * 0.4, 0, 0.95),
-            True, x["frequency_hz"], (F.when(timed, x["first_s"]), F.when(timed, x["last_s"]))))
-    items += [
+            True, x["frequency_hz"], (F.when(timed, x["first_s"]), F.when(timed, x["last_s"])))
+
+    peaks = c("resonances") if most_resonances is None else F.slice("resonances", 1, most_resonances)
+    before = kept(*items)
+    peaks = F.filter(F.transform(peaks, resonance), lambda f: f.isNotNull())
+    after = kept(
         finding(stereo & (c("low_width") > 0.25), "wide_low_end", "stereo", "moderate", 0.88, False, c("low_width")),
         finding(stereo & ((c("correlation") < 0) | (c("negative_fraction") > 0.20)), "phase_instability", "stereo", "high",
                 0.92, False, c("correlation")),
@@ -105,8 +110,8 @@ def build_findings(m: DataFrame) -> DataFrame:
         finding(c("section_contrast_db") > 9, "large_section_contrast", "structure", "low", 0.80, False,
                 c("section_contrast_db")),
         finding(c("tempo_confidence") >= 0.55, "tempo_structure", "structure", "info", c("tempo_confidence"), True, c("bpm")),
-    ]
-    found = kept(*items)
+    )
+    found = F.concat(before, F.coalesce(peaks, F.slice(before, 1, 0)), after)
     actionable = F.exists(found, lambda f: f["severity"].isin("moderate", "high"))
     calm = finding(F.lit(True), "no_major_issue", "technical", "info", 0.78, True)
     full = F.when(actionable, found).otherwise(F.concat(found, F.array(calm)))
@@ -114,7 +119,7 @@ def build_findings(m: DataFrame) -> DataFrame:
     for name, level in SEVERITY.items():
         rank = F.when(F.col("severity") == name, level).otherwise(rank)
     rows = m.select("track_id", F.posexplode(full).alias("rule_ix", "f")).select("track_id", "rule_ix", "f.*")
-    # a track has at most sixteen findings
+    # a track has at most thirteen findings besides its resonances
     w = Window.partitionBy("track_id").orderBy(rank.desc(), "rule_ix")
     return rows.withColumn("rank", F.row_number().over(w) - 1).drop("rule_ix")
 

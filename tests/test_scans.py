@@ -1,3 +1,6 @@
+import inspect
+import re
+
 import numpy as np
 import pytest
 from helpers import frames, long, tone, values
@@ -232,3 +235,40 @@ def test_chunked_function_is_stitched_back(spark):
     x = noise(150)
     y = values(fr.map_chunks(long(spark, x), 32, 8, lambda v: v * 2), "frame_ix", "x")[0]
     assert np.allclose(y, x * 2)
+
+
+def test_whole_series_by_default(spark):
+    n = 3 * 4096 + 1000
+    x = np.zeros(n)
+    x[8192:] = tone(1000, 8000, 1, 0.5)[: 100][np.arange(n - 8192) % 8]  # the reference's first 512 samples are silent
+    p = repair.reference_profile(frames(spark, x), 8000).first()
+    total = np.zeros(2049)
+    for a in range(0, n, 4096):
+        part = x[a: a + 4096]
+        total += np.abs(np.fft.rfft(part, 4096)) ** 2 / len(part) ** 2 * len(part) / n
+    hz = np.arange(1, 2048) * 8000 / 4096
+    assert p.mid_db == pytest.approx(10 * np.log10(total[1:2048][(hz >= 500) & (hz < 2000)].mean()), abs=1e-6)
+    assert repair.reference_profile(frames(spark, x), 8000, head=512, max_bins=256).first().mid_db == -70.0
+
+    y = np.concatenate([np.sin(np.arange(40) / 8) * 0.5, np.ones(60), np.sin(np.arange(40) / 8) * 0.5])
+    assert repair.declip(long(spark, y), 0.98, block=50).filter("repaired").count() == 60
+    assert repair.declip(long(spark, y), 0.98, longest=31, block=50).filter("repaired").count() == 0
+    late = np.concatenate([tone(100, 8000, 1, 0.5)[:1024], tone(3000, 8000, 1, 0.5)[:3072]])
+    assert repair._centroid(late, 8000) > 2000 > repair._centroid(late, 8000, longest=1024)
+
+
+def test_last_window_and_all_resonances(spark):
+    from signalmill.operators import spectrum
+    from signalmill.plans import issues
+
+    for n in (64 + 5, 64 + 2, 64 + 1):
+        got = spectrum.window_band_powers(long(spark, noise(n)).select("track_id", "frame_ix", "x"), 8000, 64, 4, 200.0, 1, block=128)
+        assert {r.win for r in got.collect()} == {0, 1} and got.filter("power IS NULL OR isnan(power)").count() == 0
+    names = re.findall(r'c\("(\w+)"\)', inspect.getsource(issues.build_findings))
+    rows = spark.range(2).select(F.lit(7).alias("track_id"), *[F.lit(0.0).alias(k) for k in sorted(set(names) - {"resonances"})], F.expr(
+        "CASE WHEN id = 0 THEN transform(sequence(1, 5), i -> struct(i * 1000.0D AS frequency_hz, 0.5D AS persistence, "
+        "0.9D AS severity, 0.0D AS first_s, 1.0D AS last_s)) END").alias("resonances"))
+    found = [r.id for r in issues.build_findings(rows).collect()]
+    assert sorted(f for f in found if f.startswith("resonance")) == [f"resonance_{i}" for i in range(5)]
+    assert sum(r.id.startswith("resonance") for r in issues.build_findings(rows, 3).collect()) == 3
+    assert found.count("flattened_dynamics") == 2
