@@ -301,7 +301,7 @@ def test_hosts_far_apart(spark):
     got = {r.page_id: r for r in hosts.judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     limit, unit = hosts.UNIT * 15 * 50 // 10_000, 0.15 * hosts.UNIT
     for k in range(15):
-        assert abs(got[k].distrust - unit * 0.85**k) <= limit / hosts.FINE
+        assert abs(got[k].distrust - unit * 0.85**k) <= limit / 1000
         assert got[k].verdict == ("block" if k <= 4 else "allow")
     for k, hops in ((21, 1), (23, 2), (22, 3)):  # distrust runs against the links
-        assert abs(got[k].distrust - unit * 0.85**hops / (1 - 0.85**3)) <= limit / hosts.FINE
+        assert abs(got[k].distrust - unit * 0.85**hops / (1 - 0.85**3)) <= limit / 1000
