@@ -198,3 +198,56 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     from .hosts import judge_urls
 
     return judge_urls(table(spark, folder, "pages"))
+
+
+@query("op11_token_counts")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of ``documents`` by byte-pair merging, and the texts with more than 512."""
+    import public_tokenizers
+
+    from .token_counts import token_counts
+
+    return token_counts(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"), limit=512)
+
+
+OP12_SQL = """WITH t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+d AS (SELECT doc_id, part,
+    CASE WHEN len(words) < 50 THEN 'A' ELSE '' END
+    || CASE WHEN 100 * len(list_distinct(words)) < 65 * len(words) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text) THEN 'C' ELSE '' END
+    || CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END AS fails FROM t),
+l AS (SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id),
+cells AS (SELECT part, fails, count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS letter, substr(filter_order, 1, step - 1) AS done
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+marked AS (SELECT part, filter_order, step, letter, n, good, toxic, fails = letter AS alone, contains(fails, letter) AS fail,
+    done <> '' AND regexp_matches(fails, '[' || done || '0]') AS gone FROM cells, steps),
+audit AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (NOT gone AND NOT fail), 0) AS kept,
+    coalesce(sum(n) FILTER (NOT gone AND fail), 0) AS removed, coalesce(sum(n) FILTER (gone AND fail), 0) AS redundant,
+    coalesce(sum(n) FILTER (alone), 0) AS unique_fails, coalesce(sum(good) FILTER (NOT gone AND fail), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (NOT gone AND fail), 0) AS toxic_lost FROM marked GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM audit"""
+
+
+@query("op12_filter_audit", OP12_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    """Five filters over ``documents`` in all 120 orders, by source."""
+    from .filter_audit import audit_filters
+
+    return audit_filters(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op13_periodic_runs")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of 24 words or more with three periods or more in ``documents``, a tenth of which have a periodic end."""
+    from .periodic import periodic_runs, planted, run_digests
+
+    return run_digests(periodic_runs(planted(table(spark, folder, "documents")), least=24, times=3))
