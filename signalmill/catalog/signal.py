@@ -218,7 +218,7 @@ MATERIALIZED_LINE = SIG_LINE.replace("sig_line AS (", "sig_line AS MATERIALIZED
 SELECT track_id, frame_ix, {rd('y')} AS y FROM st""")
 def e7(spark, sf):
     b = line_blocks(spark, sf).withColumn("p", F.zip_with("l", "r", lambda x, y: F.greatest(F.abs(x), F.abs(y))))
-    f = sc.follower_scan(b, ["track_id"], {"y": ("p", 0.98, 0.7)}, 0.0, 4.0, 0.0, BLOCK)
+    f = sc.follower_scan(b, ["track_id"], {"y": ("p", 0.98, 0.7)}, 0.0, BLOCK)
     return rounded(sc.from_blocks(f, ["track_id"], "frame_ix", ["y"], BLOCK))
 
 

@@ -48,14 +48,14 @@ def apply_eq(b: DataFrame, bands: list[dict], rate: float, block: int = DEFAULT_
     return f.select("track_id", "block_ix", F.col("_l").alias("l"), F.col("_r").alias("r"))
 
 
-def _follow(b: DataFrame, targets: dict[str, Column], attack_ms, release_ms, rate, block, floor_db=-240.0, linear_first=False) -> DataFrame:
+def _follow(b: DataFrame, targets: dict[str, Column], attack_ms, release_ms, rate, block, linear_first=False) -> DataFrame:
     """Smooth gain targets in dB (falling fast, rising slowly) into columns of linear gains."""
     # a scan reads its input twice (summaries, then values): write what an earlier scan made
     t = b.withColumns({f"_t_{k}": v for k, v in targets.items()})
     if linear_first:
         t = cut_lineage(t)
     fast, slow = fl.time_keep(attack_ms, rate), fl.time_keep(release_ms, rate)
-    t = follower_scan(t, KEYS, {f"_g_{k}": (f"_t_{k}", fast, slow) for k in targets}, floor_db, 0.0, 0.0, block)
+    t = follower_scan(t, KEYS, {f"_g_{k}": (f"_t_{k}", fast, slow) for k in targets}, 0.0, block)
     return t.withColumns({f"_g_{k}": F.transform(f"_g_{k}", to_linear) for k in targets})
 
 
@@ -146,7 +146,7 @@ def denoise_gate(b: DataFrame, rate: float, noise_floor_db=-60.0, reduction_db=6
     dt = 1.0 / rate
     rise, fall = 1.0 - dt / (0.005 + dt), 1.0 - dt / (0.080 + dt)
     m = b.withColumns({f"_a{c}": F.transform(c, F.abs) for c in ("l", "r")})
-    e = follower_scan(m, KEYS, {f"_e{c}": (f"_a{c}", fall, rise) for c in ("l", "r")}, 0.0, 16.0, 0.0, block)
+    e = follower_scan(m, KEYS, {f"_e{c}": (f"_a{c}", fall, rise) for c in ("l", "r")}, 0.0, block)
 
     def gate(c):
         return _zip(c, f"_e{c}", lambda x, v: F.when(v < floor, x * clamp(v / floor, least, 1)).otherwise(x))
@@ -190,7 +190,7 @@ def guided_apply(b: DataFrame, rate: float, center_hz: float = 1000.0, octaves:
     keep = {k: fl.time_keep(ms, rate) for k, ms in TRANSIENT_MS.items()}
     b = follower_scan(cut_lineage(b.withColumn("_p", _peaks())), KEYS, {
         "_f": ("_p", keep["fast_release"], keep["fast_attack"]),
-        "_s": ("_p", keep["reference_release"], keep["reference_attack"])}, 0.0, 64.0, 0.0, block)
+        "_s": ("_p", keep["reference_release"], keep["reference_attack"])}, 0.0, block)
     excess = _zip("_f", "_s", lambda f, s: clamp((f - s) / F.greatest(f, lit(1e-12)), 0, 1))
     b = b.withColumn("_g", _zip("tame", excess, lambda a, e: 1.0 - clamp(a, 0, max_transient) * e))
     b = _both(b, lambda c: _zip(c, "_g", lambda x, g: x * g))

@@ -1,15 +1,16 @@
 """Recursive filters and followers over block tables, exact and parallel along one long series.
 
-A block table has one row per (keys, block_ix) with equally long double arrays. Every scan runs
-in three steps: each full block is reduced to a short summary of what it does to the incoming
-state, the summaries (one small row per block) stream in order through a running state that gives each
-block's incoming state, and every block is then computed on its own from that state. Summaries are
+A block table has one row per (keys, block_ix) with equally long double arrays. Every scan reduces each full block to a
+short summary of what it does to the incoming state and computes every block on its own from the state that enters it.
+Those states are carried in two levels: inside groups of ``GROUP`` blocks the summaries from the group's start to each block
+are composed, the few that span a group stream in order along a series, and a block's state follows from its group's
+state and the composed summary before it. Summaries are closed under composition:
 
-* linear systems: the end state for a zero start (the transition over a full block is fixed);
-* limiter gain ``g -> min(t, r g + c)``: cap, slope and intercept, closed under composition;
-* two-speed followers: the monotone piecewise-linear map of incoming to outgoing state.
+* linear systems: number of blocks and end state for a zero start (the transition over a block is fixed);
+* limiter gain ``g -> min(t, r g + c)``: cap, slope and intercept;
+* two-speed followers: the increasing piecewise-linear map of incoming to outgoing state (``Pieces``).
 
-Only full blocks can have a successor, so series of one block skip the first two steps.
+Only full blocks can have a successor, so series of one block skip all but the last step.
 """
 
 from __future__ import annotations
@@ -23,9 +24,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.filters import System
+from .ordering import _same_join
 
 DOUBLES = T.ArrayType(T.DoubleType())
 DEFAULT_BLOCK = 65536
+#: blocks whose summaries are composed into one
+GROUP = 256
+#: frames of a follower that are taken through together
+STRIDE = 64
+#: stands for places that no state reaches
+FAR = 1e300
 
 
 def to_blocks(
@@ -98,20 +106,112 @@ def run_follower(t: np.ndarray, start: np.ndarray, falling: float, rising: float
     return out
 
 
-def follower_map(t: np.ndarray, low: float, high: float, falling: float, rising: float):
-    """Break points and images of the block's state map on ``[low, high]``."""
-    at, image = np.array([low, high]), np.array([low, high])
-    for target in t:
-        i = int(np.searchsorted(image, target))
-        if 0 < i < len(image) and image[i - 1] < target < image[i]:
-            share = (target - image[i - 1]) / (image[i] - image[i - 1])
-            at = np.insert(at, i, at[i - 1] + share * (at[i] - at[i - 1]))
-            image = np.insert(image, i, target)
-        keep = np.where(target < image, falling, rising)
-        image = keep * image + (1.0 - keep) * target
-        if image[0] == image[-1]:  # every incoming state has merged
-            at, image = at[[0, -1]], image[[0, -1]]
-    return at, image
+class Pieces:
+    """A continuous increasing piecewise-linear map: images ``y`` of the break points ``x``, and the slopes of its two
+    affine ends. Closed under composition (``after``)."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray, left: float, right: float):
+        self.x, self.y, self.left, self.right = x, y, left, right
+
+    @staticmethod
+    def _extend(v, x, y, left, right):
+        inner = np.interp(v, x, y)
+        inner = np.where(v < x[0], y[0] + (v - x[0]) * left, inner)
+        return np.where(v > x[-1], y[-1] + (v - x[-1]) * right, inner)
+
+    def __call__(self, state):
+        return self._extend(np.asarray(state, float), self.x, self.y, self.left, self.right)
+
+    def inverse(self, image):
+        """A state with this image; beyond a flat end, one that no state reaches."""
+        with np.errstate(divide="ignore", over="ignore"):
+            left, right = (min(1.0 / np.float64(s), FAR) for s in (self.left, self.right))
+            return np.clip(self._extend(np.asarray(image, float), self.y, self.x, left, right), -FAR, FAR)
+
+    def after(self, first: Pieces) -> Pieces:
+        x = np.concatenate([first.x, first.inverse(self.x)])
+        y = np.concatenate([self(first.y), self.y])
+        order = np.lexsort((y, x))
+        return Pieces(x[order], np.maximum.accumulate(y[order]), first.left * self.left, first.right * self.right)
+
+    def within(self, low: float, high: float) -> Pieces:
+        """The same map for states from ``low`` to ``high``, with no break points that make no difference there."""
+        if np.isinf(low) or np.isinf(high):
+            return self
+        inner = (self.x > low) & (self.x < high)
+        edge = self([low, high])
+        x, y = np.concatenate([[low], self.x[inner], [high]]), np.concatenate([edge[:1], self.y[inner], edge[1:]])
+        needed = np.ones(len(x), bool)
+        needed[1:-1] = (y[1:-1] != y[:-2]) | (y[1:-1] != y[2:])
+        return Pieces(x[needed], y[needed], self.left, self.right)
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([[len(self.x), self.left, self.right], self.x, self.y])
+
+    @staticmethod
+    def read(flat: np.ndarray) -> tuple[Pieces, np.ndarray]:
+        """A map and what follows it."""
+        flat = np.asarray(flat, float)
+        n = int(flat[0])
+        return Pieces(flat[3: 3 + n], flat[3 + n: 3 + 2 * n], float(flat[1]), float(flat[2])), flat[3 + 2 * n:]
+
+
+def break_points(t: np.ndarray, falling: float, rising: float) -> tuple[np.ndarray, np.ndarray]:
+    """Break points and their images of the maps of rows of targets.
+
+    Step k bends where its state equals its target: that state is taken back to the start and on to the end, for
+    all steps and rows together.
+    """
+    n = t.shape[1]
+    x, y = np.empty_like(t), np.empty_like(t)
+    for k in range(n):
+        target, past = t[:, k : k + 1], y[:, :k]
+        keep = np.where(target < past, falling, rising)
+        y[:, :k] = keep * past + (1.0 - keep) * target
+        y[:, k] = t[:, k]
+    with np.errstate(divide="ignore", invalid="ignore", over="ignore"):
+        for k in range(n - 1, -1, -1):
+            target = t[:, k : k + 1]
+            gap = x[:, k + 1 :] - target
+            back = np.where(gap == 0, 0.0, gap / np.where(gap > 0, falling, rising))
+            x[:, k + 1 :] = np.clip(target + back, -FAR, FAR)
+            x[:, k] = t[:, k]
+    order = np.argsort(x, axis=1, kind="stable")
+    return np.take_along_axis(x, order, 1), np.maximum.accumulate(np.take_along_axis(y, order, 1), axis=1)
+
+
+def follower_map(t: np.ndarray, falling: float, rising: float, low: float = -np.inf, high: float = np.inf) -> Pieces:
+    """The state map of a stretch of targets, for states from ``low`` to ``high``."""
+    maps, full = [], len(t) // STRIDE * STRIDE
+    for part in (t[:full].reshape(-1, STRIDE), t[full:].reshape(1, -1)):
+        if part.size:
+            n = part.shape[1]
+            maps += [Pieces(x, y, rising**n, falling**n).within(low, high) for x, y in zip(*break_points(part, falling, rising))]
+    while len(maps) > 1:
+        pairs = [b.after(a).within(low, high) for a, b in zip(maps[::2], maps[1::2])]
+        maps = pairs + maps[len(pairs) * 2 :]
+    return maps[0]
+
+
+def follow(t: np.ndarray, start: np.ndarray, falling: float, rising: float) -> np.ndarray:
+    """``run_follower`` over long rows: the states at every ``STRIDE`` frames first, then all stretches side by side."""
+    rows, n = t.shape
+    many = n // STRIDE
+    if many < 2:
+        return run_follower(t, start, falling, rising)
+    parts = t[:, : many * STRIDE].reshape(rows, many, STRIDE)
+    begin = np.empty((rows, many))
+    begin[:, 0] = start
+    ends = rising**STRIDE, falling**STRIDE
+    x, y = (v.reshape(rows, many - 1, STRIDE) for v in break_points(parts[:, :-1].reshape(-1, STRIDE), falling, rising))
+    for row in range(rows):
+        for k in range(many - 1):
+            begin[row, k + 1] = Pieces(x[row, k], y[row, k], *ends)(begin[row, k])
+    out = np.empty_like(t)
+    out[:, : many * STRIDE] = run_follower(parts.reshape(-1, STRIDE), begin.ravel(), falling, rising).reshape(rows, -1)
+    if n > many * STRIDE:
+        out[:, many * STRIDE :] = run_follower(t[:, many * STRIDE :], out[:, many * STRIDE - 1], falling, rising)
+    return out
 
 
 def run_limiter(t: np.ndarray, start: np.ndarray, release: float):
@@ -135,49 +235,66 @@ def limiter_map(t: np.ndarray, release: float):
     return cap, np.full(len(t), release ** t.shape[1]), icpt
 
 
-# --- the three-step scan on Spark ---------------------------------------------------------
+# --- the scan on Spark -----------------------------------------------------------------------
 
 
 def _scan(blocks: DataFrame, keys: Sequence[str], block: int, inputs: list[str], outputs: list[str],
-          summarize, step, apply) -> DataFrame:
-    """``summarize(inputs) -> array`` per full block, ``step(state or None, summary) -> state`` along a series,
-    ``apply(states, inputs) -> outputs``; states travel as flat double arrays."""
+          summarize, compose, step, apply, hull: bool = False) -> DataFrame:
+    """``summarize(inputs) -> arrays`` of full blocks, ``compose(first, second) -> summary``, ``step(state or None, summary) ->
+    state``, ``apply(states, inputs) -> outputs``; states travel as flat double arrays. With ``hull``, ``summarize`` also gets
+    the least and greatest value of each input over the whole series."""
     keys = list(keys)
 
     @F.pandas_udf(DOUBLES)
     def summary(*cols: pd.Series) -> pd.Series:
         return pd.Series(summarize(list(cols)))
 
+    full = blocks.filter(F.size(inputs[0]) == block)
+    edges = []
+    if hull:
+        edges = [f"_{side}{i}" for i in range(len(inputs)) for side in ("least", "most")]
+        of = {f"_least{i}": F.min(F.array_min(c)) for i, c in enumerate(inputs)} | {f"_most{i}": F.max(F.array_max(c)) for i, c in enumerate(inputs)}
+        full = _same_join(full, blocks.groupBy(*keys).agg(*[e.alias(n) for n, e in of.items()]), keys, "inner")
+    full = full.select(*keys, "block_ix", F.floor(F.col("block_ix") / GROUP).cast("bigint").alias("_group"),
+                       summary(*[F.col(c) for c in [*inputs, *edges]]).alias("_summary"))
     key_fields = [blocks.schema[k] for k in keys]
-    carry_schema = T.StructType([*key_fields, T.StructField("block_ix", T.LongType()), T.StructField("_state", DOUBLES)])
-
-    def carry(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # summaries arrive sorted by series and block; only the running state is held
-        current, state = None, None
-        for pdf in batches:
-            states = []
-            for key, item in zip(zip(*[pdf[k] for k in keys]), pdf["_summary"]):
-                if key != current:
-                    current, state = key, None
-                state = step(state, item)
-                states.append(state)
-            out = pdf[keys].copy()
-            out["block_ix"] = pdf["block_ix"] + 1
-            out["_state"] = pd.Series(states, index=pdf.index, dtype=object)
-            yield out
-
-    full = blocks.filter(F.size(inputs[0]) == block).select(
-        *keys, "block_ix", summary(*[F.col(c) for c in inputs]).alias("_summary")
-    )
-    states = full.repartition(*keys).sortWithinPartitions(*keys, "block_ix").mapInPandas(carry, carry_schema)
+
+    def schema(*rest):
+        return T.StructType([*key_fields, *rest])
+
+    group_field, state_field = T.StructField("_group", T.LongType()), T.StructField("_state", DOUBLES)
+    block_field, summary_field = T.StructField("block_ix", T.LongType()), T.StructField("_summary", DOUBLES)
+
+    def along(name: str, first, following, by: list[str], columns: list[str]):
+        """Rows in order: their summaries are turned into running values, which start anew with every value of ``by``."""
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            current, value = None, None
+            for pdf in batches:
+                values = []
+                for key, item in zip(zip(*[pdf[k].astype(object).where(pdf[k].notna(), None) for k in by]), pdf["_summary"]):
+                    value = following(value, item) if key == current else first(item)
+                    current = key
+                    values.append(value)
+                yield pdf[columns].assign(**{name: pd.Series(values, index=pdf.index, dtype=object)})
+        return run
+
+    prefixes = full.repartition(*keys, "_group").sortWithinPartitions(*keys, "_group", "block_ix").mapInPandas(
+        along("_summary", lambda item: item, compose, [*keys, "_group"], [*keys, "_group", "block_ix"]),
+        schema(group_field, block_field, summary_field))
+    groups = prefixes.filter(F.pmod("block_ix", F.lit(GROUP)) == GROUP - 1).select(*keys, "_group", "_summary").repartition(*keys)
+    groups = groups.sortWithinPartitions(*keys, "_group").mapInPandas(
+        along("_state", lambda item: step(None, item), step, keys, [*keys, "_group"]), schema(group_field, state_field))
+    states = _same_join(prefixes, groups.withColumn("_group", F.col("_group") + 1), [*keys, "_group"], "left").select(
+        *keys, (F.col("block_ix") + 1).alias("block_ix"), "_summary", "_state")
 
     @F.pandas_udf(T.StructType([T.StructField(o, DOUBLES) for o in outputs]))
-    def compute(state: pd.Series, *cols: pd.Series) -> pd.DataFrame:
-        return apply(state, list(cols))
+    def compute(state: pd.Series, before: pd.Series, *cols: pd.Series) -> pd.DataFrame:
+        given = [None if item is None else step(None if s is None else np.asarray(s, float), item) for s, item in zip(state, before)]
+        return apply(pd.Series(given, dtype=object), list(cols))
 
     return (
-        blocks.join(states, [*keys, "block_ix"], "left")
-        .withColumn("_y", compute(F.col("_state"), *[F.col(c) for c in inputs]))
+        _same_join(blocks, states, [*keys, "block_ix"], "left")
+        .withColumn("_y", compute(F.col("_state"), F.col("_summary"), *[F.col(c) for c in inputs]))
         .select(*blocks.columns, *[F.col(f"_y.{o}").alias(o) for o in outputs])
     )
 
@@ -189,19 +306,26 @@ def linear_scan(blocks: DataFrame, keys: Sequence[str], filters: dict[str, tuple
     inputs = sorted({c for c, _ in filters.values()})
     plan = [(inputs.index(filters[n][0]), filters[n][1]) for n in names]
     edges = np.cumsum([0] + [s.order for _, s in plan])
-    steps = [np.linalg.matrix_power(s.a, block) for _, s in plan]
+    over: dict[int, list[np.ndarray]] = {}
 
     def summarize(cols):
-        ends = np.zeros((len(cols[0]), edges[-1]))
+        ends = np.zeros((len(cols[0]), 1 + edges[-1]))
+        ends[:, 0] = 1.0  # blocks
         for k, (ci, sys) in enumerate(plan):
             for rows, x in _by_length(cols[ci]):
-                ends[rows, edges[k] : edges[k + 1]] = run_linear(sys, x, np.zeros((len(x), sys.order)))[1]
+                ends[rows, 1 + edges[k] : 1 + edges[k + 1]] = run_linear(sys, x, np.zeros((len(x), sys.order)))[1]
         return list(ends)
 
-    def step(state, end):
+    def step(state, item):
         if state is None:
-            return end
-        return np.concatenate([steps[k] @ state[edges[k] : edges[k + 1]] for k in range(len(plan))]) + end
+            return np.asarray(item[1:], float)
+        count = int(item[0])
+        if count not in over:
+            over[count] = [np.linalg.matrix_power(s.a, block * count) for _, s in plan]
+        return np.concatenate([m @ state[edges[k] : edges[k + 1]] for k, m in enumerate(over[count])]) + item[1:]
+
+    def compose(first, second):
+        return np.concatenate([[first[0] + second[0]], step(np.asarray(first[1:], float), second)])
 
     def apply(state, cols):
         start = np.stack([np.zeros(edges[-1]) if s is None else np.asarray(s, float) for s in state])
@@ -215,12 +339,15 @@ def linear_scan(blocks: DataFrame, keys: Sequence[str], filters: dict[str, tuple
             res[names[k]] = pd.Series(col, dtype=object)
         return pd.DataFrame(res)
 
-    return _scan(blocks, keys, block, inputs, names, summarize, step, apply)
+    return _scan(blocks, keys, block, inputs, names, summarize, compose, step, apply)
 
 
 def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, tuple[str, float, float]],
-                  low: float, high: float, start: float = 0.0, block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Add one followed column per ``output -> (target column, falling, rising)``; states stay in low..high."""
+                  start: float = 0.0, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Add one followed column per ``output -> (target column, falling, rising)``, from the state ``start``.
+
+    A state lies between the least and the greatest target of its series and the start, so maps are kept for that range only.
+    """
     names = list(followers)
     inputs = sorted({v[0] for v in followers.values()})
     plan = [(inputs.index(followers[n][0]), followers[n][1], followers[n][2]) for n in names]
@@ -228,21 +355,25 @@ def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, t
     def summarize(cols):
         out = []
         for i in range(len(cols[0])):
-            flat = []
+            maps = []
             for ci, falling, rising in plan:
-                at, image = follower_map(np.asarray(cols[ci].iat[i], float), low, high, falling, rising)
-                flat += [float(len(at)), *at, *image]
-            out.append(np.array(flat))
+                least, most = (float(cols[len(inputs) + 2 * ci + side].iat[i]) for side in (0, 1))
+                maps.append(follower_map(np.asarray(cols[ci].iat[i], float), falling, rising, min(least, start), max(most, start)).flat())
+            out.append(np.concatenate(maps))
         return out
 
+    def each(flat):
+        maps = []
+        while len(flat):
+            own, flat = Pieces.read(flat)
+            maps.append(own)
+        return maps
+
+    def compose(first, second):
+        return np.concatenate([b.after(a).within(a.x[0], a.x[-1]).flat() for a, b in zip(each(first), each(second))])
+
     def step(state, flat):
-        at, out = 0, []
-        for k in range(len(plan)):
-            n = int(flat[at])
-            g = start if state is None else state[k]
-            out.append(np.interp(g, flat[at + 1 : at + 1 + n], flat[at + 1 + n : at + 1 + 2 * n]))
-            at += 1 + 2 * n
-        return np.array(out)
+        return np.array([float(m(start if state is None else state[k])) for k, m in enumerate(each(flat))])
 
     def apply(state, cols):
         begin = np.stack([np.full(len(plan), start) if s is None else np.asarray(s, float) for s in state])
@@ -250,13 +381,13 @@ def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, t
         for k, (ci, falling, rising) in enumerate(plan):
             col = [None] * len(state)
             for rows, t in _by_length(cols[ci]):
-                y = run_follower(t, begin[rows, k], falling, rising)
+                y = follow(t, begin[rows, k], falling, rising)
                 for i, row in enumerate(rows):
                     col[row] = y[i]
             res[names[k]] = pd.Series(col, dtype=object)
         return pd.DataFrame(res)
 
-    return _scan(blocks, keys, block, inputs, names, summarize, step, apply)
+    return _scan(blocks, keys, block, inputs, names, summarize, compose, step, apply, hull=True)
 
 
 def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str, release: float,
@@ -269,6 +400,10 @@ def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str,
             res[rows] = np.stack(limiter_map(t, release), axis=1)
         return list(res)
 
+    def compose(first, second):
+        (c1, s1, i1), (c2, s2, i2) = first, second
+        return np.array([min(c2, s2 * c1 + i2), s2 * s1, s2 * i1 + i2])
+
     def step(state, item):
         cap, slope, icpt = item
         return np.array([min(cap, slope * (1.0 if state is None else state[0]) + icpt)])
@@ -282,7 +417,7 @@ def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str,
                 col[row] = y[i]
         return pd.DataFrame({out: pd.Series(col, dtype=object)})
 
-    return _scan(blocks, keys, block, [target], [out], summarize, step, apply)
+    return _scan(blocks, keys, block, [target], [out], summarize, compose, step, apply)
 
 
 def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str, skip: int,
@@ -315,6 +450,9 @@ def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str,
             out_rows.append(np.array(table))
         return out_rows
 
+    def compose(first, second):
+        return np.asarray(second)[np.asarray(first).astype(int)]
+
     def step(state, table):
         return np.array([table[0 if state is None else int(state[0])]])
 
@@ -327,4 +465,4 @@ def refractory_scan(blocks: DataFrame, keys: Sequence[str], flag: str, out: str,
             col.append(y)
         return pd.DataFrame({out: pd.Series(col, dtype=object)})
 
-    return _scan(blocks, keys, block, [flag], [out], summarize, step, apply)
+    return _scan(blocks, keys, block, [flag], [out], summarize, compose, step, apply)

@@ -67,11 +67,63 @@ def test_filter_cascade_matches_the_sequential_loop(spark, block):
 def test_followers_are_exact_across_blocks(spark, block):
     t = np.abs(noise())
     b = sc.to_blocks(frames(spark, t), K, "frame_ix", ["l"], block)
-    f = sc.follower_scan(b, K, {"y": ("l", 0.99, 0.6), "z": ("l", 0.5, 0.97)}, 0.0, 8.0, 0.0, block)
+    f = sc.follower_scan(b, K, {"y": ("l", 0.99, 0.6), "z": ("l", 0.5, 0.97)}, 0.0, block)
     y, z = values(sc.from_blocks(f, K, "frame_ix", ["y", "z"], block), "frame_ix", "y", "z")
     assert np.allclose(y, follow(t, 0.99, 0.6), atol=1e-12) and np.allclose(z, follow(t, 0.5, 0.97), atol=1e-12)
 
 
+@pytest.mark.parametrize("block", [16, 64, 200])
+def test_followers_know_no_bounds(spark, block):
+    """Targets and starts of any size, states that fall for several blocks."""
+    t = np.concatenate([np.full(150, 1.0), [3e4], np.full(300, -700.0), noise(77) * 1e-3])
+    b = sc.to_blocks(frames(spark, t), K, "frame_ix", ["l"], block)
+    for start in (20.0, -1e5):
+        f = sc.follower_scan(b, K, {"y": ("l", 0.98, 0.9), "z": ("l", 0.999, 0.999)}, start, block)
+        y, z = values(sc.from_blocks(f, K, "frame_ix", ["y", "z"], block), "frame_ix", "y", "z")
+        assert np.allclose(y, follow(t, 0.98, 0.9, start), rtol=1e-10) and np.allclose(z, follow(t, 0.999, 0.999, start), rtol=1e-10)
+    assert abs(follow(np.zeros(1), 0.938, 0.9, 20.0)[0] - 18.76) < 1e-12
+
+
+@pytest.mark.parametrize("group", [1, 3, 256])
+def test_states_are_carried_in_two_levels(spark, monkeypatch, group):
+    """Many groups of blocks, a last group that is full, partial or only begun, several series, one of them without a key."""
+    monkeypatch.setattr(sc, "GROUP", group)
+    block = 16
+    series = {"a": noise(block * 9), "b": noise(block * 7 + 5), "c": noise(block * 3), "d": noise(7), None: noise(block * 6 + 1)}
+    rows = None
+    for k, (name, x) in enumerate(series.items()):
+        own = frames(spark, x, x + 0.1, "x").withColumn("track_id", F.lit(name).cast("string"))
+        rows = own if rows is None else rows.unionByName(own)
+    b = sc.to_blocks(rows, K, "frame_ix", ["l", "r"], block)
+    sys = fl.series(fl.design("peak", 90, 1000, 4.0, 1.1), fl.one_pole(0.01))
+    out = sc.linear_scan(b, K, {"u": ("l", sys)}, block)
+    out = sc.follower_scan(out, K, {"v": ("r", 0.99, 0.6)}, -3.0, block)
+    out = sc.limiter_scan(out, K, "l", "w", 0.97, block)
+    out = sc.from_blocks(out, K, "frame_ix", ["u", "v", "w"], block)
+    for name, x in series.items():
+        own = out.where(F.col("track_id").eqNullSafe(F.lit(name)))
+        u, v, w = values(own, "frame_ix", "u", "v", "w")
+        g, want = 1.0, []
+        for t in x:
+            g = min(t, 0.97 * g + 0.03 * t)
+            want.append(g)
+        assert np.allclose(u, sequential(sys, x), atol=1e-9) and np.allclose(v, follow(x + 0.1, 0.99, 0.6, -3.0), atol=1e-12)
+        assert np.allclose(w, want, atol=1e-12)
+
+
+def test_maps_compose():
+    r = np.random.default_rng(4)
+    for kind in range(60):
+        t = [np.abs(r.normal(0, 1, 150)), np.zeros(150), np.repeat(r.normal(0, 3, 50), 3), np.sin(np.arange(150) / 7) * 100 - 50][kind % 4]
+        falling, rising = r.choice([0, 0.001, 0.5, 0.9, 0.999, 0.99999], 2)
+        a, b = sc.follower_map(t[:70], falling, rising), sc.follower_map(t[70:], falling, rising)
+        for g in (0.0, 20.0, -5.0, 1e6, -1e6, t[0], t.max()):
+            want = follow(t, falling, rising, g)
+            for m in (b.after(a), sc.Pieces.read(b.after(a).flat())[0], b.after(a).within(-2e6, 2e6)):
+                assert abs(float(m(g)) - want[-1]) <= 1e-9 * max(1, abs(g))
+            assert np.allclose(sc.follow(t[None], np.array([g]), falling, rising)[0], want, rtol=1e-10, atol=1e-10)
+
+
 @pytest.mark.parametrize("block", [8, 64, 512])
 def test_limiter_is_exact_and_holds_the_ceiling(spark, block):
     l, r = noise() * 2, noise(seed=1) * 2
