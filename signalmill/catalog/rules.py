@@ -482,13 +482,14 @@ _TONE_A = """concat_ws('|', CASE WHEN max_abs_dc > 0.003 THEN 'high_pass@18.0:0.
   CASE WHEN upper_mid > 0.23 THEN 'peak@3500.0:-0.800:0.900' END,
   CASE WHEN high > 0.13 AND centroid_hz > 3200 THEN 'high_shelf@8500.0:-0.600:0.707' WHEN high < 0.045 AND centroid_hz < 2200 THEN 'high_shelf@9000.0:0.450:0.707' END)"""
 _TONE_B = "concat_ws('|', CASE WHEN lw > 0.52 THEN 'low_shelf@100.0:-0.550:0.707' END, CASE WHEN upper_mid > 0.26 THEN 'peak@3600.0:-0.400:0.800' END)"
-PLAN = f"""{REPORT},
-p0 AS (SELECT *, sub + bass AS lw, least(greatest(crest_db, 2), 24) AS cr, least(greatest(plr_db, 2), 24) AS pr, integrated_lufs AS nw FROM m),
+PLANNED = f"""p0 AS (SELECT *, sub + bass AS lw, least(greatest(crest_db, 2), 24) AS cr, least(greatest(plr_db, 2), 24) AS pr, integrated_lufs AS nw FROM m),
 p1 AS (SELECT *, least(greatest(CASE WHEN nw >= -9 THEN nw WHEN cr <= 7 OR pr <= 7 THEN -10.8 WHEN cr >= 12 AND pr >= 10 THEN -9.2 ELSE -10 END, -12), -8.5) AS ta FROM p0),
 p2 AS (SELECT *, least(greatest(CASE WHEN nw >= -10.5 THEN nw ELSE ta - 1.5 END, -13), -9.5) AS tb FROM p1),
 p3 AS (SELECT *, least(greatest((ta - nw) * 0.68 - 0.6, -3), 6) - CASE WHEN true_peak_dbtp > 0 THEN least(true_peak_dbtp, 2) ELSE 0 END AS ga,
   least(greatest((tb - nw) * 0.48 - 0.25, -2), 3.5) - CASE WHEN true_peak_dbtp > 0 THEN least(true_peak_dbtp, 1.5) ELSE 0 END AS gb,
-  {_TONE_A} AS tone_a, {_TONE_B} AS tone_b FROM p2),
+  {_TONE_A} AS tone_a, {_TONE_B} AS tone_b FROM p2)"""
+PLAN = f"""{REPORT},
+{PLANNED},
 nd AS (""" + "\nUNION ALL ".join(
     [f"SELECT track_id, 'a' AS variant, ta AS target, {0 if i == 0 else i + 1} AS ix, '{n} ' || {p} || ' ' AS node FROM p3 WHERE {c}" for i, (n, c, p) in enumerate(_NODES_A)]
     + [f"SELECT track_id, 'b', tb, {0 if i == 0 else i + 1}, '{n} ' || {p} || ' ' FROM p3 WHERE {c}" for i, (n, c, p) in enumerate(_NODES_B)]

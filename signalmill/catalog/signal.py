@@ -17,6 +17,7 @@ from ..operators import spectrum as sp
 from ..operators import stereo as st
 from ..session import cut_lineage
 from ..sources.adapters import sig_embed, sig_embed_mono, sig_line
+from . import loops as lp
 from . import query
 from .common import EMBED_MONO, LONG_LINE, SIG_LINE, rd
 from .measure import BLOCK, RATE, rounded
@@ -189,11 +190,36 @@ def unblocked(b):
     return rounded(sc.from_blocks(b, ["track_id"], "frame_ix", ["l", "r"], BLOCK))
 
 
-@query("e6_biquad")
+MATERIALIZED_LINE = SIG_LINE.replace("sig_line AS (", "sig_line AS MATERIALIZED (")
+
+
+def stepwise(loop: lp.Loop, l: str, r: str) -> str:
+    """SQL that takes ``sig_line`` through a loop and returns two of its steps as channels."""
+    return (f"WITH RECURSIVE {MATERIALIZED_LINE},\n{loop.sql('sig_line', 'track_id, frame_ix, l, r', [l, r])}\n"
+            f"SELECT track_id, frame_ix, {rd(l)} AS l, {rd(r)} AS r FROM st")
+
+
+def keep(ms: float) -> str:
+    return repr(fl.time_keep(ms, RATE)) + "::DOUBLE"
+
+
+EQ_BANDS = [dict(shape="high_pass", frequency_hz=2.0), dict(shape="peak", frequency_hz=12.0, gain_db=3.0, q=0.9),
+            dict(shape="high_shelf", frequency_hz=30.0, gain_db=-2.0)]
+
+
+def _e6_sql() -> str:
+    loop, ends = lp.Loop(), []
+    for c in "lr":
+        x = c
+        for i, b in enumerate(EQ_BANDS):
+            x = loop.section(f"{c}{i}", x, lp.coefficients(fl.design(b["shape"], b["frequency_hz"], RATE, b.get("gain_db", 0.0), b.get("q", 0.707))))
+        ends.append(x)
+    return stepwise(loop, *ends)
+
+
+@query("e6_biquad", _e6_sql())
 def e6(spark, sf):
-    bands = [dict(shape="high_pass", frequency_hz=2.0), dict(shape="peak", frequency_hz=12.0, gain_db=3.0, q=0.9),
-             dict(shape="high_shelf", frequency_hz=30.0, gain_db=-2.0)]
-    return unblocked(dy.apply_eq(line_blocks(spark, sf), bands, RATE, BLOCK))
+    return unblocked(dy.apply_eq(line_blocks(spark, sf), EQ_BANDS, RATE, BLOCK))
 
 
 def follower_sql(target: str, falling: float, rising: float, name: str, last: str = "0.0::DOUBLE") -> str:
@@ -210,9 +236,6 @@ def stepped(steps: dict[str, tuple[str, float, float]]) -> str:
   UNION ALL SELECT s.track_id, s.frame_ix, s.l, s.r, {after} FROM st JOIN sig_line s ON s.track_id = st.track_id AND s.frame_ix = st.frame_ix + 1)"""
 
 
-MATERIALIZED_LINE = SIG_LINE.replace("sig_line AS (", "sig_line AS MATERIALIZED (")
-
-
 @query("e7_envelope_follow", f"""WITH RECURSIVE {MATERIALIZED_LINE},
 {stepped({'y': ('greatest(abs(s.l), abs(s.r))', 0.98, 0.7)})}
 SELECT track_id, frame_ix, {rd('y')} AS y FROM st""")
@@ -222,17 +245,43 @@ def e7(spark, sf):
     return rounded(sc.from_blocks(f, ["track_id"], "frame_ix", ["y"], BLOCK))
 
 
-@query("k1_compress")
+def _k1_sql() -> str:
+    loop = lp.Loop()
+    g = loop.follow("g", lp.knee(lp.level_db("l", "r"), "-12", "3.0", 6.0), keep(30.0), keep(200.0))
+    k = loop.set("k", f"{lp.linear(g)} * {lp.linear('1')}")
+    return stepwise(loop, *[loop.set(f"{c}1", f"{c} + ({c} * {k} - {c}) * 0.8") for c in "lr"])
+
+
+@query("k1_compress", _k1_sql())
 def k1(spark, sf):
     return unblocked(dy.compress(line_blocks(spark, sf), RATE, -12.0, 3.0, 30.0, 200.0, 6.0, 1.0, 0.8, BLOCK))
 
 
-@query("k2_dynamic_eq")
+def _k2_sql() -> str:
+    loop, det = lp.Loop(), lp.coefficients(fl.design("band_pass", 10.0, RATE, q=1.0))
+    a, b = (loop.section(f"d{c}", c, det) for c in "lr")
+    g = loop.follow("g", f"greatest({lp.knee(lp.level_db(a, b), '-22', '2.0', 3.0)}, -3)", keep(15.0), keep(140.0))
+    return stepwise(loop, *[loop.set(f"{c}1", f"{c} + {d} * ({lp.linear(g)} - 1)") for c, d in (("l", a), ("r", b))])
+
+
+@query("k2_dynamic_eq", _k2_sql())
 def k2(spark, sf):
     return unblocked(dy.dynamic_eq(line_blocks(spark, sf), RATE, 10.0, 1.0, -22.0, 2.0, 15.0, 140.0, 3.0, BLOCK))
 
 
-@query("k3_multiband")
+def _k3_sql() -> str:
+    loop = lp.Loop()
+    lo, hi = (lp.coefficients(fl.design(shape, hz, RATE, q=0.70710678)) for shape, hz in (("low_pass", 5.0), ("high_pass", 20.0)))
+    band = {}
+    for c in "lr":
+        band["lo", c], band["hi", c] = (loop.section(f"{n}{c}2", loop.section(f"{n}{c}1", c, k), k) for n, k in (("lo", lo), ("hi", hi)))
+        band["mi", c] = loop.set(f"mi{c}", f"{c} - {band['lo', c]} - {band['hi', c]}")
+    gains = {n: loop.follow(f"g{n}", lp.knee(lp.level_db(band[n, "l"], band[n, "r"]), t, r, 4.0), keep(25.0), keep(160.0))
+             for n, t, r in (("lo", "-18", "1.4"), ("mi", "-16", "1.3"), ("hi", "-18", "1.4"))}
+    return stepwise(loop, *[loop.set(f"{c}9", " + ".join(f"{band[n, c]} * {lp.linear(g)}" for n, g in gains.items())) for c in "lr"])
+
+
+@query("k3_multiband", _k3_sql())
 def k3(spark, sf):
     return unblocked(dy.multiband(line_blocks(spark, sf), RATE, 5.0, 20.0, block=BLOCK))
 
@@ -260,7 +309,12 @@ def k5(spark, sf):
     return unblocked(dy.stereo_bass_mono(line_blocks(spark, sf), RATE, 1.2, 10.0, BLOCK))
 
 
-@query("k6_limit")
+def _k6_sql() -> str:
+    loop = lp.Loop()
+    return stepwise(loop, *lp.limited(loop, "l", "r", lp.linear("-4"), keep(150.0)))
+
+
+@query("k6_limit", _k6_sql())
 def k6(spark, sf):
     return unblocked(dy.limit(line_blocks(spark, sf), RATE, -4.0, 150.0, BLOCK))
 
@@ -304,7 +358,29 @@ def k8(spark, sf):
     return rounded(sc.from_blocks(b, ["track_id"], "frame_ix", ["l", "r"], BLOCK), digits=5)
 
 
-@query("k9_guided_apply")
+def _k9_sql() -> str:
+    from .pairing import ENVELOPE_CTE
+
+    loop = lp.Loop()
+    det = lp.coefficients(fl.design("band_pass", 10.0, RATE, q=2.0**0.5))
+    ridden = [loop.set(f"{c}1", f"{c} * {lp.linear('greatest(-2 * a, -1.5)')}") for c in "lr"]
+    cut = [loop.set(f"{c}2", f"{x} + {loop.section(f'd{c}', x, det)} * ({lp.linear('greatest(-4 * a, -2.5)')} - 1)") for c, x in zip("lr", ridden)]
+    peak = loop.set("p", f"greatest(abs({cut[0]}), abs({cut[1]}))")
+    fast, slow = loop.follow("f", peak, keep(15.0), keep(0.5)), loop.follow("s", peak, keep(120.0), keep(12.0))
+    g = loop.set("g", f"1 - least(0.5 * a, 0.35) * least(greatest(({fast} - {slow}) / greatest({fast}, 1e-12), 0), 1)")
+    mid, side = (loop.set(n, f"({cut[0]} {sign} {cut[1]}) * {g} / 2") for n, sign in (("m", "+"), ("d", "-")))
+    narrow = f"(1 - least(greatest(0.5 * a, 0), 0.3)) * {side}"
+    l, r = loop.set("l9", f"{mid} + {narrow}"), loop.set("r9", f"{mid} - {narrow}")
+    line = ENVELOPE_CTE.replace("sig_line AS (", "sig_line AS MATERIALIZED (")
+    return f"""WITH RECURSIVE {line},
+nx AS (SELECT *, coalesce(lead(activity) OVER (PARTITION BY track_id ORDER BY hop_ix), activity) AS nxt FROM env),
+src AS MATERIALIZED (SELECT s.track_id, s.frame_ix, s.l, s.r, activity + (nxt - activity) * (s.frame_ix % 16) / 16.0 AS a
+  FROM sig_line s JOIN nx ON nx.track_id = s.track_id AND nx.hop_ix = s.frame_ix // 16),
+{loop.sql('src', 'track_id, frame_ix, l, r, a', [l, r])}
+SELECT track_id, frame_ix, {rd(l)} AS l, {rd(r)} AS r FROM st"""
+
+
+@query("k9_guided_apply", _k9_sql())
 def k9(spark, sf):
     """Amounts from the activity envelope of each series, as a control track would give them."""
     from ..operators import pairing as pa
@@ -328,11 +404,126 @@ PLAN = [
 ]
 
 
-@query("k10_run_graph")
+def _k10_sql() -> str:
+    loop = lp.Loop()
+    shelf = lp.coefficients(fl.design("low_shelf", 5.0, RATE, 1.5, 0.707))
+    x, y = (loop.section(f"e{c}", loop.set(f"{c}1", f"{c} * {lp.linear('1.5')}"), shelf) for c in "lr")
+    g = loop.follow("g", lp.knee(lp.level_db(x, y), "-12", "2.0", 6.0), keep(30.0), keep(200.0))
+    clipped = [lp.soft_clip(loop.set(f"c{n}", f"{v} * {lp.linear(g)}"), loop.set(f"top{n}", lp.linear("-1")), "0.25") for n, v in enumerate((x, y))]
+    x, y = (loop.set(f"k{n}", v) for n, v in enumerate(clipped))
+    return stepwise(loop, *lp.limited(loop, x, y, lp.linear("-1"), keep(150.0)))
+
+
+@query("k10_run_graph", _k10_sql())
 def k10(spark, sf):
     return unblocked(dy.run_graph(line_blocks(spark, sf), PLAN, RATE, BLOCK))
 
 
+#: each series' own plan: the planner's, from the measurements of the order with the number of the series; even series take
+#: the preserving variant
+PLANNED_RATE = 8000.0
+
+
+def _plan_keep(ms: str) -> str:
+    return f"exp(-1.0 / (0.001 * ({ms}) * {PLANNED_RATE}))"
+
+
+def _k10_planned_sql() -> str:
+    """All nodes of both variants in a row; those that a series' plan does not have pass its frames on."""
+    from .rules import REPORT
+
+    loop = lp.Loop()
+    x, y = "l", "r"
+
+    def both(name: str, on: str, fn):
+        nonlocal x, y
+        made = fn(x, y)
+        x, y = (loop.set(f"{name}_{c}", f"CASE WHEN {on} THEN {v} ELSE {old} END") for c, v, old in zip("lr", made, (x, y)))
+
+    def bands(name: str, choices: list[tuple[str, tuple]]):
+        """One band of the equaliser, by the first condition that holds."""
+        nonlocal x, y
+        designs = [(on, lp.coefficients(fl.design(shape, hz, PLANNED_RATE, gain, q))) for on, (shape, hz, gain, q) in choices]
+        rest = ("1.0", "0.0", "0.0", "0.0", "0.0")
+        chosen = tuple("CASE " + " ".join(f"WHEN {on} THEN {c[i]}" for on, c in designs) + f" ELSE {rest[i]} END" for i in range(5))
+        x, y = (loop.section(f"{name}_{c}", v, chosen) for c, v in (("l", x), ("r", y)))
+
+    def dynamic(name: str, on: str, hz, q, threshold, ratio, attack, release, most: str):
+        det = lp.coefficients(fl.design("band_pass", hz, PLANNED_RATE, q=q))
+        a, b = (loop.section(f"{name}d{c}", v, det) for c, v in (("l", x), ("r", y)))
+        g = loop.follow(f"{name}g", f"greatest({lp.knee(lp.level_db(a, b), str(threshold), str(ratio), 3.0)}, -({most}))", _plan_keep(str(attack)), _plan_keep(str(release)))
+        both(name, on, lambda p, q_: [f"{v} + {d} * ({lp.linear(g)} - 1)" for v, d in ((p, a), (q_, b))])
+
+    def stereo(name: str, on: str, width: str, hz: str):
+        side = loop.set(f"{name}_s", f"({x} - {y}) / 2")
+        alpha = loop.set(f"{name}_a", f"1 - exp(-2 * pi() * ({hz}) / {PLANNED_RATE})")
+        low = loop.set(f"{name}_p", f"{alpha} * {side} + (1 - {alpha}) * p_{name}_p", 0.0)
+        wide = loop.set(f"{name}_w", f"({side} - {low}) * ({width}) + {low} * 0.08")
+        both(name, on, lambda p, q: [f"({p} + {q}) / 2 + {wide}", f"({p} + {q}) / 2 - {wide}"])
+
+    def warm(name: str, on: str, drive: float, mix: float):
+        k = repr(10 ** (drive / 20))
+        both(name, on, lambda p, q: [f"{v} * {1 - mix!r} + tanh({v} * {k}) / tanh({k}) * {mix!r}" for v in (p, q)])
+
+    both("pre", "true", lambda p, q: [f"{v} * {lp.linear('CASE WHEN va THEN ga ELSE gb END')}" for v in (p, q)])
+    bands("b1", [("va AND max_abs_dc > 0.003", ("high_pass", 18, 0.0, 0.707))])
+    bands("b2", [("va AND lw > 0.48", ("low_shelf", 105, -1.2, 0.707)), ("va AND lw < 0.2", ("low_shelf", 95, 0.6, 0.707)),
+                 ("NOT va AND lw > 0.52", ("low_shelf", 100, -0.55, 0.707))])
+    bands("b3", [("va AND upper_mid > 0.23", ("peak", 3500, -0.8, 0.9)), ("NOT va AND upper_mid > 0.26", ("peak", 3600, -0.4, 0.8))])
+    bands("b4", [("va AND high > 0.13 AND centroid_hz > 3200", ("high_shelf", 8500, -0.6, 0.707)),
+                 ("va AND high < 0.045 AND centroid_hz < 2200", ("high_shelf", 9000, 0.45, 0.707))])
+    dynamic("dl", "va AND lw > 0.42", 70, 1.0, -20, 2.0, 18, 150, "CASE WHEN lw > 0.55 THEN 3.0 ELSE 2.0 END")
+    dynamic("du", "va AND upper_mid > 0.2", 3800, 1.2, -24, 1.8, 8, 90, "1.8")
+    curve = lp.level_db(x, y)
+    first, second = (lp.knee(curve, t, r, k) for t, r, k in (("-17", "CASE WHEN cr < 8 THEN 1.25 ELSE 1.55 END", 6.0), ("-14", "1.22", 8.0)))
+    glue = loop.follow("glue", f"CASE WHEN va THEN {first} ELSE {second} END", _plan_keep("CASE WHEN NOT va THEN 40.0 WHEN cr < 8 THEN 35.0 ELSE 24.0 END"),
+                       _plan_keep("CASE WHEN va THEN 120.0 ELSE 180.0 END"))
+    mix = "CASE WHEN NOT va THEN 0.42 WHEN cr < 8 THEN 0.45 ELSE 0.7 END"
+    both("comp", "true", lambda p, q: [f"{v} + ({v} * {lp.linear(glue)} - {v}) * ({mix})" for v in (p, q)])
+    lo, hi = (lp.coefficients(fl.design(shape, hz, PLANNED_RATE, q=0.70710678)) for shape, hz in (("low_pass", 125), ("high_pass", 5200)))
+    part = {}
+    for c, v in (("l", x), ("r", y)):
+        part["lo", c], part["hi", c] = (loop.section(f"m{n}{c}2", loop.section(f"m{n}{c}1", v, k), k) for n, k in (("lo", lo), ("hi", hi)))
+        part["mi", c] = loop.set(f"mmi{c}", f"{v} - {part['lo', c]} - {part['hi', c]}")
+    gains = {n: loop.follow(f"mg{n}", lp.knee(lp.level_db(part[n, "l"], part[n, "r"]), t, r, 4.0), _plan_keep("28"), _plan_keep("170"))
+             for n, t, r in (("lo", "-19", "1.45"), ("mi", "-16", "1.2"), ("hi", "-18", "1.3"))}
+    both("multi", "va AND (short_term_variation > 5 OR lw > 0.52)",
+         lambda p, q: [" + ".join(f"{part[n, c]} * {lp.linear(g)}" for n, g in gains.items()) for c in "lr"])
+    peak = loop.set("tpk", f"greatest(abs({x}), abs({y}))")
+    ends = [loop.set(n, f"(1 - {_plan_keep(ms)}) * {peak} + {_plan_keep(ms)} * p_{n}", 0.0) for n, ms in (("tf", "3"), ("ts", "32"))]
+    shape = loop.set("tsh", f"least(greatest(({ends[0]} - {ends[1]}) / greatest({ends[1]}, 1e-6), -1), 1)")
+    tg = loop.set("tg", f"1 + ({lp.linear(f'CASE WHEN {shape} >= 0 THEN 1.25 * {shape} ELSE 0.15 * {shape} END')} - 1) * 0.75")
+    both("tr", "va AND cr < 9", lambda p, q: [f"{v} * {tg}" for v in (p, q)])
+    warm("sata", "va AND clipped_samples = 0 AND true_peak_dbtp < 0.5", 2.0, 0.10)
+    stereo("sta", "va AND channels = 2", "CASE WHEN correlation < 0.2 THEN 0.95 WHEN correlation > 0.75 AND mid_width < 0.35 THEN 1.08 ELSE 1.0 END",
+           "CASE WHEN low_width > 0.15 THEN 115.0 ELSE 85.0 END")
+    stereo("stb", "NOT va AND channels = 2 AND low_width > 0.22", "1.0", "100.0")
+    warm("satb", "NOT va AND clipped_samples = 0 AND cr > 8", 1.0, 0.04)
+    top, soft = loop.set("ctop", f"CASE WHEN ta > -10.2 THEN {lp.linear('-1.7')} ELSE {lp.linear('-1.25')} END"), "CASE WHEN ta > -10.2 THEN 0.32 ELSE 0.2 END"
+    both("clip", "va", lambda p, q: [lp.soft_clip(v, top, soft) for v in (p, q)])
+    l, r = lp.limited(loop, x, y, lp.linear("-1"), _plan_keep("CASE WHEN va THEN 85.0 ELSE 120.0 END"))
+    used = ("va, ga, gb, ta, lw, cr, max_abs_dc, upper_mid, high, centroid_hz, short_term_variation, clipped_samples, true_peak_dbtp, channels, "
+            "correlation, mid_width, low_width")
+    from .rules import PLANNED
+
+    return f"""WITH RECURSIVE {MATERIALIZED_LINE},{REPORT},
+{PLANNED},
+src AS MATERIALIZED (SELECT s.frame_ix, s.l, s.r, p.*, s.track_id % 2 = 1 AS va FROM sig_line s JOIN p3 p ON p.track_id = s.track_id),
+{loop.sql('src', f'track_id, frame_ix, l, r, {used}', [l, r])}
+SELECT track_id, frame_ix, {rd(l)} AS l, {rd(r)} AS r FROM st"""
+
+
+@query("k10_planned_graph", _k10_planned_sql())
+def k10_planned(spark, sf):
+    """Every series through the nodes that the planner chose for it."""
+    from ..operators.planned import run_plans
+    from .rules import plans
+
+    p = plans(spark, sf).where(F.col("variant") == F.when(F.col("track_id") % 2 == 1, "a").otherwise("b")).select("track_id", "nodes")
+    b = line_blocks(spark, sf)
+    return unblocked(run_plans(b.join(p.select("track_id"), "track_id", "left_semi"), p, PLANNED_RATE, BLOCK))
+
+
 _LP = fl.rc_alpha(3.0, RATE)
 
 

@@ -8,15 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def biquad_coefficients(shape: str, frequency_hz: str, gain_db: str, q: str, rate: float) -> Column:
+def biquad_coefficients(shape, frequency_hz, gain_db, q, rate: float) -> Column:
     """Struct ``b0,b1,b2,a1,a2`` normalised by a0; frequency and q are brought into range first."""
-    hz = F.least(F.greatest(F.col(frequency_hz).cast("double"), F.lit(10.0)), F.lit(rate * 0.49))
+    col = lambda c: F.col(c) if isinstance(c, str) else c
+    hz = F.least(F.greatest(col(frequency_hz).cast("double"), F.lit(10.0)), F.lit(rate * 0.49))
     w = hz * (2.0 * math.pi / rate)
     c, s = F.cos(w), F.sin(w)
-    al = s / (2.0 * F.least(F.greatest(F.col(q).cast("double"), F.lit(0.1)), F.lit(12.0)))
-    a = F.pow(F.lit(10.0), F.col(gain_db).cast("double") / 40.0)
+    al = s / (2.0 * F.least(F.greatest(col(q).cast("double"), F.lit(0.1)), F.lit(12.0)))
+    a = F.pow(F.lit(10.0), col(gain_db).cast("double") / 40.0)
     root = 2.0 * F.sqrt(a) * s * (math.sqrt(2.0) / 2.0)
-    kind = F.col(shape)
+    kind = col(shape)
 
     def shelf(m: float):
         up, down = a + 1, a - 1

@@ -19,7 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -239,10 +239,10 @@ def limiter_map(t: np.ndarray, release: float):
 
 
 def _scan(blocks: DataFrame, keys: Sequence[str], block: int, inputs: list[str], outputs: list[str],
-          summarize, compose, step, apply, hull: bool = False) -> DataFrame:
+          summarize, compose, step, apply, hull: Sequence[Column] = (), out_type: T.DataType = DOUBLES) -> DataFrame:
     """``summarize(inputs) -> arrays`` of full blocks, ``compose(first, second) -> summary``, ``step(state or None, summary) ->
-    state``, ``apply(states, inputs) -> outputs``; states travel as flat double arrays. With ``hull``, ``summarize`` also gets
-    the least and greatest value of each input over the whole series."""
+    state``, ``apply(states, inputs) -> outputs``; states travel as flat double arrays. ``summarize`` also gets the least and
+    greatest value over the whole series of each array in ``hull``. The first input tells the length of a block."""
     keys = list(keys)
 
     @F.pandas_udf(DOUBLES)
@@ -250,11 +250,10 @@ def _scan(blocks: DataFrame, keys: Sequence[str], block: int, inputs: list[str],
         return pd.Series(summarize(list(cols)))
 
     full = blocks.filter(F.size(inputs[0]) == block)
-    edges = []
+    edges = [f"_{side}{i}" for i in range(len(hull)) for side in ("least", "most")]
     if hull:
-        edges = [f"_{side}{i}" for i in range(len(inputs)) for side in ("least", "most")]
-        of = {f"_least{i}": F.min(F.array_min(c)) for i, c in enumerate(inputs)} | {f"_most{i}": F.max(F.array_max(c)) for i, c in enumerate(inputs)}
-        full = _same_join(full, blocks.groupBy(*keys).agg(*[e.alias(n) for n, e in of.items()]), keys, "inner")
+        of = [f(g(c)) for c in hull for f, g in ((F.min, F.array_min), (F.max, F.array_max))]
+        full = _same_join(full, blocks.groupBy(*keys).agg(*[e.alias(n) for n, e in zip(edges, of)]), keys, "inner")
     full = full.select(*keys, "block_ix", F.floor(F.col("block_ix") / GROUP).cast("bigint").alias("_group"),
                        summary(*[F.col(c) for c in [*inputs, *edges]]).alias("_summary"))
     key_fields = [blocks.schema[k] for k in keys]
@@ -287,7 +286,7 @@ def _scan(blocks: DataFrame, keys: Sequence[str], block: int, inputs: list[str],
     states = _same_join(prefixes, groups.withColumn("_group", F.col("_group") + 1), [*keys, "_group"], "left").select(
         *keys, (F.col("block_ix") + 1).alias("block_ix"), "_summary", "_state")
 
-    @F.pandas_udf(T.StructType([T.StructField(o, DOUBLES) for o in outputs]))
+    @F.pandas_udf(T.StructType([T.StructField(o, out_type) for o in outputs]))
     def compute(state: pd.Series, before: pd.Series, *cols: pd.Series) -> pd.DataFrame:
         given = [None if item is None else step(None if s is None else np.asarray(s, float), item) for s, item in zip(state, before)]
         return apply(pd.Series(given, dtype=object), list(cols))
@@ -387,7 +386,7 @@ def follower_scan(blocks: DataFrame, keys: Sequence[str], followers: dict[str, t
             res[names[k]] = pd.Series(col, dtype=object)
         return pd.DataFrame(res)
 
-    return _scan(blocks, keys, block, inputs, names, summarize, compose, step, apply, hull=True)
+    return _scan(blocks, keys, block, inputs, names, summarize, compose, step, apply, [F.col(c) for c in inputs])
 
 
 def limiter_scan(blocks: DataFrame, keys: Sequence[str], target: str, out: str, release: float,
