@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import filters as fl
-from ..functions.coefficients import biquad_coefficients
 from ..functions.levels import amplitude_db_clamped, clamp, clip_soft, knee_gain_db, lit, saturate, to_linear
 from ..plans import graph as g
 from ..session import cut_lineage
@@ -31,6 +30,7 @@ LINEAR = {"eq", "dynamic_eq", "multiband", "transient", "stereo"}
 FOLLOWING = {"compressor", "dynamic_eq", "multiband", "limiter"}
 #: signals a filter can take: both channels, their peak, their half difference
 SIGNALS = [lambda l, r: l, lambda l, r: r, lambda l, r: np.maximum(np.abs(l), np.abs(r)), lambda l, r: (l - r) * 0.5]
+SHAPES = ["one_pole", "peak", "low_pass", "high_pass", "low_shelf", "high_shelf", "band_pass"]
 #: fixed values: what a node does where its parameters say nothing
 DEFAULTS = {
     "gain": dict(gain_db=0.0),
@@ -50,11 +50,13 @@ DEFAULTS = {
 
 
 def _systems(program) -> list[tuple[int, fl.System]]:
-    """Filters of a program: each is a signal's number, then five coefficients for every section."""
+    """Filters of a program: each is a signal's number, then ``shape, rate, frequency, gain, q`` of every section; a one-pole
+    (shape 0) has its step in place of the frequency."""
     out = []
     for flat in program:
         flat = np.asarray(flat, float)
-        sections = [fl.biquad(b0, b1, b2, 1.0, a1, a2) for b0, b1, b2, a1, a2 in flat[1:].reshape(-1, 5)]
+        sections = [fl.design(SHAPES[int(shape)], hz, rate, gain, q) if shape else fl.one_pole(hz)
+                    for shape, rate, hz, gain, q in flat[1:].reshape(-1, 5)]
         out.append((int(flat[0]), fl.series(*sections)))
     return out
 
@@ -230,15 +232,18 @@ def planned_followers(blocks: DataFrame, targets: str, speeds: str, out: str, bl
 # --- plans as columns -------------------------------------------------------------------------------
 
 
-def _section(shape: str, hz: Column, rate: float, q) -> Column:
-    """Five coefficients of one section without gain, as an array."""
-    c = biquad_coefficients(F.lit(shape), hz, F.lit(0.0), lit(q), rate)
-    return F.array(c["b0"], c["b1"], c["b2"], c["a1"], c["a2"])
+def _section(shape: Column, hz: Column, gain_db: Column, q: Column, rate: float) -> Column:
+    number = F.array_position(F.array(*[F.lit(x) for x in SHAPES[1:]]), shape)
+    return F.array(number.cast("double"), F.lit(float(rate)), hz, gain_db, q)
+
+
+def _plain(shape: str, hz: Column, rate: float, q: Column) -> Column:
+    return _section(F.lit(shape), hz, F.lit(0.0), q, rate)
 
 
 def _pole(alpha: Column) -> Column:
     zero = F.lit(0.0)
-    return F.array(alpha, zero, zero, alpha - 1.0, zero)
+    return F.array(zero, zero, alpha, zero, zero)
 
 
 def _keep(ms: Column, rate: float) -> Column:
@@ -260,10 +265,10 @@ def programs(node: Column, rate: float) -> tuple[Column, Column]:
     def usable(hz: Column) -> Column:
         return clamp(hz, 10.0, rate * 0.49)
 
-    bands = F.flatten(F.transform(node["bands"], lambda b: _coefficients(b, rate)))
-    det = _section("band_pass", p("dynamic_eq", "frequency_hz"), rate, p("dynamic_eq", "q"))
-    low = _section("low_pass", p("multiband", "low_crossover_hz"), rate, 0.70710678)
-    high = _section("high_pass", p("multiband", "high_crossover_hz"), rate, 0.70710678)
+    bands = F.flatten(F.transform(node["bands"], lambda b: _section(b["shape"], b["frequency_hz"], b["gain_db"], b["q"], rate)))
+    det = _plain("band_pass", p("dynamic_eq", "frequency_hz"), rate, p("dynamic_eq", "q"))
+    low = _plain("low_pass", p("multiband", "low_crossover_hz"), rate, F.lit(0.70710678))
+    high = _plain("high_pass", p("multiband", "high_crossover_hz"), rate, F.lit(0.70710678))
     tables = {
         "eq": both(bands), "dynamic_eq": both(det), "multiband": both(low, low) + both(high, high),
         "transient": [_take(2, _pole(1.0 - _keep(p("transient", ms), rate))) for ms in ("fast_ms", "slow_ms")],
@@ -279,11 +284,6 @@ def programs(node: Column, rate: float) -> tuple[Column, Column]:
     return filters, speeds
 
 
-def _coefficients(band: Column, rate: float) -> Column:
-    c = biquad_coefficients(band["shape"], band["frequency_hz"], band["gain_db"], band["q"], rate)
-    return F.array(c["b0"], c["b1"], c["b2"], c["a1"], c["a2"])
-
-
 def _map(*arrays, fn):
     """``fn`` of the elements of equally long arrays."""
     rows = F.arrays_zip(*[a.alias(f"_{i}") for i, a in enumerate(arrays)])
@@ -377,7 +377,7 @@ def run_plans(blocks: DataFrame, plans: DataFrame, rate: float, block: int = DEF
     broken = g.validate(F.col("nodes"))
     checked = F.when(F.size(broken) == 0, F.filter("nodes", lambda n: ~n["bypass"])).otherwise(
         F.raise_error(F.concat(F.lit("plan: "), F.array_join(broken, ", "))))
-    active = plans.select(*KEYS, checked.alias("_nodes"))
+    active = cut_lineage(plans.select(*KEYS, checked.alias("_nodes")))
     met = active.select(F.posexplode(F.transform("_nodes", lambda n: n["type"]))).distinct().collect()
     stages: dict[int, set[str]] = {}
     for pos, kind in met:
