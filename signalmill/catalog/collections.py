@@ -362,11 +362,14 @@ def a6(spark, sf):
     return logs.read_live_events(spark, other).groupBy("profile_name").agg(F.count(F.lit(1)).alias("events"))
 
 
-@query("a1_decode_wav", """WITH d AS (SELECT doc_id, octet_length(encode(text)) // 2 AS frames FROM documents)
-SELECT CAST(doc_id AS VARCHAR) AS track_id, b AS block_ix, CAST(least(500, frames - b * 500) AS INTEGER) AS n, b = (frames - 1) // 500 AS is_last
-FROM d, unnest(range((frames + 499) // 500)) AS u(b)""")
+@query("a1_decode_wav", f"""WITH h AS (SELECT doc_id, regexp_extract_all(hex(encode(text)), '....') AS pairs FROM documents),
+v AS (SELECT doc_id, len(pairs) AS frames, unnest(pairs) AS p, unnest(range(len(pairs))) AS i FROM h),
+x AS (SELECT doc_id, frames, i, (CAST('0x' || substr(p, 3, 2) || substr(p, 1, 2) AS INTEGER) + 32768) % 65536 - 32768 AS s FROM v)
+SELECT CAST(doc_id AS VARCHAR) AS track_id, i // 500 AS block_ix, CAST(count(*) AS INTEGER) AS n, i // 500 = (any_value(frames) - 1) // 500 AS is_last,
+  {rd('sum(s / 32768.0::DOUBLE)')} AS total, {rd('sum(s / 32768.0::DOUBLE * (i % 500 + 1))')} AS weighted, {rd('min(s) / 32768.0::DOUBLE')} AS least
+FROM x GROUP BY doc_id, i // 500""")
 def a1(spark, sf):
-    """Each text's bytes as the 16-bit samples of a mono WAV file of open length."""
+    """Each text's bytes as the 16-bit samples of a mono WAV file of open length; sums tell the samples and their order."""
     import struct
 
     from ..sources.wav import decode_files
@@ -374,4 +377,8 @@ def a1(spark, sf):
     head = b"RIFF" + struct.pack("<I", 0xFFFFFFFF) + b"WAVEfmt " + struct.pack("<IHHIIHH", 16, 1, 1, 8000, 16000, 2, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
     d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text")
     files = d.select("path", F.concat(F.lit(head), F.encode("text", "UTF-8")).alias("content"))
-    return decode_files(files, 500).select("track_id", "block_ix", "n", "is_last")
+    x = F.transform(F.get("ch", F.lit(0)), lambda v: v.cast("double"))
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v)
+    return rounded(decode_files(files, 500).select(
+        "track_id", "block_ix", "n", "is_last", total(x).alias("total"), total(F.transform(x, lambda v, i: v * (i + 1))).alias("weighted"),
+        F.array_min(x).alias("least")))

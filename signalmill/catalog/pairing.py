@@ -332,9 +332,12 @@ def e8(spark, sf):
 @query("a2_scan_blocks", f"""WITH {SIG_LINE} SELECT track_id, frame_ix // 64 AS block_ix, count(*) AS n, {rd('sum(l)')} AS total
 FROM sig_line WHERE frame_ix // 64 BETWEEN 1 AND 3 GROUP BY ALL""")
 def a2(spark, sf):
+    """A range of stored blocks: the comparison reaches the files."""
     from ..operators.scans import to_blocks
+    from ..session import cut_lineage
 
-    b = fr.scan_blocks(to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l"], 64), 1, 3)
+    stored = cut_lineage(to_blocks(sig_line(spark, sf), ["track_id"], "frame_ix", ["l"], 64))
+    b = fr.scan_blocks(stored, 1, 3)
     return rounded(b.select("track_id", "block_ix", F.size("l").cast("bigint").alias("n"),
                             F.aggregate("l", F.lit(0.0), lambda a, v: a + v).alias("total")))
 

@@ -71,15 +71,15 @@ def s8(spark, sf):
 BLOCK = 64
 
 
-def block_stream(spark, sf):
-    """Stereo blocks of the vector series written as several files and read one file per micro-batch."""
+def block_stream(spark, sf, files: int = 1):
+    """Stereo blocks of the vector series written as several files and read so many files per micro-batch."""
     b = to_blocks(sig_embed(spark, sf), ["track_id"], "frame_ix", ["l", "r"], BLOCK)
     last = b.groupBy("track_id").agg(F.max("block_ix").alias("_m"))
     b = b.join(last, "track_id").withColumn("is_last", F.col("block_ix") == F.col("_m")).drop("_m")
     folder = scratch_folder(spark, "blocks")
     # by hash of the block number: a series' blocks arrive out of order over the micro-batches
-    b.repartition(3, "block_ix").write.parquet(folder)
-    return spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    b.repartition("block_ix").write.parquet(folder)
+    return spark.readStream.schema(b.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 @query("s1_stream_integrity", f"""WITH {SIG_EMBED} SELECT track_id, max(frame_ix) + 1 AS frames, count(*) FILTER (abs(l) >= 1) + count(*) FILTER (abs(r) >= 1)
@@ -104,18 +104,30 @@ def s1_waveform(spark, sf):
 _A = fl.cutoff_alpha(10.0, 1000.0)
 
 
-@query("s5_stream_filter", f"""WITH {SIG_EMBED} SELECT track_id, frame_ix, {rd(f'{_A!r} * pow({1 - _A!r}, frame_ix) * sum(l * pow({1 - _A!r}, -frame_ix)) OVER (PARTITION BY track_id ORDER BY frame_ix)')} AS y
-FROM sig_embed""")
+def _pole(c: str) -> str:
+    return rd(f"{_A!r} * pow({1 - _A!r}, frame_ix) * sum({c} * pow({1 - _A!r}, -frame_ix)) OVER (PARTITION BY track_id ORDER BY frame_ix)") + f" AS {c}"
+
+
+def filtered(spark, sf, files: int):
+    return run_available(stt.stream_filter(block_stream(spark, sf, files), fl.one_pole(_A)), "append", (), "filter", rocksdb=True)
+
+
+@query("s5_stream_filter", f"WITH {SIG_EMBED} SELECT track_id, frame_ix, {_pole('l')}, {_pole('r')} FROM sig_embed")
 def s5(spark, sf):
-    out = run_available(stt.stream_filter(block_stream(spark, sf), fl.one_pole(_A)), "append", (), "filter")
-    return rounded(from_blocks(out, ["track_id"], "frame_ix", ["y"], BLOCK))
+    """Both channels, one file in each micro-batch."""
+    return rounded(from_blocks(filtered(spark, sf, 1), ["track_id"], "frame_ix", ["l", "r"], BLOCK))
+
+
+@query("s5_stream_filter_by_five", f"WITH {SIG_EMBED} SELECT track_id, frame_ix, {_pole('l')}, {_pole('r')} FROM sig_embed")
+def s5_five(spark, sf):
+    """The same rows with five files in each micro-batch."""
+    return rounded(from_blocks(filtered(spark, sf, 5), ["track_id"], "frame_ix", ["l", "r"], BLOCK))
 
 
 @query("s6_end_of_input", f"""WITH {SIG_EMBED} SELECT track_id, max(frame_ix) // 64 AS block_ix FROM sig_embed GROUP BY 1""")
 def s6(spark, sf):
     """The block that ends each series is emitted exactly once, after all others."""
-    out = run_available(stt.stream_filter(block_stream(spark, sf), fl.one_pole(_A)), "append", (), "flush")
-    return out.filter("is_last").select("track_id", "block_ix")
+    return filtered(spark, sf, 2).filter("is_last").select("track_id", "block_ix")
 
 
 @query("s7_stream_preferences", f"""WITH pe AS (SELECT event_type AS profile_name, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS seq, value, count(*) OVER (PARTITION BY event_type) AS n FROM events),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.levels import clamp, is_finite, to_linear
 from ..session import cut_lineage
-from .ordering import fill_from_neighbours, home_rows, with_halo
+from .ordering import fill_from_neighbours, home_rows, running_total, with_halo
 from .quantiles import ranked_value
 
 SILENT = 1e-12
@@ -115,25 +115,30 @@ def interpolate_activity(frames: DataFrame, envelope: DataFrame, hop: int, block
 
 
 def interval_amounts(frames: DataFrame, interventions: DataFrame, rate: float, bucket_s: float = 1.0) -> DataFrame:
-    """Sum of intervention amounts at each frame: start <= t < end, no bounds means always.
+    """Sum of intervention amounts at each frame: start <= t < end, no start means always; frames without any get 0.
 
-    Bounded ones are cut into time buckets and joined by equality on (track, bucket) with the exact
-    bounds as residual; unbounded ones are summed per track first. Frames without any get 0.
+    Every intervention becomes two changes, its amount where it starts and the opposite where it ends; changes at one frame
+    are added up, laid between the frames, and a running total over buckets of ``bucket_s`` seconds gives the amounts. The work
+    grows with frames plus interventions, however many of them overlap. An interval that ends at or before its start, or has no
+    end, holds no frame.
     """
-    f = frames.withColumn("_t", F.col("frame_ix") / float(rate)).withColumn(
-        "_bk", F.floor(F.col("_t") / F.lit(bucket_s)).cast("bigint"))
-    ranged = interventions.filter(F.col("start_s").isNotNull()).withColumn("_bk", F.explode(F.sequence(
-        F.floor(F.col("start_s") / F.lit(bucket_s)).cast("bigint"),
-        F.floor(F.col("end_s") / F.lit(bucket_s)).cast("bigint"))))
-    hits = (
-        f.join(ranged.select("track_id", "_bk", "start_s", "end_s", F.col("amount").alias("_a")), ["track_id", "_bk"])
-        .filter((F.col("_t") >= F.col("start_s")) & (F.col("_t") < F.col("end_s")))
-        .groupBy("track_id", "frame_ix").agg(F.sum("_a").alias("_ranged")))
-    always = interventions.filter(F.col("start_s").isNull()).groupBy("track_id").agg(F.sum("amount").alias("_always"))
-    return (
-        frames.join(hits, ["track_id", "frame_ix"], "left").join(always, "track_id", "left")
-        .withColumn("amount", F.coalesce("_ranged", F.lit(0.0)) + F.coalesce("_always", F.lit(0.0)))
-        .drop("_ranged", "_always"))
+    rate = float(rate)
+
+    def first_at(t: Column) -> Column:
+        # the first frame whose time is not before t; times are compared as the frames have them
+        f = F.ceil(t * rate)
+        return F.when((f - 1) / rate >= t, f - 1).when(f / rate < t, f + 1).otherwise(f).cast("bigint")
+
+    start, end, amount = F.col("start_s"), F.col("end_s"), F.col("amount").cast("double")
+    ends = F.when(start.isNull(), F.array(F.struct(F.lit(-1).cast("bigint").alias("at"), amount.alias("change")))).when(
+        end > start, F.array(F.struct(first_at(start).alias("at"), amount.alias("change")), F.struct(first_at(end).alias("at"), (-amount).alias("change"))))
+    changes = interventions.select("track_id", F.inline(ends)).groupBy("track_id", F.greatest("at", F.lit(-1)).alias("frame_ix")).agg(
+        F.sum("change").alias("_change"))
+    line = frames.withColumns({"_change": F.lit(0.0), "_frame": F.lit(True)}).unionByName(
+        changes.withColumn("_frame", F.lit(False)), allowMissingColumns=True)
+    bucket = F.floor(F.col("frame_ix") / F.lit(max(1, int(bucket_s * rate)))).cast("bigint")
+    total = running_total(line, ["track_id"], [bucket], [F.col("frame_ix"), F.col("_frame")], F.col("_change"), "amount")
+    return total.filter("_frame").drop("_change", "_frame")
 
 
 def bind_best(interventions: DataFrame, envelopes: DataFrame) -> tuple[DataFrame, DataFrame]:

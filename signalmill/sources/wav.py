@@ -1,4 +1,8 @@
-"""WAV corpus ingest: files to ``tracks`` metadata and ``blocks`` of samples, as a batch job or a data source."""
+"""WAV corpus ingest: files to ``tracks`` metadata and ``blocks`` of samples, as a batch job or a data source.
+
+Files are listed by Spark and read by ranges through the file system that their address names, so a file may be of any
+size and no task reads more of it than its blocks.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
+)
 
 BLOCKS_SCHEMA = "track_id string, block_ix bigint, start_frame bigint, n int, ch array<array<float>>, is_last boolean"
 HEADER_SCHEMA = (
@@ -87,22 +93,77 @@ def _blocks(path: str, read, size: int, block: int, first: int = 0, last: int |
         yield path, ix, ix * block, n, [x[:, c].tolist() for c in range(info["channels"])], ix == count - 1
 
 
+class Ranges:
+    """Byte ranges of a file on any file system with an address (local, HDFS, object stores)."""
+
+    def __init__(self, address: str):
+        from pyarrow import fs
+
+        if address.startswith("file:/") and not address.startswith("file://"):
+            address = "file://" + address[5:]
+        if "://" in address:
+            self.system, self.path = fs.FileSystem.from_uri(address.replace(" ", "%20"))
+        else:
+            self.system, self.path = fs.LocalFileSystem(), address
+
+    def __enter__(self):
+        self.file = self.system.open_input_file(self.path)
+        return self
+
+    def __exit__(self, *_):
+        self.file.close()
+
+    def size(self) -> int:
+        return self.file.size()
+
+    def __call__(self, at: int, n: int) -> bytes:
+        return self.file.read_at(n, at) if at < self.file.size() else b""
+
+
+def list_files(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
+    """``path, length`` of the files below a folder; their content is not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+    return files.select("path", "length")
+
+
 def read_tracks(spark: SparkSession, path: str, glob: str = "*.wav") -> DataFrame:
     """Header facts per file; unreadable files stay in the table with ``status`` error and the reason."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    heads = files.select("path", "length", F.col("content").alias("head"))
 
     def facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for p, size, head in zip(*[batch.column(c).to_pylist() for c in ("path", "length", "head")]):
+            for p, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows.append({"track_id": p, **parse_header(head, size), "status": "ok"})
-                except (ValueError, struct.error) as e:
+                    with Ranges(p) as read:
+                        rows.append({"track_id": p, **parse_header(read, size), "status": "ok"})
+                except (ValueError, OSError, struct.error) as e:
                     rows.append({"track_id": p, "status": "error", "error": str(e)})
             yield pa.RecordBatch.from_pylist(rows, schema=HEADER_ARROW)
 
-    return heads.mapInArrow(facts, HEADER_SCHEMA)
+    return list_files(spark, path, glob).mapInArrow(facts, HEADER_SCHEMA)
+
+
+BLOCKS_ARROW = pa.schema([
+    ("track_id", pa.string()), ("block_ix", pa.int64()), ("start_frame", pa.int64()), ("n", pa.int32()),
+    ("ch", pa.list_(pa.list_(pa.float32()))), ("is_last", pa.bool_())])
+
+
+def read_blocks(tracks: DataFrame, block: int = BLOCK, per_task: int = 64, first: int = 0, last: int | None = None) -> DataFrame:
+    """Blocks of the readable files of a tracks table, all or those from ``first`` up to before ``last``. A file is cut into
+    ranges of ``per_task`` blocks that are dealt to tasks, each of which opens the file at its range."""
+    count = F.ceil(F.col("frames") / F.lit(block)).cast("bigint")
+    stop = count if last is None else F.least(count, F.lit(last))
+    starts = F.when(stop > first, F.sequence(F.lit(first).cast("bigint"), stop - 1, F.lit(per_task).cast("bigint")))
+    ranges = tracks.filter("status = 'ok'").select("track_id", F.explode(starts).alias("first"), stop.alias("stop")).repartition("track_id", "first")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for p, at, stop in zip(*[batch.column(i).to_pylist() for i in range(3)]):
+                with Ranges(p) as read:
+                    for row in _blocks(p, read, read.size(), block, at, min(at + per_task, stop)):
+                        yield pa.RecordBatch.from_pylist([dict(zip(BLOCKS_ARROW.names, row))], schema=BLOCKS_ARROW)
+
+    return ranges.mapInArrow(cut, BLOCKS_SCHEMA)
 
 
 def decode_files(files: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -123,12 +184,16 @@ def decode_files(files: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def read_wav_corpus(spark: SparkSession, path: str, glob: str = "*.wav", block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """``tracks`` and ``blocks`` of all readable files below ``path``, files spread over tasks.
+    """``tracks`` and ``blocks`` of all readable files below ``path``; files of any size are spread over tasks by ranges."""
+    tracks = read_tracks(spark, path, glob)
+    return tracks, read_blocks(tracks, block)
 
-    For files larger than a Spark binary value (2 GB) use the :class:`WavDataSource`, which reads block ranges.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
-    return read_tracks(spark, path, glob), decode_files(files, block)
+
+def blocks_to_samples(blocks: DataFrame) -> DataFrame:
+    """Blocks of any number of channels to ``track_id, ch, frame_ix, x``."""
+    rows = blocks.select("track_id", "start_frame", F.posexplode("ch").alias("ch", "_x"))
+    return rows.select("track_id", "ch", "start_frame", F.posexplode("_x").alias("_i", "x")).select(
+        "track_id", "ch", (F.col("start_frame") + F.col("_i")).alias("frame_ix"), F.col("x").cast("double").alias("x"))
 
 
 def blocks_to_frames(blocks: DataFrame) -> DataFrame:
@@ -167,7 +232,10 @@ class _Range(InputPartition):
 
 
 class WavDataSource(DataSource):
-    """``spark.read.format("wav_blocks").load(path)``: block ranges of files on a shared folder, one partition each."""
+    """``spark.read.format("wav_blocks").load(path)``: block ranges of files on a shared folder, one partition each.
+
+    With the option ``pushdown`` filters narrow the ranges; Spark asks for ``spark.sql.python.filterPushdown.enabled`` then.
+    """
 
     @classmethod
     def name(cls):
@@ -177,39 +245,62 @@ class WavDataSource(DataSource):
         return BLOCKS_SCHEMA
 
     def reader(self, schema):
-        return WavReader(self.options)
+        return (NarrowedWavReader if self.options.get("pushdown", "").lower() == "true" else WavReader)(self.options)
 
 
 class WavReader(DataSourceReader):
+    """Splits files into block ranges."""
+
     def __init__(self, options):
         self.path = options["path"]
         self.block = int(options.get("block", BLOCK))
         self.per_task = int(options.get("blocksPerTask", 256))
+        self.first, self.last, self.tracks = 0, None, None
 
     def partitions(self):
-        import os
+        from pyarrow import fs
 
+        top = Ranges(self.path)
         out = []
-        for folder, _, names in sorted(os.walk(self.path)):
-            for n in sorted(names):
-                if n.lower().endswith((".wav", ".wave")):
-                    p = os.path.join(folder, n)
-                    # an upper bound from the file size; ranges past the end are empty
-                    most = os.path.getsize(p) // (2 * self.block) + 1
-                    out += [_Range(p, i, i + self.per_task) for i in range(0, most, self.per_task)]
+        for info in sorted(top.system.get_file_info(fs.FileSelector(top.path, recursive=True)), key=lambda i: i.path):
+            if info.type != fs.FileType.File or not info.path.lower().endswith((".wav", ".wave")):
+                continue
+            # ids are what the reader was asked for: the same kind of address as the folder's
+            name = info.path if "://" not in self.path else self.path.split("://")[0] + "://" + info.path
+            if self.tracks is not None and name not in self.tracks:
+                continue
+            # the header tells the width of a frame; an unreadable file has no blocks
+            try:
+                with Ranges(name) as read:
+                    frames = parse_header(read, info.size)["frames"]
+            except (ValueError, OSError, struct.error):
+                continue
+            last = -(-frames // self.block)
+            last = last if self.last is None else min(last, self.last)
+            out += [_Range(name, i, min(i + self.per_task, last)) for i in range(self.first, last, self.per_task)]
         return out or [_Range("", 0, 0)]
 
     def read(self, part):
-        import os
-
-        if not part.path:
-            return
-        with open(part.path, "rb") as f:
-            def read(at, n):
-                f.seek(at)
-                return f.read(n)
-
-            try:
-                yield from _blocks(part.path, read, os.path.getsize(part.path), self.block, part.first, part.last)
-            except (ValueError, struct.error):
-                return
+        if part.path:
+            with Ranges(part.path) as read:
+                yield from _blocks(part.path, read, read.size(), self.block, part.first, part.last)
+
+
+class NarrowedWavReader(WavReader):
+    """Comparisons of ``block_ix`` with numbers and of ``track_id`` with names narrow the ranges before they are planned, so
+    other ranges are never opened."""
+
+    def pushFilters(self, filters: list[Filter]):
+        for f in filters:
+            column = f.attribute if hasattr(f, "attribute") else None
+            if column == ("block_ix",) and isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual, LessThan, LessThanOrEqual)):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, f.value + isinstance(f, GreaterThan))
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = f.value + (not isinstance(f, LessThan))
+                    self.last = end if self.last is None else min(self.last, end)
+            elif column == ("track_id",) and isinstance(f, (EqualTo, In)):
+                names = set(f.value if isinstance(f, In) else [f.value])
+                self.tracks = names if self.tracks is None else self.tracks & names
+            else:
+                yield f

@@ -12,6 +12,9 @@ from pyspark.sql import types as T
 from ..session import checkpoint_root
 from ..sources.adapters import table
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
 
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder under the shared folder for checkpoints."""
@@ -45,10 +48,11 @@ def with_end(stream: DataFrame, time: str, name: str = "end") -> tuple[DataFrame
 
 
 def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name: str = "stream",
-                  finish: Callable[[], None] | None = None) -> DataFrame:
+                  finish: Callable[[], None] | None = None, rocksdb: bool = False) -> DataFrame:
     """Process all available input. Every micro-batch is written as files; with ``keys`` the newest row of each
     key is returned (update mode), else all rows (append mode). ``finish`` is called when the input has been read; the
-    stream then goes on from its checkpoint with whatever ``finish`` added."""
+    stream then goes on from its checkpoint with whatever ``finish`` added. ``rocksdb`` runs this stream, and no other, with
+    the state store that map states and timers need."""
     spark = stream.sparkSession
     out, ckpt = scratch_folder(spark, name), scratch_folder(spark, f"{name}-checkpoint")
 
@@ -57,8 +61,14 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
     def run() -> None:
-        stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", ckpt).trigger(
-            availableNow=True).start().awaitTermination()
+        before = spark.conf.get(PROVIDER)
+        if rocksdb:  # a stream copies the settings when it starts
+            spark.conf.set(PROVIDER, ROCKSDB)
+        try:
+            started = stream.writeStream.foreachBatch(land).outputMode(mode).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+        finally:
+            spark.conf.set(PROVIDER, before)
+        started.awaitTermination()
 
     run()
     if finish:

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import pickle
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.filters import System
@@ -18,8 +18,6 @@ from ..operators.scans import from_blocks, run_linear
 from ..operators.stereo import stereo_sums
 from ..sources.identity import run_incremental
 
-FINISHED = 1 << 62
-
 
 def distinct_blocks(stream: DataFrame) -> DataFrame:
     """Replayed blocks count once."""
@@ -43,38 +41,78 @@ def stream_waveform(blocks: DataFrame, block: int, base: int) -> DataFrame:
         F.min(x).alias("min"), F.max(x).alias("max"), F.sqrt(F.avg(x * x)).alias("rms"), F.count(x).alias("frames"))
 
 
-def stream_filter(blocks: DataFrame, system: System, column: str = "l") -> DataFrame:
-    """A linear filter over blocks that arrive in any order, some more than once, in any micro-batches.
-
-    State per series: next block expected, filter state, and blocks that came early. Output is appended in block
-    order and does not depend on how the input was cut into micro-batches. A block with ``is_last`` ends the series
-    and frees its state apart from a mark against late repeats.
-    """
-    order = system.order
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        expect, memory, early = (0, [0.0] * order, {}) if not state.exists else (
-            state.get[0], list(state.get[1]), pickle.loads(state.get[2]))
-        for pdf in batches:
-            for ix, x, last in zip(pdf["block_ix"], pdf[column], pdf["is_last"]):
-                if int(ix) >= expect:
-                    early.setdefault(int(ix), (np.asarray(x, float), bool(last)))
-        rows = []
-        while expect in early:
-            x, last = early.pop(expect)
-            y, end = run_linear(system, x[None, :], np.asarray(memory, float)[None, :])
-            rows.append((key[0], expect, y[0].tolist(), last))
-            memory = end[0].tolist()
-            expect = FINISHED if last else expect + 1
+class OrderedFilter(StatefulProcessor):
+    """Filters the blocks of a series in order. State: the block expected next with the filters' memories, and one map entry
+    per block that came before its turn; a finished series keeps a mark against late repeats for ``keep_ms``."""
+
+    def __init__(self, system: System, columns: Sequence[str], keep_ms: int | None):
+        self.system, self.columns, self.keep_ms = system, list(columns), keep_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        arrays = ", ".join(f"{c} array<double>" for c in self.columns)
+        self.ended = handle.getValueState("ended", "at bigint", self.keep_ms)
+        self.next = handle.getValueState("next", f"expect bigint, {arrays}")
+        self.early = handle.getMapState("early", "block_ix bigint", f"{arrays}, is_last boolean")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        if self.ended.exists():
+            for _ in rows:
+                pass
+            return
+        if self.next.exists():
+            expect, *memory = self.next.get()
+        else:
+            expect, memory = 0, [[0.0] * self.system.order for _ in self.columns]
+        for pdf in rows:
+            out, last = [], False
+            for ix, is_last, *arrays in pdf[["block_ix", "is_last", *self.columns]].itertuples(index=False, name=None):
+                if int(ix) > expect:
+                    self.early.updateValue((int(ix),), (*[[float(v) for v in x] for x in arrays], bool(is_last)))
+                    continue
+                while int(ix) == expect:
+                    y, memory = self._through(arrays, memory)
+                    out.append((key[0], expect, *y, bool(is_last)))
+                    last, expect = bool(is_last), expect + 1
+                    if last or not self.early.containsKey((expect,)):
+                        break
+                    *arrays, is_last = self.early.getValue((expect,))
+                    self.early.removeKey((expect,))
+                    ix = expect
+                if last:
+                    break
+            if out:
+                yield pd.DataFrame(out, columns=["track_id", "block_ix", *self.columns, "is_last"])
             if last:
-                early = {}
-        state.update((expect, memory, pickle.dumps(early)))
-        if rows:
-            yield pd.DataFrame(rows, columns=["track_id", "block_ix", "y", "is_last"])
-
-    return blocks.select("track_id", "block_ix", column, "is_last").groupBy("track_id").applyInPandasWithState(
-        step, "track_id bigint, block_ix bigint, y array<double>, is_last boolean",
-        "expect bigint, memory array<double>, early binary", "append", GroupStateTimeout.NoTimeout)
+                self.next.clear()
+                self.early.clear()
+                self.ended.update((expect,))
+                for _ in rows:
+                    pass
+                return
+        self.next.update((expect, *memory))
+
+    def _through(self, arrays, memory):
+        x = np.stack([np.asarray(a, float) for a in arrays])
+        y, end = run_linear(self.system, x, np.asarray(memory, float))
+        return y.tolist(), end.tolist()
+
+    def close(self) -> None:
+        pass
+
+
+def stream_filter(blocks: DataFrame, system: System, columns: Sequence[str] = ("l", "r"), keep_ms: int | None = None) -> DataFrame:
+    """A linear filter over blocks that arrive in any order, some more than once, in any micro-batches, on every channel.
+
+    Output is appended in block order and does not depend on how the input was cut into micro-batches. A block with
+    ``is_last`` ends the series and frees its state; a mark that it has ended stays for good, or for ``keep_ms`` in a stream
+    that never ends (Spark runs batches without data for such times), and late repeats are dropped until then. Blocks that wait for an earlier one lie in a map state, one entry each, so a batch reads and
+    writes only those it needs. The state store must be RocksDB (``run_available(..., rocksdb=True)``).
+    """
+    arrays = ", ".join(f"{c} array<double>" for c in columns)
+    kind = blocks.schema["track_id"].dataType.simpleString()
+    return blocks.select("track_id", "block_ix", *columns, "is_last").groupBy("track_id").transformWithStateInPandas(
+        OrderedFilter(system, columns, keep_ms), f"track_id {kind}, block_ix bigint, {arrays}, is_last boolean", "Append",
+        "None" if keep_ms is None else "ProcessingTime")
 
 
 def stream_preferences(events: DataFrame, growth: float = 1.02) -> DataFrame:

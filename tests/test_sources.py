@@ -108,8 +108,8 @@ def block_files(spark, folder, order, last=9):
     rng = np.random.default_rng(0)
     xs = [rng.normal(size=16).tolist() for _ in range(last + 1)]
     for batch, group in enumerate(order):
-        rows = [(1, i, xs[i], i == last) for i in group]
-        spark.createDataFrame(rows, "track_id bigint, block_ix bigint, l array<double>, is_last boolean").coalesce(1).write.mode("append").parquet(folder)
+        rows = [(1, i, xs[i], [-2 * v for v in xs[i]], i == last) for i in group]
+        spark.createDataFrame(rows, "track_id bigint, block_ix bigint, l array<double>, r array<double>, is_last boolean").coalesce(1).write.mode("append").parquet(folder)
     return np.concatenate(xs)
 
 
@@ -120,9 +120,10 @@ def test_stream_filter_ignores_batching_order_and_repeats(spark, tmp_path, order
     schema = spark.read.parquet(folder).schema
     s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
     sys = fl.design("low_pass", 1000, 8000)
-    rows = run_available(stateful.stream_filter(s, sys), "append").orderBy("block_ix").collect()
+    rows = run_available(stateful.stream_filter(s, sys), "append", rocksdb=True).orderBy("block_ix").collect()
     assert [r.block_ix for r in rows] == list(range(10)) and [r.is_last for r in rows] == [False] * 9 + [True]
-    assert np.allclose(np.concatenate([r.y for r in rows]), run_linear(sys, x[None, :], np.zeros((1, 2)))[0][0])
+    want = run_linear(sys, x[None, :], np.zeros((1, 2)))[0][0]
+    assert np.allclose(np.concatenate([r.l for r in rows]), want) and np.allclose(np.concatenate([r.r for r in rows]), -2 * want)
 
 
 def test_late_rows_are_dropped(spark, tmp_path):
@@ -176,3 +177,68 @@ def test_events_without_id_stay_and_markers_do_not(spark, tmp_path):
     assert logs.read_live_events(spark, folder, "p").count() == 2
     logs.reset_profile(spark, folder, "p")
     assert logs.read_event_log(spark, folder).count() == 1
+
+
+def test_pushed_ranges_of_a_sparse_file_above_2_gb(spark, tmp_path):
+    """Only the wanted range is opened, by the data source and by the job; six channels come back."""
+    import struct
+
+    channels, frames, at = 6, 200_000_000, 190_000_000
+    width = channels * 2
+    head = b"RF64" + struct.pack("<I", 0xFFFFFFFF) + b"WAVE" + b"ds64" + struct.pack("<IQQQI", 28, 0, frames * width, frames, 0)
+    head += b"fmt " + struct.pack("<IHHIIHH", 16, 1, channels, 48000, 48000 * width, width, 16) + b"data" + struct.pack("<I", 0xFFFFFFFF)
+    values = (np.arange(600 * channels).reshape(600, channels) % 3000).astype("<i2")
+    with open(tmp_path / "long.wav", "wb") as f:
+        f.write(head)
+        f.seek(len(head) + at * width)
+        f.write(values.tobytes())
+        f.truncate(len(head) + frames * width)
+    (tmp_path / "short.wav").write_bytes(wav_bytes(np.zeros((10, 1)), 8000))
+    track = spark.createDataFrame([(str(tmp_path / "long.wav"), frames, "ok")], "track_id string, frames long, status string")
+    first = at // 1000
+    job = wav.read_blocks(track, 1000, first=first, last=first + 1).collect()
+    assert len(job) == 1
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(wav.WavDataSource)
+    df = spark.read.format("wav_blocks").option("block", 1000).option("blocksPerTask", 2).option("pushdown", "true").option("path", str(tmp_path)).load()
+    df = df.filter((F.col("block_ix") >= first) & (F.col("block_ix") < first + 3))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() == 2 and ">=" not in plan and "<" not in plan
+    rows = df.orderBy("block_ix").collect()
+    assert [r.block_ix for r in rows] == [first, first + 1, first + 2] and all(len(r.ch) == 6 for r in rows)
+    assert np.allclose(np.array(rows[0].ch)[:, :600].T, values / 32768.0) and job[0].ch == rows[0].ch
+    assert df.filter("block_ix = 5").count() == 0
+    own = df.filter(F.col("track_id") == str(tmp_path / "short.wav"))
+    assert own.rdd.getNumPartitions() == 1 and own.count() == 0
+    t = {r.track_id.rsplit("/", 1)[1]: r for r in wav.read_tracks(spark, str(tmp_path)).collect()}
+    assert (t["long.wav"].frames, t["long.wav"].channels, t["short.wav"].frames) == (frames, 6, 10)
+    s = wav.blocks_to_samples(df.filter(F.col("block_ix") == first)).filter("frame_ix = %d" % (at + 7)).orderBy("ch").collect()
+    assert [r.x for r in s] == (values[7] / 32768.0).tolist()
+
+
+def test_interval_amounts_are_a_sweep(spark):
+    """Against every interval at every frame, and with very many that overlap."""
+    from signalmill.operators import pairing as pa
+
+    rng = np.random.default_rng(3)
+    frames = [(t, i) for t in ("a", "b", "c") for i in range(0, 400, 1 if t == "a" else 3)]
+    rows = [(t, float(s), float(e), float(a)) for t in ("a", "b") for s, e, a in zip(rng.random(40) * 5 - 0.5, rng.random(40) * 5, rng.normal(0, 1, 40))]
+    rows += [("a", None, None, 0.25), ("a", None, None, 1.0), ("b", 0.31, 0.31, 9.0), ("b", 0.07, None, 9.0), ("z", 0.0, 1.0, 1.0), ("a", 0.29, 0.57, 2.0)]
+    f = spark.createDataFrame(frames, "track_id string, frame_ix long")
+    iv = spark.createDataFrame(rows, "track_id string, start_s double, end_s double, amount double")
+    got = {(r.track_id, r.frame_ix): r.amount for r in pa.interval_amounts(f, iv, 100.0, 0.5).collect()}
+    assert len(got) == len(frames)
+    for t, i in frames:
+        want = sum(a for u, s, e, a in rows if u == t and (s is None or (e is not None and s <= i / 100.0 < e)))
+        assert abs(got[t, i] - want) < 1e-9
+    many = spark.range(10_000).select(F.lit("a").alias("track_id"), (F.col("id") * 1e-5).alias("start_s"), F.lit(3.0).alias("end_s"), F.lit(1.0).alias("amount"))
+    out = pa.interval_amounts(f, many, 100.0, 0.5)
+    assert out.count() == len(frames) and out.filter("track_id = 'a' AND frame_ix = 200").first().amount == 10_000.0
+
+
+def test_stored_blocks_are_read_by_range(spark, tmp_path):
+    from signalmill.operators import frames as fr
+
+    spark.range(1000).select(F.lit("t").alias("track_id"), F.col("id").alias("block_ix")).write.parquet(str(tmp_path / "b"))
+    df = fr.scan_blocks(spark.read.parquet(str(tmp_path / "b")), 5, 7)
+    assert "GreaterThanOrEqual(block_ix,5)" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 3
