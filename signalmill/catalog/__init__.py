@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
 
 
 def load_all() -> None:
-    from . import collections, measure, pairing, rules, scalars, signal, streams  # noqa: F401
+    from . import collections, extension, measure, pairing, rules, scalars, signal, streams  # noqa: F401

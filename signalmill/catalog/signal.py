@@ -579,22 +579,21 @@ def k11(spark, sf):
 
 
 # --- repair, resampling, playback -----------------------------------------------------------------
-@query("e17_declip", f"""WITH {LONG_LINE},
+@query("e17_declip", f"""WITH {LONG_LINE.replace("long_line AS (", "long_line AS MATERIALIZED (")},
 c AS (SELECT *, abs(x) >= 0.9 AS hit, frame_ix - row_number() OVER (PARTITION BY track_id, ch, abs(x) >= 0.9 ORDER BY frame_ix) AS isl FROM long_line),
 rn AS (SELECT track_id, ch, min(frame_ix) AS s, max(frame_ix) AS e FROM c WHERE hit GROUP BY track_id, ch, isl),
 an AS (SELECT rn.*, a.x AS y0, b.x AS y1, p.x AS y2, q.x AS y3 FROM rn
   JOIN long_line a ON a.track_id = rn.track_id AND a.ch = rn.ch AND a.frame_ix = s - 2
   JOIN long_line b ON b.track_id = rn.track_id AND b.ch = rn.ch AND b.frame_ix = s - 1
   JOIN long_line p ON p.track_id = rn.track_id AND p.ch = rn.ch AND p.frame_ix = e + 1
-  JOIN long_line q ON q.track_id = rn.track_id AND q.ch = rn.ch AND q.frame_ix = e + 2 WHERE e - s + 1 < 32),
-fx AS (SELECT l.track_id, l.ch, l.frame_ix, y0, y1, y2, y3, (l.frame_ix - s + 1) / (e - s + 2) AS t FROM long_line l
-  JOIN an ON an.track_id = l.track_id AND an.ch = l.ch AND l.frame_ix BETWEEN s AND e),
+  JOIN long_line q ON q.track_id = rn.track_id AND q.ch = rn.ch AND q.frame_ix = e + 2),
+fx AS (SELECT track_id, ch, f AS frame_ix, y0, y1, y2, y3, (f - s + 1) / (e - s + 2) AS t FROM (SELECT *, unnest(range(s, e + 1)) AS f FROM an)),
 nw AS (SELECT track_id, ch, frame_ix, greatest(0.9, abs((2*t*t*t - 3*t*t + 1) * y1 + (t*t*t - 2*t*t + t) * (y2 - y0) / 2
     + (3*t*t - 2*t*t*t) * y2 + (t*t*t - t*t) * (y3 - y1) / 2)) AS v FROM fx)
 SELECT track_id, ch, frame_ix, {rd('CASE WHEN v IS NULL THEN x WHEN x >= 0 THEN v ELSE -v END', 7)} AS x, v IS NOT NULL AS repaired
 FROM long_line LEFT JOIN nw USING (track_id, ch, frame_ix)""")
 def e17(spark, sf):
-    return rounded(rp.declip(fr.to_long(sig_line(spark, sf, reused=True)), 0.9, 31, BLOCK), digits=7)
+    return rounded(rp.declip(fr.to_long(sig_line(spark, sf, reused=True)), 0.9, block=BLOCK), digits=7)
 
 
 @query("j16_resample")

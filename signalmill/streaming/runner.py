@@ -48,11 +48,12 @@ def with_end(stream: DataFrame, time: str, name: str = "end") -> tuple[DataFrame
 
 
 def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name: str = "stream",
-                  finish: Callable[[], None] | None = None, rocksdb: bool = False) -> DataFrame:
+                  finish: Callable[[], None] | None = None, rocksdb: bool = False,
+                  progress: list | None = None) -> DataFrame:
     """Process all available input. Every micro-batch is written as files; with ``keys`` the newest row of each
     key is returned (update mode), else all rows (append mode). ``finish`` is called when the input has been read; the
     stream then goes on from its checkpoint with whatever ``finish`` added. ``rocksdb`` runs this stream, and no other, with
-    the state store that map states and timers need."""
+    the state store that map states and timers need. ``progress`` receives what the stream reported of its micro-batches."""
     spark = stream.sparkSession
     out, ckpt = scratch_folder(spark, name), scratch_folder(spark, f"{name}-checkpoint")
 
@@ -69,6 +70,8 @@ def run_available(stream: DataFrame, mode: str, keys: Sequence[str] = (), name:
         finally:
             spark.conf.set(PROVIDER, before)
         started.awaitTermination()
+        if progress is not None:
+            progress.extend(started.recentProgress)
 
     run()
     if finish:

@@ -18,6 +18,16 @@ def with_event_time(df: DataFrame, column: str = "ts", lateness: str = "1 hour",
     return out.withWatermark(column, lateness)
 
 
+def observed_rows(progress: list, name: str) -> int:
+    """Rows that a stream saw under ``name``, from the progress of its micro-batches."""
+    return sum(int(p.observedMetrics[name]["rows"]) for p in progress if name in p.observedMetrics)
+
+
+def dropped_rows(windows: DataFrame, progress: list, name: str) -> DataFrame:
+    """One row, ``dropped``: rows that were seen but are in no (tumbling) window since they came behind the watermark."""
+    return windows.agg((F.lit(observed_rows(progress, name)) - F.coalesce(F.sum("n"), F.lit(0))).cast("bigint").alias("dropped"))
+
+
 def level_windows(df: DataFrame, duration: str, slide: str | None = None, keys=("source",), value: str = "x", time: str = "ts") -> DataFrame:
     """Count, rms and peak per key and tumbling (or sliding) window. Works on streams and on tables."""
     w = F.window(time, duration, slide) if slide else F.window(time, duration)

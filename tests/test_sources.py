@@ -242,3 +242,49 @@ def test_stored_blocks_are_read_by_range(spark, tmp_path):
     spark.range(1000).select(F.lit("t").alias("track_id"), F.col("id").alias("block_ix")).write.parquet(str(tmp_path / "b"))
     df = fr.scan_blocks(spark.read.parquet(str(tmp_path / "b")), 5, 7)
     assert "GreaterThanOrEqual(block_ix,5)" in df._jdf.queryExecution().executedPlan().toString() and df.count() == 3
+
+
+def test_a_fold_is_the_same_in_batch_and_stream(spark, tmp_path):
+    from signalmill.operators import folding as fo
+
+    class Spread(fo.Fold):
+        schema = "n bigint, low double, high double"
+
+        def start(self):
+            return np.array([0.0, np.inf, -np.inf])
+
+        def update(self, state, rows):
+            v = rows["v"].dropna()
+            return self.merge(state, np.array([len(v), v.min(), v.max()])) if len(v) else state
+
+        def merge(self, a, b):
+            return np.array([a[0] + b[0], min(a[1], b[1]), max(a[2], b[2])])
+
+        def finish(self, state):
+            return int(state[0]), *(None if np.isinf(x) else float(x) for x in state[1:])
+
+    df = spark.range(5000).select(F.when(F.col("id") % 7 != 0, F.concat(F.lit("k"), F.col("id") % 3)).alias("k"), F.lit("x").alias("_part0"),
+                                  F.when(F.col("id") % 11 != 0, F.sin("id")).alias("v")).repartition(9)
+    want = {r.k: tuple(r)[1:] for r in df.groupBy("k").agg(F.count("v"), F.min("v"), F.max("v")).collect()}
+    for fan in (1, 4):
+        assert {r.k: tuple(r)[1:] for r in fo.fold_rows(df, ["k"], Spread(), fan).collect()} == want
+    assert fo.fold_rows(df.limit(0), ["k"], Spread()).count() == 0
+    empty = fo.fold_rows(df.filter("v IS NULL"), ["k"], Spread()).first()
+    assert (empty.n, empty.low) == (0, None)
+    df.coalesce(3).write.parquet(str(tmp_path / "v"))
+    s = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "v"))
+    rows = run_available(fo.fold_stream(s, ["k"], Spread()), "update", ["k"]).collect()
+    assert {r.k: tuple(r)[1:] for r in rows} == want
+
+
+def test_table_functions(spark):
+    from signalmill.functions.tables import register_expansion
+
+    register_expansion(spark)
+    rows = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    assert rows("SELECT * FROM expansion('levels', 1000, 256, 4)") == [(0, 256, 4), (1, 1024, 1)]
+    assert rows("SELECT lag FROM expansion('lags', 100, 20, 25)") == [(4,), (5,)]
+    assert rows("SELECT round(frequency_hz, 6) FROM expansion('bands', 3, 100.0D, 400.0D)") == [(100.0,), (200.0,), (400.0,)]
+    assert rows("SELECT * FROM expansion('bands', CAST(NULL AS INT), 1, 2)") == [] and rows("SELECT * FROM expansion('levels', 0, 1, 2)") == []
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT * FROM expansion('octaves', 3, 1, 2)").collect()
