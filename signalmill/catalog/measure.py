@@ -147,7 +147,23 @@ def d8(spark, sf):
     return rounded(st.stereo_sums(sig_line(spark, sf)).select("track_id", "mono_fold_delta_db"))
 
 
-@query("d9_band_width3")
+def _d9_sql() -> str:
+    from ..functions.filters import cutoff_alpha
+    from .loops import Loop
+
+    loop = Loop()
+    for c in "lr":
+        for n, hz in (("lo", 2.0), ("hi", 20.0)):
+            a = cutoff_alpha(hz, RATE)
+            loop.set(f"{c}{n}", f"{a!r}::DOUBLE * {c} + {1 - a!r}::DOUBLE * p_{c}{n}", 0.0)
+    bands = {"low": ("llo", "rlo"), "mid": ("(lhi - llo)", "(rhi - rlo)"), "high": ("(l - lhi)", "(r - rhi)")}
+    share = ", ".join(f"{rd(f'sum(pow({a} - {b}, 2)) / (sum(pow({a} + {b}, 2)) + sum(pow({a} - {b}, 2)))')} AS {n}_band_width" for n, (a, b) in bands.items())
+    return f"""WITH RECURSIVE {SIG_LINE.replace('sig_line AS (', 'sig_line AS MATERIALIZED (')},
+{loop.sql('sig_line', 'track_id, frame_ix, l, r', ['l', 'r'])}
+SELECT track_id, {share} FROM st GROUP BY 1"""
+
+
+@query("d9_band_width3", _d9_sql())
 def d9(spark, sf):
     return rounded(st.band_widths(sig_line(spark, sf), RATE, 2.0, 20.0, BLOCK))
 

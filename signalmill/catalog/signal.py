@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import filters as fl
@@ -19,7 +20,7 @@ from ..session import cut_lineage
 from ..sources.adapters import sig_embed, sig_embed_mono, sig_line
 from . import loops as lp
 from . import query
-from .common import EMBED_MONO, LONG_LINE, SIG_LINE, rd
+from .common import EMBED_MONO, LONG_LINE, SIG_EMBED, SIG_LINE, rd
 from .measure import BLOCK, RATE, rounded
 
 FFT, SRATE = 64, 8000.0
@@ -527,7 +528,21 @@ def k10_planned(spark, sf):
 _LP = fl.rc_alpha(3.0, RATE)
 
 
-@query("e12_refractory_pick")
+def _e12_sql() -> str:
+    loop = lp.Loop()
+    loop.set("y", f"{_LP!r}::DOUBLE * (l + r) / 2 + {1 - _LP!r}::DOUBLE * p_y", 0.0)
+    return f"""WITH RECURSIVE {MATERIALIZED_LINE},
+{loop.sql('sig_line', 'track_id, frame_ix, l, r', ['y'])},
+p AS (SELECT track_id, frame_ix // 4 AS h, sum(y * y) AS e, count(*) AS n FROM st GROUP BY ALL),
+w AS (SELECT *, lead(e) OVER o AS e2, lead(n) OVER o AS n2, lead(n, 2) OVER o AS n3 FROM p WINDOW o AS (PARTITION BY track_id ORDER BY h)),
+v AS MATERIALIZED (SELECT track_id, h - 2 AS pos, sqrt((e + e2) / 8) > 0.25 AS hit FROM w WHERE h >= 2 AND n + n2 = 8 AND n3 IS NOT NULL),
+g AS (SELECT track_id, pos, hit AS picked, CASE WHEN hit THEN 6 ELSE 0 END AS blocked FROM v WHERE pos = 0
+  UNION ALL SELECT v.track_id, v.pos, v.hit AND blocked = 0, CASE WHEN v.hit AND blocked = 0 THEN 6 ELSE greatest(blocked - 1, 0) END
+  FROM g JOIN v ON v.track_id = g.track_id AND v.pos = g.pos + 1)
+SELECT track_id, pos FROM g WHERE picked"""
+
+
+@query("e12_refractory_pick", _e12_sql())
 def e12(spark, sf):
     b = sc.to_blocks(sig_line(spark, sf).select("track_id", "frame_ix", ((F.col("l") + F.col("r")) / 2).alias("x")),
                      ["track_id"], "frame_ix", ["x"], BLOCK)
@@ -541,12 +556,58 @@ def loud_hops(spark, sf):
     return cut_lineage(lo.weighted_hops(sig_embed(spark, sf), 200.0, block=512))
 
 
-@query("d21_loudness_bs1770")
+def _sections(system) -> list[tuple]:
+    """Two second-order systems in series, taken apart again."""
+    first = fl.System(system.a[:2, :2], system.b[:2], np.array([1.0, 0.0]), system.d)
+    second = fl.System(system.a[2:, 2:], np.array([0.0, 0.0]), np.array([1.0, 0.0]), 1.0)
+    # the second section of the weighting has unit gain, so its inputs follow from the coupling
+    second = fl.System(second.a, system.a[2:, 0], second.c, 1.0)
+    return [lp.coefficients(first), lp.coefficients(second)]
+
+
+def _d21_sql() -> str:
+    loop = lp.Loop()
+    first, second = _sections(fl.k_weighting(200.0))
+    ends = [loop.section(f"{c}2", loop.section(f"{c}1", c, first), second) for c in "lr"]
+    level = "CASE WHEN {0} > 0 THEN -0.691 + 10 * log10({0}) ELSE -200 END".format
+    return f"""WITH RECURSIVE {SIG_EMBED},
+src AS MATERIALIZED (SELECT * FROM sig_embed),
+{loop.sql('src', 'track_id, frame_ix, l, r', ends)},
+h AS (SELECT track_id, frame_ix // 20 AS hop, sum({ends[0]} * {ends[0]} + {ends[1]} * {ends[1]}) AS e FROM st GROUP BY ALL HAVING count(*) = 20),
+t AS (SELECT track_id, hop, CASE WHEN hop >= 3 THEN sum(e) OVER m / 80 END AS m, CASE WHEN hop >= 29 THEN sum(e) OVER s / 600 END AS s FROM h
+  WINDOW m AS (PARTITION BY track_id ORDER BY hop ROWS 3 PRECEDING), s AS (PARTITION BY track_id ORDER BY hop ROWS 29 PRECEDING)),
+b AS (SELECT track_id, {level('max(m)')} AS max_momentary, {level('max(s)')} AS max_short_term FROM t GROUP BY 1),
+i1 AS (SELECT track_id, {level('avg(m)')} - 10 AS g FROM t WHERE m IS NOT NULL AND {level('m')} >= -70 GROUP BY 1),
+i2 AS (SELECT track_id, {level('avg(m)')} AS integrated FROM t JOIN i1 USING (track_id) WHERE m IS NOT NULL AND {level('m')} >= greatest(g, -70) GROUP BY 1),
+p AS (SELECT track_id, s, {level('s')} AS st FROM t WHERE s IS NOT NULL AND (hop - 29) % 10 = 0 AND {level('s')} >= -70),
+p1 AS (SELECT track_id, {level('avg(s)')} - 20 AS g FROM p GROUP BY 1),
+p2 AS (SELECT track_id, st, row_number() OVER (PARTITION BY track_id ORDER BY st) - 1 AS i, count(*) OVER (PARTITION BY track_id) AS n FROM p JOIN p1 USING (track_id) WHERE st >= g),
+lra AS (SELECT track_id, max(st) FILTER (i = floor((n - 1) * 0.95 + 0.5)) - max(st) FILTER (i = floor((n - 1) * 0.10 + 0.5)) AS lra FROM p2 GROUP BY 1),
+v AS (SELECT track_id, quantile_cont({level('s')}, 0.95) - quantile_cont({level('s')}, 0.1) AS v FROM t WHERE s > 0 GROUP BY 1)
+SELECT track_id, {rd('coalesce(integrated, -200)')} AS integrated_lufs, {rd('coalesce(max_momentary, -200)')} AS max_momentary,
+  {rd('coalesce(max_short_term, -200)')} AS max_short_term, {rd('coalesce(lra, 0)')} AS loudness_range, {rd('coalesce(v, 0)')} AS short_term_variation
+FROM b LEFT JOIN i2 USING (track_id) LEFT JOIN lra USING (track_id) LEFT JOIN v USING (track_id)"""
+
+
+@query("d21_loudness_bs1770", _d21_sql())
 def d21(spark, sf):
     return rounded(lo.loudness(loud_hops(spark, sf)))
 
 
-@query("d22_true_peak")
+def _d22_sql() -> str:
+    bank = lo.oversampling(4, 12)
+    taps = ", ".join(f"({k}, {d - 11}, {float(bank[d, k])!r}::DOUBLE)" for k in range(3) for d in range(24))
+    return f"""WITH {LONG_LINE.replace("long_line AS (", "long_line AS MATERIALIZED (")},
+taps(k, d, w) AS (VALUES {taps}),
+y AS (SELECT track_id, ch, frame_ix - d AS place, k, sum(x * w) AS y FROM long_line, taps GROUP BY ALL),
+n AS (SELECT track_id, max(frame_ix) AS last FROM long_line GROUP BY 1),
+p AS (SELECT track_id, max(abs(y)) AS p FROM y JOIN n USING (track_id) WHERE place BETWEEN 0 AND last GROUP BY 1),
+s AS (SELECT track_id, max(abs(x)) AS s FROM long_line GROUP BY 1)
+SELECT track_id, {rd('greatest(p, s)')} AS true_peak, {rd('20 * log10(greatest(p, s))')} AS true_peak_dbtp, {rd('20 * log10(s)')} AS sample_peak_db,
+  {rd('greatest(0, 20 * log10(greatest(p, s)) - 20 * log10(s))')} AS peak_delta_db FROM p JOIN s USING (track_id)"""
+
+
+@query("d22_true_peak", _d22_sql())
 def d22(spark, sf):
     from ..operators.integrity import peak_rms_crest
 
@@ -624,7 +685,11 @@ def d30(spark, sf):
     return rounded(rp.segment_characteristics(sig_line(spark, sf), 4000.0, 300))
 
 
-@query("d39_source_presence")
+@query("d39_source_presence", f"""WITH {SIG_LINE},
+m AS (SELECT track_id, sqrt(avg(l * l)) AS a, sqrt(avg(r * r)) AS b, sqrt(avg(pow((l + r) / 2, 2))) AS program_rms FROM sig_line GROUP BY 1),
+s AS (SELECT track_id, 0 AS source, a AS source_rms, program_rms FROM m UNION ALL SELECT track_id, 1, b, program_rms FROM m)
+SELECT track_id, source, {rd('source_rms')} AS source_rms, {rd('program_rms')} AS program_rms, {rd('source_rms / program_rms')} AS ratio,
+  {rd('least(greatest(source_rms / program_rms, 0.5), 0.95)')} AS confidence FROM s WHERE source_rms / program_rms > 0.01""")
 def d39(spark, sf):
     """Each channel of a series as one source of its mix."""
     f = sig_line(spark, sf, reused=True)

@@ -51,6 +51,22 @@ def weighted_hops(frames: DataFrame, rate: float, channels: Sequence[str] = ("l"
         F.sum(power).alias("e"), F.count(F.lit(1)).alias("n"), F.lit(hop).alias("hop"))
 
 
+def weighted_hops_of_samples(samples: DataFrame, rate: float, hop_s: float = 0.1, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The same from ``track_id, ch, frame_ix, x``, where each track has its own number of channels, one to six in the
+    usual order; a track with more is an error. Every channel is filtered as a series of its own."""
+    keys = ["track_id", "ch"]
+    b = linear_scan(to_blocks(samples, keys, "frame_ix", ["x"], block), keys, {"k": ("x", k_weighting(rate))}, block)
+    layouts = F.array(*[F.array(*[F.lit(w) for w in CHANNEL_WEIGHTS[n]]) for n in sorted(CHANNEL_WEIGHTS)])
+    count = samples.groupBy("track_id").agg((F.max("ch") + 1).alias("_channels"))
+    hop = max(1, round(rate * hop_s))
+    ch = from_blocks(b, keys, "frame_ix", ["k"], block).groupBy(*keys, F.floor(F.col("frame_ix") / F.lit(hop)).cast("bigint").alias("hop_ix")).agg(
+        F.sum(F.col("k") * F.col("k")).alias("_e"), F.count(F.lit(1)).alias("_n"))
+    # one row per hop and channel from here on
+    weight = F.element_at(F.element_at(layouts, F.col("_channels")), F.col("ch") + 1)
+    return ch.join(count, "track_id").groupBy("track_id", "hop_ix").agg(
+        F.sum(F.col("_e") * weight).alias("e"), F.max("_n").alias("n"), F.lit(hop).alias("hop"))
+
+
 def timeline(hops: DataFrame, momentary: int = 4, short: int = 30) -> DataFrame:
     """``track_id, hop_ix, m, s``: mean energies of the last 400 ms and 3 s, null until a window is complete."""
     full = hops.filter(F.col("n") == F.col("hop"))
@@ -104,13 +120,23 @@ def true_peak(frames: DataFrame, channels: Sequence[str] = ("l", "r"), factor: i
 
     Each block is interpolated where it lies, with ``half`` samples from both neighbours.
     """
+    return true_peak_of_samples(to_long(frames, channels), factor, half, block)
+
+
+def oversampling(factor: int, half: int) -> np.ndarray:
+    """Weights of the samples from ``half - 1`` before to ``half`` after, one column for each place between two samples."""
     taps = np.arange(-half + 1, half + 1)
     phases = []
     for k in range(1, factor):
         d = taps - k / factor
         h = np.sinc(d) * (0.5 + 0.5 * np.cos(np.pi * d / half))
         phases.append(h / h.sum())
-    bank = np.stack(phases, axis=1)
+    return np.stack(phases, axis=1)
+
+
+def true_peak_of_samples(samples: DataFrame, factor: int = 4, half: int = 12, block: int = DEFAULT_BLOCK) -> DataFrame:
+    """The same from ``track_id, ch, frame_ix, x``, whatever the number of channels."""
+    bank = oversampling(factor, half)
 
     @F.pandas_udf("double")
     def peak(head: pd.Series, x: pd.Series, tail: pd.Series) -> pd.Series:
@@ -126,7 +152,7 @@ def true_peak(frames: DataFrame, channels: Sequence[str] = ("l", "r"), factor: i
             out.append(max(np.abs(own).max(initial=0.0), np.abs(win @ bank).max(initial=0.0)))
         return pd.Series(out, dtype=float)
 
-    b = to_blocks(to_long(frames, channels), ["track_id", "ch"], "frame_ix", ["x"], block)
+    b = to_blocks(samples, ["track_id", "ch"], "frame_ix", ["x"], block)
     h = block_halos(b, ["track_id", "ch"], half, half)
     return h.select("track_id", peak("head", "x", "tail").alias("_p")).groupBy("track_id").agg(
         F.max("_p").alias("true_peak"), amplitude_db(F.max("_p")).alias("true_peak_dbtp"))

@@ -226,3 +226,32 @@ def test_positions_agree_whether_sorted_whole_or_by_bucket(spark):
     whole = ordering.position(df, ["k"], [], [F.col("o")], "p").orderBy("o").collect()
     split = ordering.position(df, ["k"], bucket, [F.col("o")], "p").orderBy("o").collect()
     assert [r.p for r in whole] == [r.p for r in split]
+
+
+def test_loudness_of_one_to_six_channels(spark):
+    """Each track with its own channels, against direct sums with the weights of its layout."""
+    from helpers import long
+
+    from signalmill.functions import filters as fl
+    from signalmill.operators import loudness as lo
+    from signalmill.operators.scans import run_linear
+
+    rate, rng, rows, signals = 8000.0, np.random.default_rng(6), None, {}
+    for n in range(1, 7):
+        for ch in range(n):
+            signals[n, ch] = rng.normal(0, 0.1 * (ch + 1), 1250)
+            own = long(spark, signals[n, ch], f"t{n}", ch)
+            rows = own if rows is None else rows.unionByName(own)
+    weights = {1: [1], 2: [1, 1], 3: [1, 1, 1], 4: [1, 1, 1.41, 1.41], 5: [1, 1, 1, 1.41, 1.41], 6: [1, 1, 1, 0, 1.41, 1.41]}
+    for block in (128, 4096):
+        hops = {(r.track_id, r.hop_ix): r for r in lo.weighted_hops_of_samples(rows, rate, 0.0125, block=block).collect()}
+        for n in range(1, 7):
+            total = sum(w * run_linear(fl.k_weighting(rate), signals[n, ch][None], np.zeros((1, 4)))[0][0] ** 2 for ch, w in enumerate(weights[n]))
+            for hop in range(13):
+                got = hops[f"t{n}", hop]
+                assert got.e == pytest.approx(total[hop * 100: hop * 100 + 100].sum()) and got.n == min(100, 1250 - hop * 100)
+    peaks = {r.track_id: r.true_peak for r in lo.true_peak_of_samples(rows, block=300).collect()}
+    assert all(peaks[f"t{n}"] >= max(np.abs(signals[n, c]).max() for c in range(n)) for n in range(1, 7))
+    two = lo.weighted_hops(rows.filter("track_id = 't2'").groupBy("track_id", "frame_ix").agg(
+        F.max(F.when(F.col("ch") == 0, F.col("x"))).alias("l"), F.max(F.when(F.col("ch") == 1, F.col("x"))).alias("r")), rate, hop_s=0.0125, block=256)
+    assert all(r.e == pytest.approx(hops["t2", r.hop_ix].e) for r in two.collect())
