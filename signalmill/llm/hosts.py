@@ -44,6 +44,11 @@ def host_links(pages: DataFrame) -> DataFrame:
         "target <> source").groupBy("source", "target").agg(F.count("*").alias("links"))
 
 
+def share_of(value: str, part: str, whole: int) -> str:
+    """``value * part div whole`` in SQL, for values whose product with ``part`` has no room in 64 bits."""
+    return f"(({value}) div {whole} * {part} + ({value}) % {whole} * {part} div {whole})"
+
+
 def propagate(seeds: DataFrame, edges: DataFrame, keep: int, open_mass: int) -> DataFrame:
     """Personalised PageRank in whole numbers: ``host, mass``. Each round a host gets ``keep`` hundredths of its seed and
     the rest of what flows in. ``edges``: ``source, target, links``; ``seeds``: ``host, seed``, all hosts.
@@ -55,8 +60,8 @@ def propagate(seeds: DataFrame, edges: DataFrame, keep: int, open_mass: int) ->
     shares = cut_lineage(edges.join(out, "source").select("source", "target", F.expr(f"links * {GRAIN} div all_links").alias("share")))
     mass = seeds.select("host", F.expr(f"seed * {keep} div 100").alias("mass"))
     while True:
-        flow = shares.join(mass, shares["source"] == mass["host"]).groupBy(F.col("target").alias("host")).agg(
-            F.sum(F.expr(f"mass * share div {GRAIN} * {100 - keep} div 100")).alias("flow"))
+        sent = shares.join(mass, shares["source"] == mass["host"]).select("target", F.expr(share_of("mass", "share", GRAIN)).alias("sent"))
+        flow = sent.groupBy(F.col("target").alias("host")).agg(F.sum(F.expr(share_of("sent", f"{100 - keep}", 100))).alias("flow"))
         mass = cut_lineage(seeds.join(flow, "host", "left").join(mass.withColumnRenamed("mass", "was"), "host").select(
             "host", "was", (F.expr(f"seed * {keep} div 100") + F.coalesce("flow", F.lit(0))).alias("mass")))
         gain = mass.agg(F.sum((F.col("mass") - F.col("was")).cast("decimal(38,0)"))).first()[0] or 0
