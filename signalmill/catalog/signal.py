@@ -657,7 +657,15 @@ def e17(spark, sf):
     return rounded(rp.declip(fr.to_long(sig_line(spark, sf, reused=True)), 0.9, block=BLOCK), digits=7)
 
 
-@query("j16_resample")
+@query("j16_resample", f"""WITH {LONG_LINE.replace("long_line AS (", "long_line AS MATERIALIZED (")},
+d AS (SELECT k, tap, tap - ((k * 160) % 147) / 147.0::DOUBLE AS d, 0.94::DOUBLE * 441 / 480 AS c FROM (SELECT unnest(range(147)) AS k), (SELECT unnest(range(-15, 17)) AS tap)),
+w AS (SELECT k, tap, CASE WHEN abs(d) > 16 THEN 0 ELSE (CASE WHEN d = 0 THEN 1 ELSE sin(pi() * c * d) / (pi() * c * d) END)
+  * (0.42 + 0.5 * cos(pi() * d / 16) + 0.08 * cos(2 * pi() * d / 16)) END AS w FROM d),
+h AS (SELECT k, tap, w / sum(w) OVER (PARTITION BY k) AS h FROM w),
+n AS (SELECT track_id, ch, max(frame_ix) + 1 AS n FROM long_line GROUP BY ALL),
+o AS (SELECT track_id, ch, n, unnest(range(CAST(floor(n * 441 / 480.0::DOUBLE + 0.5) AS BIGINT))) AS i FROM n),
+t AS (SELECT track_id, ch, i, h, least(i * 480 // 441, n - 1) + tap AS frame_ix FROM o JOIN h ON h.k = i % 147)
+SELECT track_id, ch, i AS frame_ix, {rd('coalesce(sum(h * x), 0)')} AS x FROM t LEFT JOIN long_line USING (track_id, ch, frame_ix) GROUP BY ALL""")
 def j16(spark, sf):
     return rounded(rp.resample(fr.to_long(sig_line(spark, sf)), 480, 441, 16, block=BLOCK))
 

@@ -75,13 +75,18 @@ def assign_blind(trials: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
 
 
 def decode_blind(responses: DataFrame, key: DataFrame) -> DataFrame:
-    """Responses with sides resolved and the guided side's ratings; unusable rows carry an ``error``."""
+    """Responses with sides resolved and the guided side's ratings; unusable rows carry an ``error``.
+
+    Every response comes back once: a trial that the key holds several times is an error of its responses, as is a missing
+    preference.
+    """
     counts = responses.groupBy("trial_id").agg(F.count(F.lit(1)).alias("_n"))
-    j = responses.join(counts, "trial_id").join(key, "trial_id", "left")
+    sides = key.groupBy("trial_id").agg(F.min("side_a").alias("side_a"), F.min("side_b").alias("side_b"), F.count(F.lit(1)).alias("_keys"))
+    j = responses.join(counts, "trial_id").join(sides, "trial_id", "left")
     pref = F.col("preference")
     error = (
-        F.when(F.col("side_a").isNull(), "trial missing from key").when(F.col("_n") > 1, "duplicate response")
-        .when(~pref.isin("A", "B", "tie"), "invalid preference")
+        F.when(F.col("side_a").isNull(), "trial missing from key").when(F.col("_keys") > 1, "trial repeated in key")
+        .when(F.col("_n") > 1, "duplicate response").when(pref.isNull() | ~pref.isin("A", "B", "tie"), "invalid preference")
         .when(F.col("side_a") == F.col("side_b"), "key maps both sides alike"))
     guided = F.when(F.col("side_a") == "guided", F.col("a")).otherwise(F.col("b"))
     decoded = F.when(pref == "tie", "tie").when(pref == "A", F.col("side_a")).when(pref == "B", F.col("side_b"))

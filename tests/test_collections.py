@@ -280,3 +280,16 @@ def test_best_source_and_skip_reasons(spark):
     prog = spark.createDataFrame([("t", .95, 10.)], "track_id string, overall_confidence double, program_s double")
     got = {r.role: r.reason for r in issues.admit_sources(art, prog).collect()}
     assert got == {"bass": "not aligned", "drums": "low confidence", "vocals": "too short", "other": "inactive"}
+
+
+def test_repeated_trials_of_a_key_do_not_double_answers(spark):
+    from signalmill.operators.study import decode_blind
+
+    key = spark.createDataFrame([("t1", "guided", "stereo"), ("t1", "stereo", "guided"), ("t2", "stereo", "guided")], "trial_id string, side_a string, side_b string")
+    answers = spark.createDataFrame([("t1", "c", True, "A", 1, 2), ("t2", "c", True, "B", 3, 4), ("t3", "c", True, "A", 5, 6), ("t2x", "c", False, None, 1, 1)],
+                                    "trial_id string, category string, already_good boolean, preference string, a int, b int")
+    got = {r.trial_id: r for r in decode_blind(answers, key).collect()}
+    assert len(got) == 4 and got["t1"].error == "trial repeated in key" and got["t3"].error == "trial missing from key"
+    assert (got["t2"].decoded, got["t2"].guided_rating, got["t2"].error) == ("guided", 4, None)
+    one = decode_blind(answers.filter("trial_id = 't2x'").withColumn("trial_id", F.lit("t2")), key).first()
+    assert one.error == "invalid preference" and one.decoded is None
