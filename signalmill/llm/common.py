@@ -94,7 +94,7 @@ def buffers(batch: pa.RecordBatch, limit: int = SLICE):
         a = b
 
 
-def word_hashes(data: np.ndarray, bounds: np.ndarray, rolling: Rolling, values: np.ndarray):
+def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray):
     """A hash of every word (bytes between ASCII white space) and the number of words before each text."""
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
@@ -107,13 +107,18 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, rolling: Rolling, values:
     last[:-1] &= ~full[1:] | cut[1:-1]
     start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
     out = np.empty(len(start), np.uint64)
-    # long texts: hashed in pieces that end between words
+    # each byte counts by a hash of its place in the word, so no pattern of bytes cancels out; in pieces that end between words
     a = 0
     while a < len(start):
         b = max(a + 1, int(np.searchsorted(start, start[a] + SLICE)))
         lo, hi = start[a], stop[b - 1]
-        rolling.load(values[data[lo:hi]])
-        out[a:b] = rolling.span(start[a:b] - lo, stop[a:b] - lo) + (stop[a:b] - start[a:b]).astype(np.uint64)
+        longest = int((stop[a:b] - start[a:b]).max())
+        weight = mix(np.arange(longest, dtype=np.uint64), 67) | np.uint64(1)
+        gap = np.diff(start[a:b], append=hi)
+        place = np.minimum(np.arange(hi - lo) - np.repeat(start[a:b] - lo, gap), longest - 1)
+        terms = values[data[lo:hi]] * weight[place]
+        terms[~full[lo:hi]] = 0
+        out[a:b] = np.add.reduceat(terms, start[a:b] - lo) + (stop[a:b] - start[a:b]).astype(np.uint64)
         a = b
     return mix(out), np.searchsorted(start, bounds)
 

@@ -3,8 +3,8 @@
 Jaccard distance is a metric, but unrelated documents all lie at distance 1 from each other, so pivots alone cannot split
 a corpus: every window would hold all of it. The space is therefore first cut into regions that no link crosses. The
 universe of shingles is dealt into more classes than linked sets can differ in shingles, so linked sets agree wholly on
-some class; documents that agree on a class are joined, and the connected groups are the regions (regions that stay large
-are cut again with other classes). Within a region, pivots create Voronoi cells, documents near a border are replicated by
+some class that is not empty; documents that agree on a class are joined, and the connected groups are the regions (large
+regions are cut again with other classes, as often as that parts them). Within a region, pivots create Voronoi cells, documents near a border are replicated by
 triangle-inequality windows, and cells are joined recursively and exactly.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import LOWER, Rolling, buffers, byte_values, given_id, grouped, id_and_text, mix, pack, partitions, record, unpack, word_hashes
+from .common import LOWER, buffers, byte_values, given_id, grouped, id_and_text, mix, pack, partitions, record, unpack, word_hashes
 
 PACKED = {"bucket": pa.int32(), "nodes": pa.binary(), "signatures": pa.binary(), "owners": pa.binary()}
 #: signatures that a task combines before the shuffle; members of a region that is cut again; members of a cell joined at once
@@ -37,19 +37,19 @@ class Rings:
         return int(np.searchsorted(self.bounds, n, "right")) - 1
 
     def scheme(self, ring: int) -> tuple[int, int]:
-        """Number of classes and how many of them may be weak, for links whose smaller set lies in ``ring``."""
+        """Number of classes and how many of them are told, for links whose smaller set lies in ``ring``."""
         largest = self.bounds[ring + 1] - 1
         differ = (100 - self.percent) * largest // self.percent
-        spare = -(-(differ + 1) * 12 // 100) if differ else 0
-        return differ + 1 + spare, spare
+        spare = -(-(differ + 1) // 4) if differ else 0
+        return differ + 1 + spare, differ + 1
 
 
 def shingle_sets(batches, words: int):
     """Ids and sorted distinct shingle hashes of each text, slice by slice; fewer words than a shingle count as one."""
-    rolling, values = Rolling(), byte_values()
+    values = byte_values()
     for batch in batches:
         for ids, data, bounds in buffers(batch):
-            hashes, before = word_hashes(LOWER[data], bounds, rolling, values)
+            hashes, before = word_hashes(LOWER[data], bounds, values)
             total = np.zeros(max(0, len(hashes) - words + 1), np.uint64)
             for k in range(words):
                 total += mix(hashes[k: k + len(total)], 11 + k)
@@ -82,21 +82,29 @@ def identifier(words: int):
 
 
 def signatures(s: np.ndarray, rings: Rings, level: int) -> np.ndarray:
-    """What the set shares with any set that it links with, in one signature at least."""
+    """What the set shares with any set that it links with, in one signature at least.
+
+    Linked sets disagree on fewer classes than are told, so they agree on more than are left out. The classes with most
+    shingles are told (ties: the first): of those that two sets agree on, the largest is among the told ones of both. Empty
+    classes say nothing and are never told. Where one would have to be, the least shingles by hash are told as well: so
+    many that linked sets have one of them in common.
+    """
     own = rings.ring(len(s))
     rings.ring(rings.bounds[own + 1] if own + 1 < len(rings.bounds) else len(s) + 1)
     out, where, what = [], mix(s, 101 + level), mix(s, 31)
     for ring in (own, own - 1) if own else (own,):
-        classes, spare = rings.scheme(ring)
+        classes, told = rings.scheme(ring)
         at = (where % np.uint64(classes)).astype(np.int64)
         sums = np.zeros(classes, np.uint64)
         np.add.at(sums, at, what)
         count = np.bincount(at, minlength=classes)
-        # of two linked sets' agreeing classes at most ``spare`` are weak, unless both have more weak classes than that
-        weak = count <= 1
-        keep = np.flatnonzero(~weak if weak.sum() <= spare else count >= 0)
+        keep = np.argsort(-count, kind="stable")[:told]
+        keep = keep[count[keep] > 0]
         out.append(mix(sums[keep] + keep.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 1000 + ring))
-    return np.concatenate(out)
+        if len(keep) < told:
+            least = np.sort(mix(s, 501 + level))[: len(s) - -(-rings.percent * len(s) // 100) + 1]
+            out.append(mix(least, 907))
+    return np.unique(np.concatenate(out))
 
 
 def packer(words: int, percent: int, buckets: int, level: int):
@@ -314,19 +322,23 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     Returns ``doc_id, n_shingles, component_id`` (least doc_id that links reach, itself included), ``n_links`` (linked
     documents, copies included) and ``class_id`` (least doc_id with the same set). A-Z are lower-cased; fewer words than a
     shingle count as one shingle; a text without words links with nothing. A null text is empty. Rows that repeat an id
-    count as copies of their sets, a null id as the least id.
+    count as copies of their sets, a null id as the least id (a group that holds one has a null ``component_id``). An empty
+    table gives no rows.
     """
     docs = id_and_text(docs)
     ids = cut_lineage(docs.mapInArrow(identifier(words), "doc_id long, n_shingles long, node binary"))
     classes = ids.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
     found = regions(docs, words, percent, 0)
-    for level in range(1, 4):
-        large = found.groupBy("region").count().where(F.col("count") > LARGE).select("region")
-        if not large.limit(1).count():
+    level, before = 1, None
+    while True:
+        large = cut_lineage(found.groupBy("region").count().where(F.col("count") > LARGE))
+        now = large.agg(F.count("*"), F.max("count"), F.sum("count")).first()
+        if not now[0] or now == before:  # nothing large, or other classes do not part it any more
             break
         again = found.join(large, "region").join(classes, "node").select(F.col("rep").alias("doc_id"), "region")
         cut = regions(docs.join(again, "doc_id").select("doc_id", "text", "region"), words, percent, level)
         found = cut_lineage(found.join(large, "region", "left_anti").select("node", "region").union(cut))
+        level, before = level + 1, now
     members = found.join(classes, "node").select("rep", "copies", "region")
 
     def sets(batches):
@@ -346,7 +358,8 @@ def jaccard_join(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFram
     joined = joined.groupBy("rep").agg(F.min("component_id").alias("component_id"), F.max("linked").alias("linked"))
     result = classes.join(joined, "rep", "left").select("node", "rep", "copies", "component_id", "linked")
     return ids.join(result, "node", "left").select(
-        given_id(), "n_shingles",
+        "doc_id", "n_shingles",
         F.coalesce("component_id", "rep", "doc_id").alias("component_id"),
         (F.coalesce("linked", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).alias("n_links"),
-        F.coalesce("rep", "doc_id").alias("class_id"))
+        F.coalesce("rep", "doc_id").alias("class_id")).select(
+        given_id(), "n_shingles", given_id("component_id"), "n_links", given_id("class_id"))

@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, buffers, byte_values, given_id, id_and_text, record, word_hashes
+from .common import buffers, byte_values, given_id, id_and_text, record, word_hashes
 
 FEATURES = ("log_words", "word_length", "upper", "symbols", "bars", "digits", "stops", "repeats", "distinct", "line_breaks", "letters")
 
@@ -29,14 +29,14 @@ class Features:
     """The features of every text of a batch, in a table with one row per text."""
 
     def __init__(self):
-        self.rolling, self.values, self.classes = Rolling(), byte_values(), byte_classes()
+        self.values, self.classes = byte_values(), byte_classes()
 
     def __call__(self, batch: pa.RecordBatch) -> np.ndarray:
         """``batch``: any first column, then the texts (null: empty)."""
         out = [np.zeros((0, len(FEATURES)))]
         for ids, data, bounds in buffers(batch):
             n = len(ids)
-            words, before = word_hashes(data, bounds, self.rolling, self.values)
+            words, before = word_hashes(data, bounds, self.values)
             owner = np.repeat(np.arange(n) * 9, np.diff(bounds))
             count = np.bincount(owner + self.classes[data], minlength=9 * n).reshape(n, 9).astype(float)
             total = np.diff(before).astype(float)

@@ -35,11 +35,11 @@ CHUNK = 1_000_000
 
 def window_chunks(batches, size: int):
     """Hash pairs of all windows with document and first word, in chunks; a longer text is cut with an overlap."""
-    rolling, words_rolling, values = Rolling(), Rolling(), byte_values()
+    words_rolling, values = Rolling(), byte_values()
     held, n = [], 0
     for batch in batches:
         for ids, data, bounds in buffers(batch):
-            words, before = word_hashes(data, bounds, rolling, values)
+            words, before = word_hashes(data, bounds, values)
             for lo in range(0, max(1, len(words)), CHUNK):
                 hi = min(len(words), lo + CHUNK + size - 1)
                 start = np.arange(lo, max(lo, min(lo + CHUNK, hi - size + 1)))

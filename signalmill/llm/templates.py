@@ -10,6 +10,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import ArrayType
 
 from .common import mix
 
@@ -203,8 +205,15 @@ def blocks(benchmark: DataFrame) -> list[DataFrame]:
 
 
 def block_items(block: DataFrame, size: int, literals: int, least: int):
-    return block.sparkSession.sparkContext.broadcast(
-        Items(sorted((tuple(r) for r in block.collect()), key=lambda r: (str(r[0]), r[1])), size, literals, least))
+    """The block's windows as plain arrays and lists: executors need no copy of this package to read them."""
+    rows = sorted((tuple(r) for r in block.collect()), key=lambda r: (str(r[0]), r[1]))
+    return block.sparkSession.sparkContext.broadcast(vars(Items(rows, size, literals, least)))
+
+
+def from_parts(parts: dict) -> Items:
+    items = Items.__new__(Items)
+    vars(items).update(parts)
+    return items
 
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.5, literals: int = 3, least: int = 4) -> DataFrame:
@@ -212,24 +221,26 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: floa
 
     A document is contaminated by an item if matched windows of ``size`` template words (an item with fewer is one
     window) cover ``share`` of the item's words. Items of fewer than ``least`` words are looked for as whole exact phrases;
-    null items and items without words are not. A null text is empty; each row is judged by its own text.
+    null items and items without words are not. A null text is empty; each row is judged by its own text. ``item_ids`` has
+    the type of ``item_id``. An empty table gives no rows, an empty benchmark contaminates nothing.
     """
+    kind = ArrayType(benchmark.schema["item_id"].dataType)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"),
-                       F.lit(None).cast("array<long>").alias("item_ids"), F.lit(0).cast("long").alias("covered_words"))
-    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_ids", pa.list_(pa.int64())), ("covered_words", pa.int64())])
+                       F.lit(None).cast(kind).alias("item_ids"), F.lit(0).cast("long").alias("covered_words"))
+    schema = pa.schema([("doc_id", pa.int64()), ("text", pa.string()), ("item_ids", to_arrow_type(kind)), ("covered_words", pa.int64())])
     for block in blocks(benchmark):
         rows = rows.mapInArrow(_marker(block_items(block, size, literals, least), share, schema), rows.schema)
     return rows.select("doc_id", F.expr("item_ids IS NOT NULL").alias("contaminated"),
-                       F.coalesce(F.array_sort("item_ids"), F.array().cast("array<long>")).alias("item_ids"), "covered_words")
+                       F.coalesce(F.array_sort("item_ids"), F.array().cast(kind)).alias("item_ids"), "covered_words")
 
 
 def _marker(items, share, schema):
     def run(batches):
-        make = Canonical()
+        make, look = Canonical(), from_parts(items.value)
         for batch in batches:
             ids, covered = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for i, text in enumerate(batch.column(1)):
-                found = items.value.leaks(*make(text.as_py()), share)
+                found = look.leaks(*make(text.as_py()), share)
                 if found:
                     ids[i] = (ids[i] or []) + [k for k, _, _ in found]
                     covered[i] = max(covered[i], *(n for _, n, _ in found))
@@ -240,16 +251,17 @@ def _marker(items, share, schema):
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, size: int = 8, share: float = 0.5, literals: int = 3, least: int = 4) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that no benchmark item contaminates."""
+    """The rows of ``docs``, with all their columns, that no benchmark item contaminates. A null text is empty and stays, repeated
+    rows are judged one by one; an empty table stays empty, an empty benchmark removes nothing."""
     at = docs.columns.index("text")
     schema = docs.schema
     for block in blocks(benchmark):
         items = block_items(block, size, literals, least)
 
         def run(batches, items=items):
-            make = Canonical()
+            make, look = Canonical(), from_parts(items.value)
             for batch in batches:
-                keep = [not items.value.leaks(*make(t.as_py() or ""), share) for t in batch.column(at)]
+                keep = [not look.leaks(*make(t.as_py() or ""), share) for t in batch.column(at)]
                 yield batch.filter(pa.array(keep, pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
