@@ -25,13 +25,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group linked by a similarity of 0.8 or more in 5-word shingles, the document with the least id.
 
     Texts without words link with nothing and stay. Of rows that repeat an id with equal texts one stays.
+    Rows without an id cannot be named by a group: of equal texts among them one stays. An empty table stays empty.
     """
     groups = jaccard_join(docs, words=5, percent=80)
     first = groups.where(F.col("component_id") == F.col("doc_id")).select("doc_id").distinct()
     kept = docs.join(first, "doc_id", "left_semi")
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = kept.dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.where("doc_id IS NULL").dropDuplicates(["text"])).select(*docs.columns)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
