@@ -10,6 +10,9 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.ordering import position
+from ..session import cut_lineage
+
 MASK = (1 << 64) - 1
 BASE = 0x9E3779B97F4A7C15  # odd
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -19,6 +22,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: bytes of text that a task hashes at once
 SLICE = 1 << 20
+#: bits of a place inside a text; above them lies the number of the text among those that share an id
+PLACE = 31
 
 
 def id_and_text(docs: DataFrame) -> DataFrame:
@@ -28,6 +33,18 @@ def id_and_text(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("text"), F.lit("")).alias("text"))
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """Rows of ``id_and_text`` with ``part``: the number of a row's text among the different texts of its id.
+
+    It is 0 for every id with one text, however often the row is repeated; only other ids are looked up.
+    """
+    docs = docs.withColumn("digest", F.md5(F.col("text").cast("binary")))
+    several = docs.groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b").select("doc_id")
+    texts = cut_lineage(docs.join(cut_lineage(several), "doc_id", "left_semi").select("doc_id", "digest").distinct())
+    parts = cut_lineage(position(texts, ["doc_id"], [F.substring("digest", 1, 2)], [F.col("digest")], "part"))
+    return docs.join(parts, ["doc_id", "digest"], "left").select("doc_id", "text", F.coalesce("part", F.lit(0).cast("long")).alias("part"))
+
+
 def given_id(name: str = "doc_id"):
     """The id as it was given: the smallest long stands for null inside the jobs."""
     return F.when(F.col(name) != F.lit(-(1 << 63)).cast("long"), F.col(name)).alias(name)
@@ -74,26 +91,38 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(256, dtype=np.uint64), 7)
 
 
-def buffers(batch: pa.RecordBatch, limit: int = SLICE):
-    """Slices of a batch as ``ids, data, bounds``: their texts lie one after the other in ``data``, with no copy made.
+def slices(batch: pa.RecordBatch, limit: int = SLICE):
+    """Slices of a batch as ``first row, end, data, bounds``: their texts lie one after the other in ``data``, with no copy made.
 
     A slice has at most ``limit`` bytes, or one longer text."""
     if not batch.num_rows:
         return
-    ids = batch.column(0).to_numpy(zero_copy_only=False)
     text = batch.column(1)
     large = pa.types.is_large_string(text.type) or pa.types.is_large_binary(text.type)
     _, offsets, data = text.buffers()
     bounds = np.frombuffer(offsets, np.int64 if large else np.int32)[text.offset: text.offset + len(text) + 1].astype(np.int64)
     data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     a = 0
-    while a < len(ids):
+    while a < len(text):
         b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + limit, "right")) - 1)
-        b = min(b, len(ids))
-        yield ids[a:b], data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]
+        b = min(b, len(text))
+        yield a, b, data[bounds[a]: bounds[b]], bounds[a: b + 1] - bounds[a]
         a = b
 
 
+def buffers(batch: pa.RecordBatch, limit: int = SLICE):
+    """Slices of a batch with their ids: ``ids, data, bounds``."""
+    for a, b, data, bounds in slices(batch, limit):
+        yield batch.column(0).slice(a, b - a).to_numpy(zero_copy_only=False), data, bounds
+
+
+def numbered_buffers(batch: pa.RecordBatch):
+    """Slices of rows of ``numbered``: ``ids, first places, data, bounds``; places of an id's further texts begin higher up."""
+    for a, b, data, bounds in slices(batch):
+        ids, parts = (batch.column(k).slice(a, b - a).to_numpy(zero_copy_only=False) for k in (0, 2))
+        yield ids, parts << PLACE, data, bounds
+
+
 def word_hashes(data: np.ndarray, bounds: np.ndarray, values: np.ndarray):
     """A hash of every word (bytes between ASCII white space) and the number of words before each text."""
     if not len(data):
@@ -160,10 +189,11 @@ BLOCKED = {"block": pa.int32(), "found": pa.binary()}
 
 def block_rows(doc: np.ndarray, blocks: int, *columns: np.ndarray, extra: dict | None = None):
     """Findings on many documents as one row for each block of documents: a bucket's result has few rows, however many
-    documents it touches. ``extra``: further columns, with one value for all rows."""
+    documents it touches. The first of ``columns`` are places. ``extra``: further columns, with one value for all rows."""
     if not len(doc):
         return
-    block = (mix(doc.view(np.uint64), 59) % np.uint64(blocks)).astype(np.int64)
+    text = mix((columns[0] >> PLACE).view(np.uint64), 61)  # texts that share an id go to different blocks
+    block = (mix(doc.view(np.uint64) ^ text, 59) % np.uint64(blocks)).astype(np.int64)
     order = np.lexsort((*columns[::-1], doc, block))
     block, doc, columns = block[order], doc[order], [c[order] for c in columns]
     cuts = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
@@ -187,10 +217,11 @@ def block_columns(batches) -> list[np.ndarray]:
     return [c[order] for c in columns]
 
 
-def document_slices(doc: np.ndarray):
-    """Ids and ranges of rows of each document in an ordered column."""
-    at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    return doc[at], list(zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True))
+def document_slices(doc: np.ndarray, place: np.ndarray):
+    """Ids, numbers of their texts and ranges of rows of each text in ordered columns."""
+    part = place >> PLACE
+    at = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])])) if len(doc) else np.zeros(0, np.int64)
+    return doc[at], part[at], list(zip(at.tolist(), [*at[1:].tolist(), len(doc)], strict=True))
 
 
 def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,9 +235,12 @@ def merged(start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def document_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a block with findings ``start, length``: one row per document with its maximal runs, packed."""
-    doc, start, length = block_columns(batches)
-    ids, slices = document_slices(doc)
-    blobs = [pack(*merged(start[a:b], start[a:b] + length[a:b])) for a, b in slices]
+    """Of a block with findings ``place, length``: one row per text with its maximal runs, packed."""
+    doc, place, length = block_columns(batches)
+    ids, parts, rows = document_slices(doc, place)
+    start = place & ((1 << PLACE) - 1)
+    blobs = [pack(*merged(start[a:b], start[a:b] + length[a:b])) for a, b in rows]
+    schema = {"doc_id": pa.int64(), "part": pa.int64(), "ranges": pa.binary()}
     for lo in range(0, len(ids), 10_000):
-        yield record({"doc_id": pa.int64(), "ranges": pa.binary()}, doc_id=ids[lo: lo + 10_000], ranges=blobs[lo: lo + 10_000])
+        hi = lo + 10_000
+        yield record(schema, doc_id=ids[lo:hi], part=parts[lo:hi], ranges=blobs[lo:hi])

@@ -133,12 +133,18 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 
 OP10_SQL = """WITH l AS (
-  SELECT doc_id, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
-w AS (SELECT doc_id, CAST(i AS BIGINT) AS start, array_to_string(list_slice(lines, i + 1, i + 3), chr(10)) AS run
-  FROM (SELECT doc_id, lines, unnest(range(len(lines) - 2)) AS i FROM l WHERE len(lines) >= 3)
-  WHERE trim(array_to_string(list_slice(lines, i + 1, i + 3), ''), ' ') <> ''),
-later AS (SELECT doc_id, start FROM (SELECT doc_id, start, row_number() OVER (PARTITION BY run ORDER BY doc_id, start) AS k FROM w) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + 3)) AS i FROM later),
+  SELECT doc_id, text, CASE WHEN coalesce(text, '') = '' THEN []::VARCHAR[] ELSE string_split(text, chr(10)) END AS lines FROM documents),
+c AS (SELECT doc_id, lines, list_transform(lines, lambda x: length(trim(x, ' '))) AS c FROM l),
+i AS (SELECT doc_id, lines, c, unnest(range(len(lines))) AS i FROM c),
+w AS (SELECT doc_id, CAST(i AS BIGINT) AS start, 3 AS n, 3 AS size, array_to_string(list_slice(lines, i + 1, i + 3), chr(10)) AS run
+    FROM i WHERE i + 3 <= len(lines) AND c[i + 1] + c[i + 2] + c[i + 3] > 0
+  UNION ALL SELECT doc_id, i, 2, 2, lines[i + 1] || chr(10) || lines[i + 2]
+    FROM i WHERE i + 2 <= len(lines) AND c[i + 1] + c[i + 2] >= 200 AND (c[i + 1] < 200 OR c[i + 2] < 200)
+  UNION ALL SELECT doc_id, i, 1, 1, lines[i + 1] FROM i WHERE c[i + 1] >= 200
+  UNION ALL SELECT doc_id, 0, 0, len(lines), text FROM l WHERE trim(replace(text, chr(10), ''), ' ') <> ''),
+later AS (SELECT doc_id, start, size FROM (
+  SELECT doc_id, start, size, row_number() OVER (PARTITION BY n, run ORDER BY doc_id, start) AS k FROM w) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start, start + size)) AS i FROM later),
 runs AS (SELECT doc_id, count(*) AS size FROM (SELECT doc_id, i, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM gone)
   GROUP BY doc_id, k),
 per AS (SELECT doc_id, CAST(sum(size) AS BIGINT) AS n_removed, count(*) AS n_runs, max(size) AS longest_run FROM runs GROUP BY doc_id),
@@ -151,10 +157,10 @@ FROM l LEFT JOIN per USING (doc_id) LEFT JOIN kept USING (doc_id)"""
 
 @query("op10_line_runs", OP10_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
-    """Later copies of runs of three lines or more of ``documents`` are deleted."""
+    """Later copies of runs of three lines or 200 characters or more, and of whole texts, of ``documents`` are deleted."""
     from .lines import line_dedup
 
-    found = line_dedup(table(spark, folder, "documents"), length=3)
+    found = line_dedup(table(spark, folder, "documents"), length=3, chars=200, copies=True)
     return found.withColumn("kept_sha256", F.sha2(F.col("kept").cast("binary"), 256)).drop("kept")
 
 

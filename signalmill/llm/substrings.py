@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from .common import (
     Rolling,
     block_rows,
-    buffers,
     byte_values,
     document_ranges,
     given_id,
     grouped,
     id_and_text,
     mix,
+    numbered,
+    numbered_buffers,
     pack,
     partitions,
     record,
@@ -38,7 +39,7 @@ def window_chunks(batches, size: int):
     words_rolling, values = Rolling(), byte_values()
     held, n = [], 0
     for batch in batches:
-        for ids, data, bounds in buffers(batch):
+        for ids, base, data, bounds in numbered_buffers(batch):
             words, before = word_hashes(data, bounds, values)
             for lo in range(0, max(1, len(words)), CHUNK):
                 hi = min(len(words), lo + CHUNK + size - 1)
@@ -50,7 +51,7 @@ def window_chunks(batches, size: int):
                     continue
                 words_rolling.load(words[lo:hi])
                 raw = words_rolling.span(start - lo, start - lo + size)
-                held.append((mix(raw, 1), mix(raw + words[start], 2), ids[doc], start - before[doc]))
+                held.append((mix(raw, 1), mix(raw + words[start], 2), ids[doc], base[doc] + start - before[doc]))
                 n += len(start)
                 if n >= CHUNK:
                     yield [np.concatenate(x) for x in zip(*held, strict=True)]
@@ -137,16 +138,16 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
     """Remove every word covered by a window of ``size`` words that also starts earlier.
 
     Returns ``doc_id, n_words, n_removed, kept`` (kept words joined by one space). Null texts are empty, a null id sorts
-    before all others. Rows that repeat an id are one document: equal (id, start) never removes itself, and what is
-    found for an id holds for all its rows. Every window is hashed: equal windows have equal 64-bit hashes and equal
+    before all others. Rows that repeat an id and its text are one document: equal (id, start) never removes itself. Different
+    texts of one id are documents of their own, in the order of their digests. An empty table gives no rows. Every window is hashed: equal windows have equal 64-bit hashes and equal
     parts of a second hash, which deals them to buckets, so the check grows by a bit as the buckets double. A task sends
     one row of each distinct window, so that a passage held by many documents reaches its bucket once per task chunk.
     """
-    docs = id_and_text(docs)
+    docs = numbered(id_and_text(docs))
     buckets = partitions(docs)
     packed = docs.mapInArrow(packer(size, buckets), "bucket int, hashes binary, places binary, known binary")
     found = packed.groupBy("bucket").applyInArrow(finder(size, buckets), "block int, found binary")
-    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, ranges binary")
+    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, part long, ranges binary")
 
     def cut(batches):
         schema = {"doc_id": pa.int64(), "n_words": pa.int64(), "n_removed": pa.int64(), "kept": pa.string()}
@@ -163,7 +164,8 @@ def substring_dedup(docs: DataFrame, size: int = 20) -> DataFrame:
                     out[k].append(v)
             yield record(schema, **out)
 
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept string").withColumn(
+    return docs.join(ranges, ["doc_id", "part"], "left").select("doc_id", "text", "ranges").mapInArrow(
+        cut, "doc_id long, n_words long, n_removed long, kept string").withColumn(
         "doc_id", given_id())
 
 

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 
 from ..session import cut_lineage
 from .common import (
+    PLACE,
     SLICE,
     Rolling,
     block_columns,
     block_rows,
-    buffers,
     byte_values,
     document_ranges,
     document_slices,
@@ -28,6 +28,8 @@ from .common import (
     grouped,
     id_and_text,
     mix,
+    numbered,
+    numbered_buffers,
     pack,
     partitions,
     record,
@@ -60,7 +62,7 @@ def stretches(batches, length: int, seed: int):
     """``seed hash, digest, document, first window, number of windows`` of all stretches, slice by slice."""
     rolling, values = Rolling(), byte_values()
     for batch in batches:
-        for ids, data, bounds in buffers(batch):
+        for ids, base, data, bounds in numbered_buffers(batch):
             for lo in range(0, max(1, len(data)), 2 * SLICE):  # longer than that: one long text, cut with an overlap
                 part = data[lo: lo + 2 * SLICE + length - 1]
                 n = len(part) - length + 1
@@ -97,7 +99,7 @@ def stretches(batches, length: int, seed: int):
                 a, b = np.searchsorted(picks, first), np.searchsorted(picks, first + count + width - 1)
                 itself = double[np.maximum(b - 1, 0)] > double[np.minimum(a, len(double) - 1)]
                 digest = mix(rolling.span(first, first + count + length - 1) + count.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93), 5)
-                yield smallest[first], digest, ids[doc], first + lo - bounds[doc], count + ITSELF * itself
+                yield smallest[first], digest, ids[doc], base[doc] + first + lo - bounds[doc], count + ITSELF * itself
 
 
 def settled(seeds, digests, doc, pos):
@@ -176,12 +178,15 @@ def settler(length: int, blocks: int):
 
 
 def document_stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of a block: one row per document with its contested stretches, packed."""
-    doc, *columns = block_columns(batches)
-    ids, slices = document_slices(doc)
-    blobs = [pack(*(c[a:b] for c in columns)) for a, b in slices]
+    """Of a block: one row per text with its contested stretches, packed."""
+    doc, place, *columns = block_columns(batches)
+    ids, parts, rows = document_slices(doc, place)
+    columns = [place & ((1 << PLACE) - 1), *columns]
+    blobs = [pack(*(c[a:b] for c in columns)) for a, b in rows]
+    schema = {"doc_id": pa.int64(), "part": pa.int64(), "stretches": pa.binary()}
     for lo in range(0, len(ids), 5000):
-        yield record({"doc_id": pa.int64(), "stretches": pa.binary()}, doc_id=ids[lo: lo + 5000], stretches=blobs[lo: lo + 5000])
+        hi = lo + 5000
+        yield record(schema, doc_id=ids[lo:hi], part=parts[lo:hi], stretches=blobs[lo:hi])
 
 
 def fetcher(length: int, buckets: int):
@@ -195,18 +200,19 @@ def fetcher(length: int, buckets: int):
                     out[k].append(v)
 
             held = 0
-            for doc, text, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-                text = text.as_buffer().to_pybytes()
+            for doc, text, part, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(),
+                                             batch.column(3).to_pylist(), strict=True):
+                text, base = text.as_buffer().to_pybytes(), part << PLACE
                 if blob:
                     starts, counts, seeds, hot = unpack(blob)
                     where = (mix(seeds.view(np.uint64), 3) % np.uint64(buckets)).astype(np.int64)
                     for b, s, a, n, h in zip(where.tolist(), seeds.tolist(), starts.tolist(), counts.tolist(), hot.tolist(), strict=True):
                         if not h:
-                            add(b, s, doc, a, text[a: a + n + length - 1])
+                            add(b, s, doc, base + a, text[a: a + n + length - 1])
                         else:
                             for w in range(a, a + n):
                                 content = text[w: w + length]
-                                add((hash_of(content) ^ (s & 0xFFFFFFFF)) % buckets, s, doc, w, content)
+                                add((hash_of(content) ^ (s & 0xFFFFFFFF)) % buckets, s, doc, base + w, content)
                         held += n + length if not h else n * length
                         if held > 4 * SLICE:
                             yield record(CONTEXT, **out)
@@ -366,22 +372,23 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 40) -> DataFram
     """Remove every byte covered by a ``length`` bytes long string that also starts earlier.
 
     Returns ``doc_id, n_bytes, n_removed, n_spans, kept`` (the remaining bytes; cuts can fall inside a character). Null
-    texts are empty, a null id sorts before all others. Rows that repeat an id are one document: equal (id, start) never
-    removes itself, and what is found for an id holds for all its rows.
+    texts are empty, a null id sorts before all others. Rows that repeat an id and its text are one document: equal
+    (id, start) never removes itself. Different texts of one id are documents of their own, in the order of their digests.
+    An empty table gives no rows.
     """
     if not 8 <= seed <= length:
         raise ValueError("seed must be from 8 to length")
-    docs = id_and_text(docs)
+    docs = numbered(id_and_text(docs))
     buckets = partitions(docs)
     packed = docs.mapInArrow(packer(length, seed, buckets), "bucket int, seeds binary, digests binary, places binary, "
                              "counts binary, known binary, known_counts binary")
     first = cut_lineage(packed.groupBy("bucket").applyInArrow(settler(length, buckets), "block int, found binary, contested int"))
-    stretches_of = first.where("contested = 1").groupBy("block").applyInArrow(document_stretches, "doc_id long, stretches binary")
-    contexts = docs.join(stretches_of, "doc_id").select("doc_id", "text", "stretches").mapInArrow(
+    stretches_of = first.where("contested = 1").groupBy("block").applyInArrow(document_stretches, "doc_id long, part long, stretches binary")
+    contexts = docs.join(stretches_of, ["doc_id", "part"]).select("doc_id", "text", "part", "stretches").mapInArrow(
         fetcher(length, buckets), "bucket int, seed long, doc_id long, start long, bytes binary")
     second = contexts.groupBy("bucket").applyInArrow(sorter(length, seed, buckets), "block int, found binary")
     found = first.where("contested = 0").select("block", "found").unionByName(second)
-    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, ranges binary")
+    ranges = found.groupBy("block").applyInArrow(document_ranges, "doc_id long, part long, ranges binary")
 
     def cut(batches):
         schema = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
@@ -400,7 +407,7 @@ def suffix_dedup(docs: DataFrame, length: int = 100, seed: int = 40) -> DataFram
                     out[k].append(v)
             yield record(schema, **out)
 
-    return docs.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(
+    return docs.join(ranges, ["doc_id", "part"], "left").select("doc_id", "text", "ranges").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary").withColumn("doc_id", given_id())
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import pickle
 import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from signalmill.llm import jaccard, substrings, templates
+from signalmill.llm import jaccard, lines, substrings, suffixes, templates
 from tests.llm.test_llm import frame, groups, shingles
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +125,59 @@ def test_benchmark_items_of_any_id(spark):
 
 def test_shingles_helper():
     assert len(shingles("a b c d e", 4)) == 2
+
+
+def by_place(rows):
+    """Different texts of an id in the order of their digests, numbered as documents of their own."""
+    texts = sorted({(d, t or "") for d, t in rows}, key=lambda x: (x[0], hashlib.md5(x[1].encode()).hexdigest()))
+    return texts, list(enumerate(t for _, t in texts))
+
+
+def test_texts_that_share_an_id(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(3000)}" for _ in range(n))
+    passage, base = line(60), "\n".join(line(12) for _ in range(9))
+    rows = [(1, passage), (2, base + passage), (2, "short"), (2, "short"), (3, base), (3, passage + " x " + passage), (3, None), (4, base)]
+    rows += [(5, f"{line(25)}\n{passage if i % 2 else line(30)}\n{base}") for i in range(12)] + [(6, line(400)), (6, line(300) + " " + passage)]
+    texts, plain = by_place(rows)
+    ids = [d for d, _ in texts]
+
+    def same(got, want):
+        assert len(got) == len(rows)
+        assert sorted({tuple(r) for r in got}) == sorted({(ids[w[0]], *w[1:]) for w in want})
+
+    docs = frame(spark, rows)
+    same(substrings.kept_digest(substrings.substring_dedup(docs, 20)).collect(), substrings.brute_force(plain, 20))
+    same(suffixes.suffix_dedup(docs, 100).withColumn("kept", F.sha2("kept", 256)).collect(), suffixes.brute_force(plain, 100))
+    same(lines.line_dedup(docs, 3, 200, True).select("doc_id", "n_lines", "n_removed", "kept").collect(), runs_that_count(plain, 3, 200, True))
+
+
+def runs_that_count(rows, length, chars, copies):
+    """Every run of ``length`` lines with some text or of fewer lines with ``chars`` characters, by plain comparison."""
+    seen, whole, want = set(), set(), []
+    for d, t in rows:
+        x = t.split("\n") if t else []
+        size = [len(a.strip(" ")) for a in x]
+        keep = [True] * len(x)
+        for i in range(len(x)):
+            for j in range(i + 1, min(i + length, len(x)) + 1):
+                run = tuple(x[i:j])
+                if run in seen and sum(size[i:j]) >= (1 if j - i == length else chars):
+                    keep[i:j] = [False] * (j - i)
+                seen.add(run)
+        if copies and any(size):
+            if t in whole:
+                keep = [False] * len(x)
+            whole.add(t)
+        want.append((d, len(x), keep.count(False), "\n".join(a for a, b in zip(x, keep, strict=True) if b)))
+    return want
+
+
+@pytest.mark.parametrize(("length", "chars", "copies"), [(3, 12, True), (3, 25, False), (5, 18, True), (4, 1, False), (1, 9, True)])
+def test_runs_of_any_number_of_lines(spark, length, chars, copies):
+    rng = random.Random(length * chars)
+    pool = [f"line {i} " + "x" * rng.randrange(9) for i in range(12)] + ["", "", " ", "  ", "   "]
+    rows = [(d, "\n".join(rng.choice(pool) for _ in range(rng.randrange(1, 9)))) for d in range(120)]
+    rows += [(200, None), (201, ""), (202, "\n\n"), (203, "\n\n"), (204, "one"), (205, "one"), (206, "one\ntwo"), (207, "one\ntwo"), (208, "x one")]
+    got = lines.line_dedup(frame(spark, rows), length, chars, copies).select("doc_id", "n_lines", "n_removed", "kept").collect()
+    assert sorted(map(tuple, got)) == runs_that_count(rows, length, chars, copies)
